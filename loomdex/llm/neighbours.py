@@ -2,8 +2,8 @@
 
 The tree is fitted on a bounded sample; every vector is indexed, in the leaf that
 its own search reaches first. A search keeps a priority queue of tree nodes and
-opens the most similar one first; how many leaves it visits is widened on the
-sample until the recall against brute force reaches the target. Searches are run
+opens the most similar one first; how many leaves it visits is widened until the
+recall of a sample of queries against brute force over all vectors reaches the target. Searches are run
 leaf by leaf, as products of matrices of bounded size. Similarities are computed
 in double precision.
 
@@ -21,16 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.sources.tables import latest_by, table, written
+from loomdex.sources.tables import table, written
 
-#: The sample on which the tree is fitted and the number of leaf visits calibrated, in vectors.
+#: The sample on which the tree is fitted, in vectors.
 SAMPLE = 40_000
-#: Vectors a leaf is meant to hold, and the most that one task takes of a leaf at a time.
-LEAF, BLOCK = 1_500, 12_000
+#: Vectors a leaf is meant to hold (fewer in small collections, which have LEAVES leaves).
+LEAF, LEAVES = 1_000, 200
+#: Leaves that lie together in the tree are one cell; a cell is searched in one task. There are about CELLS of them,
+#: more where a cell would else hold over CELL vectors; of one that does, a task takes BLOCK at a time.
+CELLS, CELL, BLOCK = 16, 30_000, 40_000
 #: Children of an inner node.
-BRANCHES = 12
-#: Recall against brute force that the calibration asks for on the sample.
-TARGET_RECALL = 0.99
+BRANCHES = 4
+#: Recall against brute force that the calibration asks for, and the number of queries on which it is measured.
+TARGET_RECALL, ASKED = 0.99, 300
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -54,10 +57,10 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 class Tree:
-    """A hierarchical k-means tree. children[node] is the range of its children, leaf[node] its leaf number or -1."""
+    """A hierarchical k-means tree. children[node] is the range of its children, leaf[node] its leaf number or -1, cell[leaf] its cell."""
 
-    def __init__(self, sample: np.ndarray, leaf_size: int, seed: int = 11):
-        rng, centroids = np.random.default_rng(seed), [np.zeros(sample.shape[1])]
+    def __init__(self, sample: np.ndarray, leaf_size: int, cell_size: int, seed: int = 11):
+        rng, centroids, shares = np.random.default_rng(seed), [np.zeros(sample.shape[1])], [len(sample)]
         self.children: list[tuple[int, int]] = [(0, 0)]
         todo = [(0, np.arange(len(sample)))]
         while todo:
@@ -70,6 +73,7 @@ class Tree:
             self.children[node] = (first, first + k)
             for j in range(k):
                 centroids.append(c[j])
+                shares.append(int((near == j).sum()))
                 self.children.append((0, 0))
                 if (near == j).sum() < len(rows):
                     todo.append((first + j, rows[near == j]))
@@ -78,6 +82,14 @@ class Tree:
         ends = [n for n, (a, b) in enumerate(self.children) if a == b]
         self.leaf[ends] = np.arange(len(ends))
         self.n_leaves = len(ends)
+        self.cell, n_cells, under = np.zeros(self.n_leaves, dtype=np.int32), 0, [(0, -1)]
+        while under:  # a cell is the highest node that is small enough, or a leaf
+            node, cell = under.pop()
+            if cell < 0 and (shares[node] <= cell_size or self.leaf[node] >= 0):
+                cell, n_cells = n_cells, n_cells + 1
+            if self.leaf[node] >= 0:
+                self.cell[self.leaf[node]] = cell
+            under += [(c, cell) for c in range(*self.children[node])]
 
     def visit(self, x: np.ndarray, visits: int) -> np.ndarray:
         """For each row of x the first ``visits`` leaves of its search, -1 where there are no more."""
@@ -105,30 +117,49 @@ class Tree:
         return out
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, target: float = TARGET_RECALL, queries: int = 400) -> tuple[int, float]:
-    """The least number of leaf visits whose recall on the sample reaches the target, and that recall."""
-    if len(sample) <= k or tree.n_leaves == 1:
+def calibrate(tree: Tree, nodes: DataFrame, numbers: np.ndarray, queries: np.ndarray, k: int, target: float = TARGET_RECALL) -> tuple[int, float]:
+    """The least number of leaf visits that reaches the target recall, and that recall.
+
+    It is measured against brute force: each of the (bounded) queries against all of ``nodes``, in one pass
+    that returns k rows a query; fewer vectors than the index holds would lie further apart than they do in it.
+    """
+    if tree.n_leaves == 1:
         return 1, 1.0
-    own = tree.visit(sample, 1)[:, 0]
-    asked = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)
-    close = sample[asked] @ sample.T
-    close[np.arange(len(asked)), asked] = -np.inf
-    true = own[np.argpartition(-close, k - 1, axis=1)[:, :k]]
-    most = min(tree.n_leaves, 64)
-    order = tree.visit(sample[asked], most)
-    share = 0.0
-    for visits in range(1, most + 1):
-        share = float((true[:, :, None] == order[:, None, :visits]).any(2).mean())
-        if share >= target:
-            return visits, share
-    return tree.n_leaves, 1.0  # exhaustive
+    dimension, shared = queries.shape[1], nodes.sparkSession.sparkContext.broadcast((tree, numbers, queries))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, numbers, q = shared.value
+        where = {int(i): n for n, i in enumerate(numbers)}
+        for batch in batches:
+            x = unit(_matrix(batch.column("embedding"), dimension))
+            close = q @ x.T
+            for n in np.flatnonzero(np.isin(own := batch.column("node").to_numpy(), numbers)):
+                close[where[int(own[n])], n] = -np.inf
+            take = min(k, len(x))
+            best = np.argpartition(-close, take - 1, axis=1)[:, :take]
+            used, back = np.unique(best, return_inverse=True)
+            leaf = tree.visit(x[used], 1)[:, 0][back.reshape(best.shape)]
+            row = np.repeat(np.arange(len(q)), take).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(leaf.ravel()), pa.array(np.take_along_axis(close, best, 1).ravel())], names=["query", "leaf", "close"])
+
+    rows = nodes.select("node", "embedding").mapInArrow(nearest, "query int, leaf int, close double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("close")))
+    true = rows.withColumn("n", rank).where(F.col("n") <= k).select("query", "leaf").toArrow()
+    order = tree.visit(queries, tree.n_leaves)
+    nth = (order[true.column("query").to_numpy()] == true.column("leaf").to_numpy()[:, None]).argmax(1)
+    visits = int(np.sort(nth)[min(len(nth) - 1, int(np.ceil(target * len(nth))) - 1)]) + 1
+    return visits, float((nth < visits).mean())
 
 
 def usable(chunks: DataFrame, dimension: int) -> DataFrame:
     """(id, embedding), each id once (its latest row), if the embedding has ``dimension`` elements, all finite and not all zero."""
     fine = (F.size("embedding") == dimension) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = latest_by(chunks.where("id is not null").select("id", "embedding", "updated_at"), ["id"], "updated_at")
-    return rows.where(F.col("embedding").isNotNull() & fine).select("id", "embedding")
+    rows = chunks.where("id is not null").select("id", "embedding", "updated_at", F.xxhash64("embedding").alias("h"))
+    # An id delivered again has the same values, as a rule; those that don't are found without moving the embeddings.
+    by = rows.groupBy("id").agg(F.max_by("h", F.struct("updated_at", "h")).alias("latest"), F.min("h").alias("least"), F.max("h").alias("most"))
+    differing = written(by.where("least <> most").select("id", "latest"))
+    rows = rows.where(F.col("embedding").isNotNull() & fine)
+    return rows.join(differing, "id", "left").where("latest is null or latest = h").select("id", "embedding")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
@@ -138,95 +169,124 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
 
 
 def neighbours(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size: int = SAMPLE, leaf_size: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """(id, neighbour, similarity): for each row of ``vectors`` (id, embedding) its k most similar others, ties by lesser id.
+    """(id, neighbour, similarity): for each id of ``vectors`` (id, embedding) its k most similar others.
 
-    ids are unique and the embeddings usable (see usable()). Fewer than k + 1 vectors give what there are;
+    Of identical vectors the lesser ids come first. Repeated rows count once; the embeddings are usable (see usable()). Fewer than k + 1 vectors give what there are;
     an empty table gives an empty one. All vectors are indexed and all are queries.
     """
     spark = vectors.sparkSession
     # 1. The first k + 1 ids of each group of identical vectors; the group limit is applied before the shuffle.
     same = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit("second"), "embedding").alias("b"))
     keyed = vectors.withColumn("same", same)
-    firsts = keyed.withColumn("n", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(F.col("n") <= k + 1)
-    nodes = written(firsts.groupBy("same").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("embedding").alias("embedding")))
+    firsts = keyed.withColumn("n", F.dense_rank().over(Window.partitionBy("same").orderBy("id"))).where(F.col("n") <= k + 1)
+    nodes = firsts.groupBy("same").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("embedding").alias("embedding"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
 
-    # 2. The tree, from a bounded sample (SAMPLE rows of 64 floats).
-    picked = nodes.select("embedding") if total <= sample_size else nodes.orderBy(F.xxhash64("same", F.lit(7))).limit(sample_size).select("embedding")
-    sample = unit(_matrix(picked.toArrow().column(0), dimension)) if total else np.zeros((0, dimension))
-    tree = Tree(sample, max(2 * k, round(leaf_size * len(sample) / max(total, 1))))
-    visits, _ = calibrate(tree, sample, k)
+    # 2. The tree, from a bounded sample.
+    picked = nodes if total <= sample_size else nodes.orderBy(F.xxhash64("same", F.lit(7))).limit(sample_size)
+    picked = picked.select("node", "embedding").toArrow()
+    sample = unit(_matrix(picked.column("embedding"), dimension)) if total else np.zeros((0, dimension))
+    of_sample = len(sample) / max(total, 1)
+    tree = Tree(sample, max(2 * k, round(min(leaf_size, total / LEAVES) * of_sample)), max(2 * k, round(min(len(sample) / CELLS, CELL * of_sample))))
+    asked = np.unique(np.linspace(0, max(len(sample) - 1, 0), min(ASKED, len(sample))).astype(int))
+    visits, _ = calibrate(tree, nodes, picked.column("node").to_numpy()[asked], sample[asked], k)
     shared = spark.sparkContext.broadcast((tree, visits))  # at most twice the sample's size
 
-    # 3. One row for each leaf that a node's search visits; the first is the leaf that holds it.
+    # 3. One row for each cell that a node's search enters, with the leaves it visits there; held is the leaf that holds it.
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, visits = shared.value
-        for batch in batches:
-            x = _matrix(batch.column("embedding"), dimension)
-            leaves = tree.visit(unit(x), visits)
+        for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
+            leaves = tree.visit(unit(_matrix(batch.column("embedding"), dimension)), visits)
             row, nth = np.nonzero(leaves >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves[row, nth]), pa.array(nth == 0), batch.column("id").take(pa.array(row)), batch.column("embedding").take(pa.array(row))], names=["leaf", "held", "id", "embedding"])
-
-    visited = nodes.select("id", "embedding").mapInArrow(spread, "leaf int, held boolean, id string, embedding array<float>")
-
-    # 4. A leaf over the block size is cut both ways: each block of held nodes meets each block of visiting ones once.
-    sizes = written(visited.groupBy("leaf").agg(F.ceil(F.sum(F.col("held").cast("int")) / block).cast("int").alias("parts"), F.ceil(F.count("*") / (4 * block)).cast("int").alias("asking")))
-    large = sizes.where("parts > 1 or asking > 1").select("leaf", F.greatest("parts", F.lit(1)).alias("parts"), "asking")
-    here = visited.join(F.broadcast(large), "leaf", "left").fillna(1, ["parts", "asking"])  # a row a leaf at most
-    part, ask = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("asking")).cast("int")
-    all_of = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    cell = lambda p, a, role: F.transform(p, lambda x: F.transform(a, lambda y: F.struct(x.alias("part"), y.alias("ask"), role.alias("role"))))
-    # role 1: held here, 2: asks here, 3: both. A node that is held and asks in the same cell is sent once.
-    asks = F.flatten(cell(all_of("parts"), F.array(ask), F.lit(2)))
-    holds = F.flatten(cell(F.array(part), all_of("asking"), F.lit(1)))
-    both = F.concat(F.filter(asks, lambda c: c["part"] != part), F.filter(holds, lambda c: c["ask"] != ask), F.array(F.struct(part.alias("part"), ask.alias("ask"), F.lit(3).alias("role"))))
-    simple = F.when((F.col("parts") == 1) & (F.col("asking") == 1), F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("ask"), F.when(F.col("held"), 3).otherwise(2).alias("role"))))
-    placed = here.select("leaf", "id", "embedding", F.explode(F.coalesce(simple, F.when(F.col("held"), both).otherwise(asks))).alias("c")).select("leaf", "c.part", "c.ask", "c.role", "id", "embedding")
+            leaf = leaves[row, nth]
+            cell = tree.cell[leaf]
+            order = np.lexsort((nth, cell, row))
+            row, leaf, cell, nth = row[order], leaf[order], cell[order], nth[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]) if len(row) else np.zeros(0, dtype=int)
+            held = np.where(nth[first] == 0, leaf[first], -1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(leaf))
+            take = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(held), lists, batch.column("node").take(take), batch.column("embedding").take(take)], names=["cell", "held", "leaves", "node", "embedding"])
+
+    visited = nodes.select("node", "embedding").mapInArrow(spread, "cell int, held int, leaves array<int>, node long, embedding array<float>")
+
+    # 4. A cell over the block size is cut both ways: each block of held nodes meets each block of asking ones once.
+    # Its sizes come from the leaves that hold the nodes, without a second search.
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, _ = shared.value
+        for batch in batches:
+            n = np.bincount(tree.cell[tree.visit(unit(_matrix(batch.column("embedding"), dimension)), 1)[:, 0]], minlength=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["cell", "n"])
+
+    crowded_cells = {}
+    if total > block:
+        held_in = nodes.select("embedding").mapInArrow(home, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+        crowded_cells = {r["cell"]: -(-r["n"] // block) for r in held_in.collect()}  # a row a cell at most
+    cuts = F.lit(1)
+    if crowded_cells:
+        cuts = F.coalesce(F.create_map(*[F.lit(x) for pair in crowded_cells.items() for x in pair])[F.col("cell")].cast("int"), F.lit(1))
+    here = visited.withColumn("cuts", cuts)
+    part, ask = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("cuts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    # role 1: held here, 2: asks here, 3: both, which is sent once.
+    spot = lambda p, a, role: F.struct(p.cast("int").alias("part"), a.cast("int").alias("ask"), F.lit(role).alias("role"))
+    asks = F.transform(every, lambda p: spot(p, ask, 2))
+    holds = F.transform(every, lambda a: spot(part, a, 1))
+    both = F.concat(F.filter(asks, lambda c: c["part"] != part), F.filter(holds, lambda c: c["ask"] != ask), F.array(spot(part, ask, 3)))
+    placed = here.select("cell", "held", "leaves", "node", "embedding", F.explode(F.when(F.col("held") >= 0, both).otherwise(asks)).alias("c")).select("cell", "c.part", "c.ask", "c.role", "held", "leaves", "node", "embedding")
 
     def search(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
         x, role = unit(_matrix(group.column("embedding"), dimension)), group.column("role").to_numpy()
-        ids = np.array(group.column("id").to_pylist(), dtype=object)
-        held = np.nonzero(role & 1)[0]
-        held = held[np.argsort(ids[held])]
-        asking = np.nonzero(role & 2)[0]
-        if not len(held) or not len(asking):
-            return empty
-        h, small = x[held], x[held].astype(np.float32)
-        take = min(k + 4, len(held))  # single precision finds a few more than k, double precision ranks them
-        who, near, sim = [], [], []
-        for lo in range(0, len(asking), 1024):
-            q = asking[lo : lo + 1024]
-            rough = x[q].astype(np.float32) @ small.T
-            best = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(held) else np.tile(np.arange(len(held)), (len(q), 1))
-            exact = np.einsum("qd,qtd->qt", x[q], h[best])
-            exact[held[best] == q[:, None]] = -np.inf
-            order = np.lexsort((best, -exact), axis=1)[:, : k + 1]
-            best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
-            r, c = np.nonzero(exact > -np.inf)
-            who.append(q[r]), near.append(held[best[r, c]]), sim.append(exact[r, c])
+        small, node, home = x.astype(np.float32), group.column("node").to_numpy(), group.column("held").to_numpy()
+        lists = group.column("leaves").combine_chunks()
+        row = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+        leaf = lists.flatten().to_numpy()
+        row, leaf = row[role[row] >= 2], leaf[role[row] >= 2]
+        row, leaf = row[order := np.argsort(leaf, kind="stable")], leaf[order]
+        holders = np.flatnonzero((role & 1) == 1)
+        holders = holders[np.argsort(home[holders], kind="stable")]
+        who, near, sim = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        for one in np.unique(leaf):
+            held = holders[slice(*np.searchsorted(home[holders], [one, one + 1]))]
+            asking = row[slice(*np.searchsorted(leaf, [one, one + 1]))]
+            take = min(k + 3, len(held))  # single precision finds a few more than k, double precision ranks them
+            for lo in range(0, len(asking) if take else 0, 1024):
+                q = asking[lo : lo + 1024]
+                rough = small[q] @ small[held].T
+                best = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(held) else np.tile(np.arange(len(held)), (len(q), 1))
+                best = held[best]
+                exact = np.einsum("qd,qtd->qt", x[q], x[best])
+                exact[best == q[:, None]] = -np.inf
+                who.append(np.repeat(q, take)), near.append(best.ravel()), sim.append(exact.ravel())
         who, near, sim = map(np.concatenate, (who, near, sim))
-        return pa.table([pa.array(ids[who], pa.string()), pa.array(ids[near], pa.string()), pa.array(sim)], schema=schema)
-
-    schema = pa.schema([("id", pa.string()), ("near", pa.string()), ("similarity", pa.float64())])
-    empty = schema.empty_table()
-    found = placed.groupBy("leaf", "part", "ask").applyInArrow(search, "id string, near string, similarity double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "near"))), 1, k)  # of at most visits * (k + 1)
-    lists = found.groupBy("id").agg(best.alias("nearest"))
-
-    # 5. Back to all ids: copies of a vector come first, then the copies of the nearest nodes, the lesser ids first.
-    copied = nodes.where(F.size("ids") > 1).select("id", "ids")
-    groups = nodes.select("id", "ids").join(lists, "id", "left")
-    near = groups.where(F.size("ids") <= k).select("id", "ids", F.explode("nearest").alias("x")).select("id", "ids", "x.far", "x.near")
-    near = near.join(copied.select(F.col("id").alias("near"), F.col("ids").alias("near_ids")), "near", "left").withColumn("near_ids", F.coalesce("near_ids", F.array("near")))
-    others = near.groupBy("id").agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("far", "near_ids"))).alias("order"))
+        order = np.lexsort((node[near], -sim, who))
+        who, near, sim = who[order], near[order], sim[order]
+        start = np.searchsorted(who, who, "left")
+        keep = (np.arange(len(who)) - start < k) & (sim > -np.inf)
+        who, near, sim = who[keep], near[keep], sim[keep]
+        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, dtype=int)
+        ends = pa.array(np.r_[first, len(who)].astype(np.int32))
+        return pa.table({"node": node[who[first]], "near": pa.ListArray.from_arrays(ends, pa.array(node[near])), "similarity": pa.ListArray.from_arrays(ends, pa.array(sim))})
+
+    found = placed.groupBy("cell", "part", "ask").applyInArrow(search, "node long, near array<long>, similarity array<double>")
+    lists = F.flatten(F.collect_list(F.arrays_zip(F.transform("similarity", lambda x: -x).alias("far"), "near")))  # at most k from each cell that the node enters
+    nearest = found.groupBy("node").agg(F.slice(F.array_sort(lists), 1, k).alias("nearest"))
+
+    # 5. Back to ids: copies of a vector come first, then the copies of the nearest nodes, the lesser ids first.
+    names = nodes.select("node", "ids")
+    near = names.where(F.size("ids") <= k).join(nearest, "node").select("node", F.explode("nearest").alias("x")).select("node", F.col("x.far").alias("far"), F.col("x.near").alias("near"))
+    near = near.join(names.select(F.col("node").alias("near"), F.col("ids").alias("near_ids")), "near")
+    order = near.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("far", "near_ids"))).alias("order"))
     flat = F.slice(F.flatten(F.transform("order", lambda o: F.transform(o["near_ids"], lambda i: F.struct(i.alias("neighbour"), (-o["far"]).alias("similarity"))))), 1, k)
     own = lambda me: F.transform(F.filter("ids", lambda i: i != me), lambda i: F.struct(i.alias("neighbour"), F.lit(1.0).alias("similarity")))
-    few = groups.select("id", "ids").join(others.select("id", flat.alias("flat")), "id", "left").where(F.size("ids") <= k)
+    few = names.where(F.size("ids") <= k).join(order.select("node", flat.alias("flat")), "node", "left")
     few = few.select(F.explode("ids").alias("me"), "ids", F.coalesce("flat", F.array().cast("array<struct<neighbour:string,similarity:double>>")).alias("flat"))
     few = few.select(F.col("me").alias("id"), F.slice(F.concat(own(F.col("me")), "flat"), 1, k).alias("r"))
-    crowded = nodes.where(F.size("ids") > k).select("same", "ids")
+    crowded = written(nodes.where(F.size("ids") > k).select("same", "ids"))
     many = keyed.select("id", "same").join(crowded, "same").select("id", F.slice(own(F.col("id")), 1, k).alias("r"))
-    return few.unionByName(many).select("id", F.explode("r").alias("r")).select("id", "r.neighbour", "r.similarity")
+    return few.unionByName(many.distinct()).select("id", F.explode("r").alias("r")).select("id", "r.neighbour", "r.similarity")
 
 
 def _usable(spark, d: str) -> DataFrame:
