@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("scalar_queries", "index_queries", "search_queries")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
