@@ -21,6 +21,18 @@ BASE = {"P": 0x10000, "K": 0x12000, "B": 0x14000, "D": 0x16000}
 RANGES = {kind: f"{chr(base)}-{chr(base + 0x1FFF)}" for kind, base in BASE.items()}
 
 
+#: A run of equal items of a comma list. In every grammar here such a list may be of any length, so the run
+#: derives as three of its items do; long tables of data thus cost no more than short ones.
+RUN = re.compile(r"([^,()\[\]{}\n]{1,16},)\1{3,}")
+
+
+def shortened(text: str, comma: str) -> str:
+    """The text with runs of equal items cut to three."""
+    if len(text) < 40:
+        return text
+    return RUN.sub(r"\1\1\1", text.replace(comma, ",")).replace(",", comma)
+
+
 class Grammar:
     """A grammar in EBNF: lines ``name = alternatives``, with quoted tokens, token classes in capitals, P:name, K:name, B:name
     and D:name for brackets and their contents, and ``( )``, ``?``, ``*``, ``+`` as usual. A line that begins with a blank goes on.
@@ -45,6 +57,7 @@ class Grammar:
             for name in more:
                 self.sets.setdefault(name, set()).add(self.char(token))
         self._compile()
+        self.comma = self.char(",")
         self.memo: dict[tuple[str, str], tuple[frozenset[str], bool]] = {}
         self.groups: dict[str, str] = {}
         self.group_chars: dict[tuple[str, frozenset[str]], str] = {}
@@ -253,6 +266,7 @@ class Grammar:
         parse could go on; so each is parsed by itself and equal ones are parsed once.
         """
         item, _ = self.lists[name]
+        text = shortened(text, self.comma)
         cuts = [m.end() for m in self.ends[name].finditer(text)]
         if not cuts or cuts[-1] < len(text):
             cuts.append(len(text))
@@ -287,7 +301,7 @@ class Grammar:
             by: dict[str, list[str]] = {}
             for name in self.wanted[kind]:
                 prepare = self.content.get(name) or self.content.get(kind)
-                by.setdefault(prepare(inner) if prepare else inner, []).append(name)
+                by.setdefault(shortened(prepare(inner) if prepare else inner, self.comma), []).append(name)
             for text, names in by.items():
                 found |= self.matches(text, tuple(names))
             known = self.stand_in(kind, frozenset(found))
