@@ -33,5 +33,5 @@ def test_same_as_sql(spark, db, name):
     assert sorted(repr([plain(r[c]) for c in columns]) for r in rows) == sorted(repr([plain(v) for v in r]) for r in said.fetchall())
 
 
-def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.SQL)
+def test_every_query_has_sql_or_python_in_it():
+    assert set(registry.QUERIES) - set(registry.SQL) == {"parse_symbols", "symbol_kinds", "semantic_chunks", "chunk_embeddings"}
