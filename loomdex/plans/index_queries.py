@@ -37,7 +37,7 @@ def upsert_files(spark, d):
 def stale_files(spark, d):
     """Indexed files that the newest scan has no more."""
     files = table(spark, d, "files_new", "pk", "project_id", "path").where("pk % 5 <> 1")
-    seen = table(spark, d, "file_previews", "project_id", "relative_path").where("relative_path is not null").select("project_id", S.normal_path(F.col("relative_path")).alias("path")).distinct()
+    seen = table(spark, d, "file_previews", "project_id", "relative_path", "last_modified").where("relative_path is not null and last_modified % 3 <> 0").select("project_id", S.normal_path(F.col("relative_path")).alias("path")).distinct()
     return files.join(seen, ["project_id", "path"], "left_anti").select("pk", "path")
 
 
@@ -67,7 +67,7 @@ def _symbols(spark, d) -> DataFrame:
     rows = table(spark, d, "parse_results", "project_id", "file_path", "symbols", "parsed_at").where("file_path is not null").withColumn("path", path)
     newest = U.last_writer(rows, ["project_id", "path"], "parsed_at", "file_path")
     files = table(spark, d, "files_new", "pk", "project_id", "path")
-    return newest.join(files, ["project_id", "path"]).select(F.col("pk").alias("file_id"), "path", F.posexplode("symbols").alias("pos", "s")).select("file_id", "path", "pos", "s.name", "s.kind", F.coalesce("s.parent", F.lit("")).alias("parent"), "s.start_line", "s.end_line")
+    return newest.join(files, ["project_id", "path"]).select(F.col("pk").alias("file_id"), "path", F.posexplode("symbols").alias("pos", "s")).select("file_id", "path", F.col("pos").cast("long").alias("pos"), "s.name", "s.kind", F.coalesce("s.parent", F.lit("")).alias("parent"), "s.start_line", "s.end_line")
 
 
 _SYMBOLS = r"""WITH newest AS (SELECT *, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') AS path FROM parse_results WHERE file_path IS NOT NULL
@@ -83,7 +83,10 @@ def chunk_symbol_links(spark, d):
 
 
 def container_symbols(spark, d):
-    return Y.containers(_symbols(spark, d), ("class", "struct", "interface", "heading", "group", "media")).select("file_id", "pos")
+    """Files, taken as symbols over all their lines, and other symbols that strictly contain another symbol of their file."""
+    rows = _symbols(spark, d)
+    whole = rows.groupBy("file_id", "path").agg(F.lit(-1).cast("long").alias("pos"), F.first("path").alias("name"), F.lit("file").alias("kind"), F.lit("").alias("parent"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    return Y.containers(rows.unionByName(whole), ("file", "class", "struct", "interface", "heading")).select("file_id", "pos")
 
 
 def node_occurrence_ids(spark, d):
@@ -91,7 +94,7 @@ def node_occurrence_ids(spark, d):
 
 
 def outline_parents(spark, d):
-    return Y.sibling_position(Y.parents(_symbols(spark, d))).select("file_id", "pos", "parent_pos", F.col("position").cast("long").alias("position"))
+    return Y.sibling_position(Y.parents(_symbols(spark, d))).select("file_id", "pos", F.coalesce("parent_pos", F.lit(-1)).cast("long").alias("parent_pos"), F.col("position").cast("long").alias("position"))
 
 
 def outline_tree(spark, d):
@@ -146,7 +149,7 @@ def file_chunks(spark, d):
 def newest_previews(spark, d):
     """The newest scan of each file, its path cleaned."""
     rows = table(spark, d, "file_previews", "project_id", "relative_path", "scanned_at", "last_modified").where("relative_path is not null").withColumn("path", S.normal_path(F.col("relative_path")))
-    return rows.groupBy("project_id", "path").agg(F.max("scanned_at").alias("scanned_at"), F.max_by("last_modified", "scanned_at").alias("last_modified"))
+    return rows.groupBy("project_id", "path").agg(F.unix_micros(F.max("scanned_at")).alias("scanned_us"), F.max_by("last_modified", "scanned_at").alias("last_modified"))
 
 
 def snippet_source(spark, d):
@@ -164,15 +167,15 @@ SQL = {
     "dedupe_min_id": "SELECT file_id, line_start, line_end, min(id) AS id FROM chunks_new GROUP BY ALL",
     "upsert_files": """WITH n AS (SELECT CASE WHEN pk % 2 = 0 THEN pk ELSE pk + 100000000 END AS pk, path, 'new' AS hash, 9::BIGINT AS created_at, 9::BIGINT AS updated_at FROM files_new WHERE pk % 3 = 0)
         SELECT coalesce(n.pk, o.pk) AS pk, coalesce(n.path, o.path) AS path, coalesce(n.hash, o.hash) AS hash, coalesce(o.created_at, n.created_at) AS created_at, coalesce(n.updated_at, o.updated_at) AS updated_at FROM files_new o FULL JOIN n ON n.pk = o.pk""",
-    "stale_files": f"SELECT pk, path FROM files_new f WHERE pk % 5 <> 1 AND NOT EXISTS (SELECT 1 FROM file_previews p WHERE p.project_id = f.project_id AND {_NORMAL} = f.path)",
+    "stale_files": f"SELECT pk, path FROM files_new f WHERE pk % 5 <> 1 AND NOT EXISTS (SELECT 1 FROM file_previews p WHERE p.project_id = f.project_id AND p.last_modified % 3 <> 0 AND {_NORMAL} = f.path)",
     "cascade_delete": "SELECT 'chunks' AS name, count(*) AS n FROM chunks_new WHERE file_id NOT IN (SELECT pk FROM files_new WHERE pk % 4 = 0) UNION ALL SELECT 'sources', count(*) FROM source_files WHERE file_id NOT IN (SELECT pk FROM files_new WHERE pk % 4 = 0)",
     "config_overlay": "SELECT id, CASE WHEN length(id) % 2 = 0 THEN display_name ELSE upper(display_name) END AS display_name, CASE WHEN max_sequence_length > 300 THEN max_sequence_length ELSE 9 END AS max_sequence_length, 0 AS cpu_latency_ms FROM embedding_models",
     "kv_upsert": "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "chunk_symbol_links": _SYMBOLS + " SELECT DISTINCT c.id AS chunk_id, s.file_id || ':' || s.pos AS symbol_id FROM chunks_new c JOIN sym s ON s.file_id = c.file_id AND s.start_line BETWEEN c.line_start AND c.line_end",
-    "container_symbols": _SYMBOLS + " SELECT file_id, pos FROM sym a WHERE kind IN ('class', 'struct', 'interface', 'heading', 'group', 'media') AND EXISTS (SELECT 1 FROM sym b WHERE b.file_id = a.file_id AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND (a.start_line < b.start_line OR a.end_line > b.end_line))",
+    "container_symbols": _SYMBOLS + ", a AS (SELECT file_id, pos, kind, start_line, end_line FROM sym UNION ALL SELECT file_id, -1, 'file', min(start_line), max(end_line) FROM sym GROUP BY file_id) SELECT file_id, pos FROM a WHERE kind IN ('file', 'class', 'struct', 'interface', 'heading') AND EXISTS (SELECT 1 FROM a b WHERE b.file_id = a.file_id AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND (a.start_line < b.start_line OR a.end_line > b.end_line))",
     "node_occurrence_ids": _SYMBOLS + " SELECT file_id, pos, concat_ws(':', path, start_line, end_line, name, row_number() OVER (PARTITION BY file_id, start_line, end_line, name ORDER BY pos) - 1) AS node_id FROM sym",
-    "outline_parents": _SYMBOLS + ", " + _PARENTS + " SELECT file_id, pos, parent_pos, position FROM nodes",
-    "outline_tree": _SYMBOLS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PARENTS + ", t AS (SELECT file_id, pos, 1 AS depth, printf('%06d', position) AS trail FROM nodes WHERE parent_pos IS NULL UNION ALL SELECT n.file_id, n.pos, t.depth + 1, t.trail || '/' || printf('%06d', n.position) FROM nodes n JOIN t ON t.file_id = n.file_id AND t.pos = n.parent_pos WHERE t.depth < 4) SELECT * FROM t",
+    "outline_parents": _SYMBOLS + ", " + _PARENTS + " SELECT file_id, pos, coalesce(parent_pos, -1) AS parent_pos, position FROM nodes",
+    "outline_tree": _SYMBOLS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PARENTS + ", t AS (SELECT file_id, pos, 1::INTEGER AS depth, printf('%06d', position) AS trail FROM nodes WHERE parent_pos IS NULL UNION ALL SELECT n.file_id, n.pos, t.depth + 1, t.trail || '/' || printf('%06d', n.position) FROM nodes n JOIN t ON t.file_id = n.file_id AND t.pos = n.parent_pos WHERE t.depth < 4) SELECT * FROM t",
     "heading_of_lines": "WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT - 1 AS line FROM documents) SELECT l.doc_id, l.line, (SELECT arg_max(h.t, h.line) FROM r h WHERE h.doc_id = l.doc_id AND h.line <= l.line AND regexp_matches(h.t, '^#{1,6} ')) AS heading FROM r l WHERE contains(l.t, '`')",
     "union_paths": "SELECT project_id, path FROM files_new UNION SELECT project_id, relative_path FROM file_previews UNION SELECT project_id, file_path FROM parse_results",
     "missing_paths": "SELECT project_id, relative_path AS path FROM file_previews EXCEPT SELECT project_id, path FROM files_new",
@@ -180,6 +183,6 @@ SQL = {
     "folder_tree": "SELECT DISTINCT project_id, array_to_string(p[1:n], '/') AS node, n::BIGINT AS depth, n < len(p) AS is_folder FROM (SELECT project_id, p, unnest(range(1, len(p) + 1)) AS n FROM (SELECT project_id, string_split(path, '/') AS p FROM files_new))",
     "gap_lines": "SELECT file_id, (coalesce(last, 0) + 1)::BIGINT AS gap_start, (line_start - 1)::BIGINT AS gap_end FROM (SELECT *, max(line_end) OVER (PARTITION BY file_id ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM (SELECT DISTINCT file_id, line_start, line_end FROM chunks_new)) WHERE line_start > coalesce(last, 0) + 1",
     "file_chunks": "SELECT c.id, f.path, line_start, coalesce(symbol_name, '') AS symbol_name, coalesce(token_count, 0) AS token_count, coalesce(is_collapsed, false) AS is_collapsed FROM chunks_new c JOIN files_new f ON f.pk = c.file_id ORDER BY path, line_start, c.id",
-    "newest_previews": f"SELECT project_id, {_NORMAL} AS path, max(scanned_at) AS scanned_at, arg_max(last_modified, scanned_at) AS last_modified FROM file_previews WHERE relative_path IS NOT NULL GROUP BY 1, 2",
+    "newest_previews": f"SELECT project_id, {_NORMAL} AS path, epoch_us(max(scanned_at)) AS scanned_us, arg_max(last_modified, scanned_at) AS last_modified FROM file_previews WHERE relative_path IS NOT NULL GROUP BY 1, 2",
     "snippet_source": f"SELECT DISTINCT id, md5(CASE WHEN len(l) > 120 THEN array_to_string(list_concat(list_concat(l[1:60], ['{S.COLLAPSED}']), l[-40:]), chr(10)) ELSE b END) AS body FROM (SELECT id, b, string_split(b, chr(10)) AS l FROM (SELECT id, CASE WHEN trim(source_code, ' ') <> '' THEN source_code ELSE content END AS b FROM chunks_new))",
 }
