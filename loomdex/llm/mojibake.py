@@ -186,6 +186,8 @@ class Reader:
         for n, key in enumerate(KEYS):
             if (key[-1][1] in DOUBLE) != double or (new := reread(run, key)) is None:
                 continue
+            if double and 2 * sum(ord(c) >= 0x2E80 for c in new) < len(new):
+                continue  # these encodings are for East Asian letters
             if new not in done:
                 odd = sum(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in new)
                 g = score(before + new + after) - now - 6.0 * odd
@@ -266,13 +268,12 @@ def _add(table: np.ndarray, runs: Counter[str]) -> None:
     runs.clear()
 
 
-def learned(scored: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> DataFrame:
+def learned(scored: DataFrame, totals: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> DataFrame:
     """(source, key, weight): expectation-maximization of each source's weights of the keys.
 
-    ``scored`` has doc_id, source, key, gain. The unchanged reading competes with gain 0. Sums are pre-aggregated by source
+    ``scored`` has doc_id, source, key, gain, ``totals`` source and n, its documents. The unchanged reading competes with gain 0. Sums are pre-aggregated by source
     and key, so a source that holds a third of all documents is no larger a group than others.
     """
-    totals = scored.select("doc_id", "source").distinct().groupBy("source").agg(F.count("*").alias("n"))
     weights = scored.select("source", "key").distinct().withColumn("weight", F.lit(prior))
     for _ in range(rounds):
         odds = scored.join(weights, ["source", "key"]).withColumn("odds", F.col("weight") * F.exp(F.least("gain", F.lit(60.0))))
@@ -303,7 +304,7 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
             for doc, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
                 lost, (evidence, places) = text.count(LOST), read(text)
                 rows = []
-                for n in np.flatnonzero(evidence >= max(1.0, 0.3 * evidence.max())).tolist():
+                for n in np.flatnonzero(evidence >= max(0.5 * least_gain, 0.3 * evidence.max())).tolist():
                     new, at = [], 0
                     for a, b in sorted(places[n]):
                         new += [text[at:a], reread(text[a:b], KEYS[n])]
@@ -317,7 +318,8 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "source", "key", "gain", "lost", "restored"])
 
     scored = written(rows.mapInArrow(run, f"doc_id {kind}, source string, key int, gain double, lost int, restored string"))
-    weights = learned(scored.where("key >= 0").select("doc_id", "source", "key", "gain"), rounds)
+    totals = rows.groupBy("source").agg(F.count("*").alias("n"))
+    weights = learned(scored.where("key >= 0").select("doc_id", "source", "key", "gain"), totals, rounds)
     judged = scored.join(weights, ["source", "key"], "left").withColumn("odds", F.when(F.col("key") >= 0, F.col("gain") + F.log(F.coalesce("weight", F.lit(PRIOR)))))
     best = judged.groupBy("doc_id").agg(F.max_by(F.struct("source", "key", "gain", "odds", "lost", "restored"), F.struct(F.coalesce("odds", F.lit(-1e9)), -F.col("key"))).alias("r")).select("doc_id", "r.*")
     utf8 = [n for n, key in enumerate(KEYS) if key[-1][1] == "utf-8"]
