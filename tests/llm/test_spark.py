@@ -117,6 +117,7 @@ def test_garbled(spark):
     plain = ["Der nächste Durchlauf hält den Zähler für später zurück", "Größere Änderungen führen über viele Wörter", "La sesión envió señales después del mediodía", "L’étape évite déjà un délai où l’on répète", "Ошибка появляется после обновления таблицы"]
     rows = [(i, plain[i % 5] + f" {i % 7}", "clean") for i in range(400)]
     rows += [(1000 + i, (plain[i % 5] + " x").encode().decode("cp1252", "replace") if i % 5 < 4 else plain[4].encode("cp1251").decode("latin-1"), "bad") for i in range(10)]
+    rows += [(3000 + i, f"Das Lager schließt zu früh, führt {i % 3} Wörter", "clean") for i in range(60)]
     rows += [(2000, None, "a"), (2001, "", None), (2002, "   ", "a"), (None, "fÃ¼r", "a"), (2003, "plain ASCII", "a"), (2004, "f�r", None), (2005, "À Á Â Ã are letters", "a")]
     found = {r.doc_id: r.restored for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit("z"))).collect()}
     assert set(found) == {*range(1000, 1010), 2004} and found[2004] is None
