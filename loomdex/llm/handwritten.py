@@ -24,7 +24,7 @@ VENDORED_FOLDERS = (
 GENERATED_FOLDERS = ("gen", "autogen", "__generated__", "generated", "generated-sources", "generated_sources", "_generated", ".next", ".nuxt")
 BUILT_FOLDERS = ("dist", "out")
 # Endings of names of generated and minified files.
-GENERATED_NAME = r"(?i)(?:[._-](?:pb|pb2|pb2_grpc|pb\.gw|gen|generated|autogen|grpc\.pb)|\.(?:g|designer)|^zz_generated.*|_string\.gen|_pb)\.[a-z0-9]+$"
+GENERATED_NAME = r"(?i)(?:[._-](?:pb|pb2|pb2_grpc|pb\.gw|gen|generated|autogen|grpc\.pb)|\.(?:g|designer)|^zz_generated.*|_string\.gen)\.(?!md$|markdown$|txt$|rst$)[a-z0-9]+$"
 MINIFIED_NAME = r"(?i)[._-]min\.(?:js|css|mjs|cjs)$|[.-](?:bundle|chunk)\.(?:js|css)$"
 # What the tops of such files say.
 GENERATED_TEXT = re.compile(
