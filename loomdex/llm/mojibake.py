@@ -154,18 +154,21 @@ class Letters:
         self.bigrams, self.letters, self.runs = bigrams, letters, runs
         self.total = float(letters.sum()) + LETTERS
 
-    def score(self, text: str) -> float:
-        """Log probability of all letters of text but the first, given the one before each."""
-        p = _points(text)
-        if len(p) < 2:
-            return 0.0
-        alone = (self.letters[p[1:] % LETTERS] + 0.02) / self.total
-        before = self.letters[p[:-1] % LETTERS]
-        return float(np.log((self.bigrams[_slots(p)].min(axis=0) + 3 * alone) / (before + 3)).sum())
-
-    def occurs(self, text: str) -> float:
-        """Logarithm of how often a run stands between these neighbours in all documents."""
-        return float(np.log(self.runs[_place(text)].min() + 0.5))
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Of each text, none empty, the log probability of all letters but the first, given the one before each."""
+        p = _points("".join(texts))
+        ends = np.cumsum([len(t) for t in texts])
+        each = np.zeros(len(p))
+        if len(p) > 1:
+            alone = (self.letters[p[1:] % LETTERS] + 0.02) / self.total
+            before = self.letters[p[:-1] % LETTERS]
+            each[:-1] = np.log((self.bigrams[_slots(p)].min(axis=0) + 3 * alone) / (before + 3))
+        each[ends - 1] = 0  # pairs across texts
+        return np.add.reduceat(each, np.r_[0, ends[:-1]])
+
+    def occur(self, texts: list[str]) -> np.ndarray:
+        """Of each run with its neighbours, the logarithm of how often it stands in all documents."""
+        return np.log(self.runs[np.array([_place(t) for t in texts])].min(axis=1) + 0.5)
 
 
 class Reader:
@@ -179,23 +182,26 @@ class Reader:
         at = (before, run, after, double)
         if (known := self.seen.get(at)) is not None:
             return known
-        score, keys, odds = self.letters.score, [], []
-        now, short = score(before + run + after), len(run) <= LONGEST_RUN
-        often = self.letters.occurs(before + run + after) if short else 0.0
-        done: dict[str, float] = {}
+        keys, which, places = [], [], {run: 0}
         for n, key in enumerate(KEYS):
-            if (key[-1][1] in DOUBLE) != double or (new := reread(run, key)) is None:
+            if (key[-1][1] in DOUBLE) != double or not (new := reread(run, key)):
                 continue
             if double and 2 * sum(ord(c) >= 0x2E80 for c in new) < len(new):
                 continue  # these encodings are for East Asian letters
-            if new not in done:
-                odd = sum(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in new)
-                g = score(before + new + after) - now - 6.0 * odd
-                if short and RUN.fullmatch(new):
-                    g += self.letters.occurs(before + new + after) - often
-                done[new] = g
             keys.append(n)
-            odds.append(done[new])
+            which.append(places.setdefault(new, len(places)))
+        news = list(places)
+        if keys:
+            whole = [before + x + after for x in news]
+            value = self.letters.scores(whole)
+            value[1:] -= [6.0 * sum(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in x) for x in news[1:]]
+            if len(run) <= LONGEST_RUN:
+                runs = [k for k, x in enumerate(news) if k == 0 or RUN.fullmatch(x)]
+                often = self.letters.occur([whole[k] for k in runs])
+                value[runs[1:]] += often[1:] - often[0]
+            odds = value[which] - value[0]
+        else:
+            odds = []
         out = np.array(keys, dtype=np.int16), np.array(odds, dtype=np.float32)
         if len(self.seen) >= REMEMBER:
             self.seen.clear()
@@ -211,20 +217,19 @@ class Reader:
         """
         evidence, places = np.zeros(len(KEYS)), {}
         for double, pattern in ((False, RUN), (True, RUN_DOUBLE)):
+            found: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+            for a, b in map(re.Match.span, pattern.finditer(text)):
+                found.setdefault((text[max(0, a - 1) : a], text[a:b], text[b : b + 1]), []).append((a, b))
             by: dict[str, tuple[np.ndarray, np.ndarray, list]] = {}
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                before, after = text[max(0, a - 1) : a], text[b : b + 1]
-                keys, odds = self.run(before, m.group(), after, double)
+            for (before, run, after), spans in found.items():
+                keys, odds = self.run(before, run, after, double)
                 if not len(keys):
                     continue
-                told, counts, spots = by.get(m.group()) or by.setdefault(m.group(), (np.zeros(len(KEYS)), np.zeros(len(KEYS)), []))
+                told, counts, spots = by.get(run) or by.setdefault(run, (np.zeros(len(KEYS)), np.zeros(len(KEYS)), []))
+                odds = odds * len(spans)
                 told[keys] += odds
-                if b - a > 1 or before.isalpha() or after.isalpha():
-                    counts[keys] += odds
-                else:
-                    counts[keys] += odds * MULTIBYTE[keys]
-                spots.append((a, b))
+                counts[keys] += odds if len(run) > 1 or before.isalpha() or after.isalpha() else odds * MULTIBYTE[keys]
+                spots += spans
             for told, counts, spots in by.values():
                 evidence += np.maximum(counts, 0)
                 for n in np.flatnonzero(told > 0):
