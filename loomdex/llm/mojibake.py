@@ -37,9 +37,13 @@ PRIOR, ROUNDS = 1e-3, 5
 LOST = "�"
 
 # Code pages that text was read as by mistake.
-READ_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "cp1253")
+READ_AS = (
+    "latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "cp1253",
+    "cp852", "mac_cyrillic", "iso8859-5", "iso8859-7", "cp775", "cp1257", "iso8859-13", "iso8859-4", "cp737", "cp855", "cp857", "mac_latin2", "mac_greek", "mac_turkish")
 # Encodings that text was in.
-WRITTEN_IN = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp1250", "iso8859-2", "shift_jis", "euc_jp", "cp866", "gb18030", "mac_roman", "cp437", "euc_kr", "big5")
+WRITTEN_IN = (
+    "utf-8", "cp1252", "cp1251", "koi8-r", "cp1250", "iso8859-2", "shift_jis", "euc_jp", "cp866", "gb18030", "mac_roman", "cp437", "euc_kr", "big5",
+    "cp850", "cp852", "mac_cyrillic", "iso8859-5", "iso8859-7", "cp1253", "cp1254", "cp775", "cp1257", "iso8859-13", "iso8859-4", "iso8859-15", "cp737", "cp855", "cp857", "mac_latin2", "mac_greek", "mac_turkish")
 
 
 def page(name: str) -> list[str]:
@@ -61,9 +65,12 @@ FOREIGN = {name: {c for c in range(0x80, 0x100) if c not in TO_BYTES[name]} for
 #: Pairs of single-byte pages become one translate() table.
 SINGLE = {(a, b): {ord(x): y for x, y in zip(PAGES[a], page(b), strict=True) if x != y} for a in READ_AS for b in WRITTEN_IN if b not in ("utf-8", "shift_jis", "euc_jp", "gb18030", "euc_kr", "big5")}
 DOUBLE = ("shift_jis", "euc_jp", "gb18030", "euc_kr", "big5")
+#: What text read as a double-byte page by mistake was in.
+UNDER_DOUBLE = ("utf-8", "cp1252", "cp1251", "koi8-r", *DOUBLE)
 MULTI = ("utf-8", *DOUBLE)
 KEYS: list[tuple[tuple[str, str], ...]] = [((a, b),) for a in READ_AS for b in WRITTEN_IN if a != b and not (b in ("gb18030", "euc_kr", "big5") and a not in ("latin-1", "cp1252"))]
 KEYS += [((a, "utf-8"), (c, "utf-8")) for a in ("latin-1", "cp1252", "cp1251", "cp437", "mac_roman", "cp1250") for c in ("latin-1", "cp1252", "cp1251", "cp437", "mac_roman", "cp1250") if a == c or {a, c} <= {"latin-1", "cp1252"}]
+KEYS += [((a, b),) for a in DOUBLE for b in UNDER_DOUBLE if a != b]
 KEYS += [(("cp1252", "utf-8"),) * 3, (("latin-1", "utf-8"),) * 3]
 #: 1 for keys whose right encoding has several bytes a letter, which chance seldom makes valid.
 MULTIBYTE = np.array([float(key[-1][1] in MULTI) for key in KEYS])
@@ -78,6 +85,8 @@ def step(run: str, read_as: str, written_in: str) -> str | None:
 
     For UTF-8, valid sequences within the run are read anew and the other letters are kept, for some may have been lost.
     """
+    if read_as in DOUBLE:
+        return step_double(run, read_as, written_in)
     if written_in not in MULTI:
         return run.translate(SINGLE[read_as, written_in])
     if any(ord(c) in FOREIGN[read_as] for c in run):
@@ -101,6 +110,24 @@ def step(run: str, read_as: str, written_in: str) -> str | None:
         return None
 
 
+def step_double(run: str, read_as: str, written_in: str) -> str | None:
+    """The same for a run read as a double-byte page. Of a letter at either end of a stretch some bytes may be lost; of UTF-8, all between must be valid."""
+    out = []
+    for part in re.split(f"({LOST})", run):
+        try:
+            raw = part.encode(read_as) if part != LOST else b""
+            if written_in == "utf-8" and raw:
+                head = re.match(rb"[\x80-\xbf]{0,3}", raw).end()
+                tail = re.search(rb"(?:[\xc2-\xf4]|[\xe0-\xf4][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{2})?\Z", raw[head:]).start() + head
+                out.append(LOST * (head > 0) + raw[head:tail].decode(written_in) + LOST * (tail < len(raw)))
+            else:
+                out.append(raw.decode(written_in) if part != LOST else LOST)
+        except UnicodeError:
+            return None
+    new = "".join(out)
+    return new if new.strip(LOST) else None
+
+
 def step_utf8(raw: bytes, read_as: str) -> str | None:
     try:
         return raw.decode("utf-8")
@@ -209,13 +236,13 @@ class Reader:
             self.seen[at] = out
         return out
 
-    def __call__(self, text: str) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-        """By key the evidence for it, and the runs to read anew under each key that has any.
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]:
+        """By key the evidence for it, the log odds of all that it reads anew, and the runs to read anew under each key that has any.
 
         A run that stands in several places is judged by all of them together. A single letter that stands alone
-        between signs or spaces is no evidence for a swap of single-byte pages.
+        between signs or spaces is no evidence for a swap of single-byte pages, but helps to choose among keys.
         """
-        evidence, places = np.zeros(len(KEYS)), {}
+        evidence, whole, places = np.zeros(len(KEYS)), np.zeros(len(KEYS)), {}
         for double, pattern in ((False, RUN), (True, RUN_DOUBLE)):
             found: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
             for a, b in map(re.Match.span, pattern.finditer(text)):
@@ -232,9 +259,10 @@ class Reader:
                 spots += spans
             for told, counts, spots in by.values():
                 evidence += np.maximum(counts, 0)
+                whole += np.maximum(told, 0)
                 for n in np.flatnonzero(told > 0):
                     places.setdefault(int(n), []).extend(spots)
-        return evidence, places
+        return evidence, whole, places
 
 
 def counted(documents: DataFrame) -> Letters:
@@ -303,34 +331,42 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(shared.value)
-        types = [kept_type, pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.string()]
-        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
+        types = [kept_type, pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.string()]
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             out: list[list] = [[] for _ in types]
             for doc, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
-                lost, (evidence, places) = text.count(LOST), read(text)
-                rows = []
+                lost, (evidence, whole, places) = text.count(LOST), read(text)
+                rows, known = [], set()
                 for n in np.flatnonzero(evidence >= max(0.5 * least_gain, 0.3 * evidence.max())).tolist():
                     new, at = [], 0
                     for a, b in sorted(places[n]):
                         new += [text[at:a], reread(text[a:b], KEYS[n])]
                         at = b
-                    rows.append((doc, source, n, float(evidence[n]), lost, "".join(new) + text[at:]))
+                    new = "".join(new) + text[at:]
+                    reading = xxhash.xxh3_64_intdigest(new.encode("utf-8", "surrogatepass")) >> 1
+                    rows.append((doc, source, n, float(evidence[n]), float(whole[n]), lost, reading, None if reading in known else new))
+                    known.add(reading)
                 if not rows and lost:
-                    rows.append((doc, source, -1, 0.0, lost, text))
+                    rows.append((doc, source, -1, 0.0, 0.0, lost, 0, text))
                 for row in rows:
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "source", "key", "gain", "lost", "restored"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "source", "key", "gain", "whole", "lost", "reading", "restored"])
 
-    scored = written(rows.mapInArrow(run, f"doc_id {kind}, source string, key int, gain double, lost int, restored string"))
+    scored = written(rows.mapInArrow(run, f"doc_id {kind}, source string, key int, gain double, whole double, lost int, reading long, restored string"))
     totals = rows.groupBy("source").agg(F.count("*").alias("n"))
     weights = learned(scored.where("key >= 0").select("doc_id", "source", "key", "gain"), totals, rounds)
     judged = scored.join(weights, ["source", "key"], "left").withColumn("odds", F.when(F.col("key") >= 0, F.col("gain") + F.log(F.coalesce("weight", F.lit(PRIOR)))))
-    best = judged.groupBy("doc_id").agg(F.max_by(F.struct("source", "key", "gain", "odds", "lost", "restored"), F.struct(F.coalesce("odds", F.lit(-1e9)), -F.col("key"))).alias("r")).select("doc_id", "r.*")
+    # Keys that agree in what they restore speak for the same reading; its odds are those of all together.
+    together = F.greatest(F.max("odds"), F.log(F.sum(F.exp(F.least("odds", F.lit(600.0))))))
+    one = F.max_by(F.struct("source", "key", "gain", "whole", "lost", F.col("odds").alias("own")), F.struct(F.coalesce("odds", F.lit(-1e9)), -F.col("key"))).alias("r")
+    judged = judged.groupBy("doc_id", "reading").agg(one, F.max("restored").alias("restored"), together.alias("odds")).select("doc_id", "r.*", "restored", "odds")
     utf8 = [n for n, key in enumerate(KEYS) if key[-1][1] == "utf-8"]
     least = F.when(F.col("key").isin(utf8), least_gain).otherwise(least_gain_other)
-    tells = F.coalesce((F.col("gain") >= least) & (F.col("odds") >= float(np.log(PRIOR)) + least), F.lit(False))
-    return best.where(tells | (F.col("lost") > 0)).select("doc_id", "source", F.when(tells, F.col("key")).alias("key"), F.round("gain", 3).alias("gain"), "lost", F.when(tells, F.col("restored")).alias("restored"))
+    judged = judged.withColumn("tells", F.coalesce((F.col("gain") >= least) & (F.col("odds") >= float(np.log(PRIOR)) + least), F.lit(False)))
+    rank = F.struct("tells", F.coalesce(F.col("own") - F.col("gain") + F.col("whole"), F.lit(-1e9)), -F.col("key"))
+    best = judged.groupBy("doc_id").agg(F.max_by(F.struct("source", "key", "gain", "tells", "lost", "restored"), rank).alias("r")).select("doc_id", "r.*")
+    return best.where(F.col("tells") | (F.col("lost") > 0)).select("doc_id", "source", F.when(F.col("tells"), F.col("key")).alias("key"), F.round("gain", 3).alias("gain"), "lost", F.when(F.col("tells"), F.col("restored")).alias("restored"))
 
 
 def _documents(spark, d: str) -> DataFrame:

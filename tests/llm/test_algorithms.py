@@ -140,6 +140,18 @@ def test_rereading_restores(key, text):
     assert garbled != text and mojibake.reread(garbled, key) == text
 
 
+@pytest.mark.parametrize(("read_as", "written_in", "text"), [("latin-1", "cp850", "interrupção"), ("cp852", "utf-8", "następną"), ("cp1252", "cp775", "žodžių"), ("mac_cyrillic", "cp1251", "Ошибка"), ("iso8859-5", "koi8-r", "Ошибка"), ("iso8859-7", "cp1252", "déjà"), ("gb18030", "utf-8", "处理记录"), ("gb18030", "cp1251", "Ошибка")])
+def test_pages_are_listed(read_as, written_in, text):
+    garbled = text.encode(written_in).decode(read_as)
+    assert ((read_as, written_in),) in mojibake.KEYS and mojibake.reread(garbled, ((read_as, written_in),)) == text
+
+
+def test_double_byte_page_keeps_what_is_whole():
+    garbled = "次の処理".encode().decode("shift_jis", "replace")
+    assert mojibake.LOST in garbled and mojibake.reread(garbled, (("shift_jis", "utf-8"),)).startswith("次の処")
+    assert mojibake.reread("处理记录", (("gb18030", "utf-8"),)) is None
+
+
 def test_lost_letters_keep_the_rest():
     assert mojibake.reread("Ã¤Ã", (("latin-1", "utf-8"),)) == "äÃ"
     assert mojibake.reread("日本", (("latin-1", "cp1251"),)) is None

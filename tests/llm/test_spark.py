@@ -125,6 +125,14 @@ def test_garbled(spark):
     assert mojibake.garbled(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_garbled_by_pages_of_dos_and_iso(spark):
+    plain = ["A versão número 4 não encontrou o batch após a migração, sem interrupção", "Nenhuma sessão está à exceção da verificação, então põe fim às posições", "Każdy parcel rozpocznie następną próbę, wcześniejsze żądanie się kończy", "Proszę usunąć stary moduł i ponownie włączyć filter, jeśli łączy błąd"]
+    rows = [(i, plain[i % 4] + f" {i % 7}", "clean") for i in range(400)]
+    rows += [(1000 + i, plain[i % 2].encode("cp850").decode("latin-1"), "bad") for i in range(2)] + [(1000 + i, plain[i].encode().decode("cp852"), "bad") for i in (2, 3)]
+    found = {r.doc_id: r.restored for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {1000 + i: plain[i] for i in range(4)}
+
+
 def test_docpairs(spark):
     schema = "id string, project_id string, language string, parent string, symbol_kind string, symbol_name string, doc_string string, source_code string, updated_at long, tells string"
     rows = [
