@@ -130,23 +130,58 @@ def _grammar(typed: bool) -> Grammar:
 
 _S, _D = r"'(?:[^'\\\n]|\\.)*'", r'"(?:[^"\\\n]|\\.)*"'
 _COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
-
-
-def _template(inner: str) -> str:
-    hole = r"\$\{(?:[^{}`'\"]|" + _S + "|" + _D + r"|\{(?:[^{}`'\"]|" + _S + "|" + _D + r")*\}" + (f"|{inner}" if inner else "") + r")*\}"
-    return r"`(?:[^`\\$]|\\.|\$(?!\{)|" + hole + ")*`"
-
-
-TEMPLATE = _template(_template(_template("")))
-HOLE = re.compile(r"\$\{((?:[^{}`'\"]|" + _S + "|" + _D + r"|\{(?:[^{}`'\"]|" + _S + "|" + _D + r")*\}|" + _template(_template("")) + r")*)\}|\\.", re.S)
 _BEFORE = r"(?:(?<=[(,=:\[!&|?{};+\-*%~^<>])|(?<=\breturn)|(?<=\bcase)|(?<=\btypeof)|(?<=\bof)|(?<=\bin)|(?<=\bdelete)|(?<=\bvoid)|(?<=\bthrow)|(?<=\bnew)|(?<=\belse)|(?<=\bdo)|(?<=\bawait)|(?<=\byield)|(?<=\A))"
 TOKEN = re.compile(
     _BEFORE + r"(?:\s|" + _COMMENT + r")*/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
-    + r"|[^\S\n]+|\n\s*|" + _COMMENT + "|" + _S + "|" + _D + "|" + TEMPLATE + r"|#?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4})(?:[\w$]|\\u[0-9a-fA-F]{4})*"
+    + r"|[^\S\n]+|\n\s*|" + _COMMENT + "|" + _S + "|" + _D + r"|#?(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4})(?:[\w$]|\\u[0-9a-fA-F]{4})*"
     + r"|0[xX][0-9a-fA-F_]+n?(?![\w$])|0[oO][0-7_]+n?(?![\w$])|0[bB][01_]+n?(?![\w$])|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?(?![\w$])"
     + r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|.",
     re.S,
 )
+#: The text of a template literal up to a hole or its end.
+TEXT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+
+
+def template(source: str, at: int) -> tuple[int, list[str]] | None:
+    """Where the template literal that begins at ``at`` ends, and what its own holes hold; None if it has no end.
+
+    A hole is read token by token, for braces, strings, comments, regular expressions and further templates may stand in it, as deep as they like.
+    """
+    stack, holes, begin, at = ["`"], [], 0, at + 1
+    while stack:
+        if stack[-1] == "`":
+            at = TEXT.match(source, at).end()
+            if source.startswith("${", at):
+                at += 2
+                begin = at if len(stack) == 1 else begin
+                stack.append("${")
+            elif source.startswith("`", at):
+                at += 1
+                stack.pop()
+            else:
+                return None
+        elif m := TOKEN.match(source, at):
+            t, at = m.group(), m.end()
+            if t in ("{", "`"):
+                stack.append(t)
+            elif t == "}" and stack.pop() == "${" and len(stack) == 1:
+                holes.append(source[begin : at - 1])
+        else:
+            return None
+    return at, holes
+
+
+def tokens(source: str) -> list[str]:
+    """The tokens of a source; a template literal is one, a backtick alone is one that has no end."""
+    if "`" not in source:
+        return TOKEN.findall(source)
+    out, at = [], 0
+    while m := TOKEN.match(source, at):
+        end = template(source, at) if m.group() == "`" else None
+        now = end[0] if end else m.end()
+        out.append(source[at:now])
+        at = now
+    return out
 
 
 class Dialect:
@@ -172,10 +207,8 @@ class Dialect:
         if t[0] in "\"'":
             return "s" if len(t) > 1 else BAD
         if t[0] == "`":
-            if len(t) < 2:
-                return BAD
-            holes = (m.group(1) for m in HOLE.finditer(t) if m.group(1) is not None) if "${" in t else ()
-            return "t" if all(self.expression(h) for h in holes) else BAD
+            whole = template(t, 0)
+            return "t" if whole and all(self.expression(h) for h in whole[1]) else BAD
         bare = t if t[0] == "/" else re.sub(r"^(?:\s|" + _COMMENT + ")*", "", t)
         if t[:2] in ("//", "/*") and (not bare or bare == t):
             return ("\n" if "\n" in t else "") if t[:2] == "//" or len(t) > 3 else BAD
@@ -188,14 +221,14 @@ class Dialect:
         return "i" if t[0].isalpha() or t[0] in "_$\\" and t != "\\" else BAD
 
     def characters(self, source: str) -> str:
-        text = "".join(map(self.kinds.__getitem__, TOKEN.findall(source)))
+        text = "".join(map(self.kinds.__getitem__, tokens(source)))
         return self.before.sub("", self.after.sub("", text))
 
     def expression(self, source: str) -> bool:
         if re.fullmatch(r"\s*[A-Za-z_$][\w$.]*\s*", source):
             return True
-        text = self.grammar.reduce(self.characters(source).replace("\n", ""))
-        return text is not None and self.grammar.derived(text, "exprs")[0]
+        text = self.grammar.reduce(self.characters(source))  # line ends within its blocks count
+        return text is not None and self.grammar.derived(text.replace("\n", ""), "exprs")[0]
 
     def valid(self, source: str) -> bool:
         source = re.sub(r"\A#![^\n]*", "", source.removeprefix("﻿"))

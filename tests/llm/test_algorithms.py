@@ -220,6 +220,18 @@ def test_valid_and_broken_sources(language):
     assert not accept("import logging\nfrom a import b\n\ndef f(x):\n    return x\n") and not accept("# A heading\n\nSome prose that isn't code.\n")
 
 
+@pytest.mark.parametrize("accept", [script.SCRIPT.valid, script.TYPESCRIPT.valid])
+def test_templates_of_any_depth(accept):
+    deep = "x"
+    for _ in range(6):
+        deep = "`a ${f({ b: { c: " + deep + " } })}`"
+    for good in ("let a = `${xs.map(x => { return { a: x } })}`", f"let a = {deep}", "let a = `${xs.map(x => {\n  const y = `<${x}>`\n  return { y }\n}).join('}')}`\nb()", "let a = `${b.replace(/[`{}]/g, '') /* } */}`", "let a = `\\${ \\` $ {`", "let a = `${{ b: `${c}` }.b}${d}`"):
+        assert accept(good), good
+        assert not accept(good.replace("}`", "`")) or "}`" not in good, good
+    for bad in ("let a = `${xs.map(x => { return { a: x } )}`", "let a = `${xs.map(x => { return { a: } })}`", "let a = `${b", "let a = `${`b}`", "let a = `b", "let a = `${}`"):
+        assert not accept(bad), bad
+
+
 def test_types_are_no_javascript():
     assert script.TYPESCRIPT.valid("let a: number = 1;") and not script.SCRIPT.valid("let a: number = 1;")
 
