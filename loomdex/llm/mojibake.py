@@ -324,8 +324,9 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
     key is null where only lost letters (U+FFFD) tell. Repeated rows give one.
     """
     spark: SparkSession = documents.sparkSession
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).where(F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    shared = spark.sparkContext.broadcast(counted(rows))  # of fixed size
+    every = documents.where("doc_id is not null and text is not null").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
+    rows = every.where(F.rlike("text", F.lit(r"[^\x00-\x7F]")))  # only these can hold garbled text
+    shared = spark.sparkContext.broadcast(counted(every))  # of fixed size
     kind = documents.schema["doc_id"].dataType.simpleString()
     kept_type = to_arrow_type(documents.schema["doc_id"].dataType)
 
@@ -354,7 +355,7 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "source", "key", "gain", "whole", "lost", "reading", "restored"])
 
     scored = written(rows.mapInArrow(run, f"doc_id {kind}, source string, key int, gain double, whole double, lost int, reading long, restored string"))
-    totals = rows.groupBy("source").agg(F.count("*").alias("n"))
+    totals = every.groupBy("source").agg(F.count("*").alias("n"))
     weights = learned(scored.where("key >= 0").select("doc_id", "source", "key", "gain"), totals, rounds)
     judged = scored.join(weights, ["source", "key"], "left").withColumn("odds", F.when(F.col("key") >= 0, F.col("gain") + F.log(F.coalesce("weight", F.lit(PRIOR)))))
     # Keys that agree in what they restore speak for the same reading; its odds are those of all together.

@@ -133,6 +133,15 @@ def test_garbled_by_pages_of_dos_and_iso(spark):
     assert found == {1000 + i: plain[i] for i in range(4)}
 
 
+def test_garbled_counts_all_documents(spark, monkeypatch):
+    seen, real = {}, (mojibake.counted, mojibake.learned)
+    monkeypatch.setattr(mojibake, "counted", lambda df: seen.update(letters=real[0](df)) or seen["letters"])
+    monkeypatch.setattr(mojibake, "learned", lambda scored, totals, rounds: seen.update(n={r.source: r.n for r in totals.collect()}) or real[1](scored, totals, rounds))
+    rows = [(i, "zq", "a") for i in range(5)] + [(9, "fÃ¼r", "a"), (10, None, "a"), (None, "zq", "a"), (11, "", "b")]
+    assert [r.doc_id for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()] in ([], [9])
+    assert seen["letters"].letters[ord("z")] == 5 and seen["n"] == {"a": 6, "b": 1}
+
+
 def test_docpairs(spark):
     schema = "id string, project_id string, language string, parent string, symbol_kind string, symbol_name string, doc_string string, source_code string, updated_at long, tells string"
     rows = [
