@@ -1,18 +1,22 @@
 """Text garbled by decoding with a wrong character encoding: finding it and restoring the original.
 
 A wrong decoding is a substitution cipher: each byte of the right encoding was read as some other
-letter. The possible keys are the pairs of code pages (the letters that bytes were read as, the
-encoding they should have been read in), once or twice over. How likely each key is in each source
-is learned by expectation-maximization: the expectation weighs, for each document, the reading
-under every key by the probability of its letters under bigrams of the languages; the maximization
-sets the keys' weights in each source. Bigrams are counted over all documents. What is restored is
-put back with str.translate().
+letter. Each source is a mixture of such ciphers and of clean text, learned by expectation-maximization
+against letter bigrams: the ciphers that code pages give are the starts, and one more cipher of each
+source starts from nothing, for pages that nobody listed. The expectation weighs for each document the
+reading under every cipher by the bigrams; the maximization sets the ciphers' weights in each source
+and then, from the documents that chose a cipher, which letter each of its bytes stands for. The learned
+table is applied with str.translate() to the passages that it makes likelier.
+
+Bigrams are counted over all documents, exactly, between some 2,400 symbols: each letter of the
+alphabets is one, of East Asian letters each row of 256. Behind a pair that was never met stand the
+classes of its letters (script and category), so that languages which the corpus lacks are told from
+signs within words as well.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,24 +26,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomdex.llm import cipher
+from loomdex.llm.letters import Letters, counts, points
 from loomdex.sources.tables import table, written
 
-#: Bigrams are counted in three hashed tables of this size, of which the least counts; letters in one. They are what is sent to the executors.
-BIGRAMS, LETTERS = 1 << 19, 1 << 16
 #: What a Python worker remembers of runs already read is cleared at so many; only speed depends on it.
-REMEMBER = 30_000
-#: Runs up to this length are counted as wholes too.
-LONGEST_RUN = 12
-#: Log odds from which a document counts as garbled, under a key whose right encoding is UTF-8 and under others.
-LEAST_GAIN, LEAST_GAIN_OTHER = 6.0, 12.0
+REMEMBER = 60_000
+#: Log odds of a document from which it counts as garbled, under a key whose right encoding is UTF-8 and under others. A key that its source
+#: has taught to be likelier than at first needs less, but never less than the third.
+LEAST_GAIN, LEAST_GAIN_OTHER, LEAST_OWN = 8.0, 12.0, 9.0
 #: The prior of a key before anything is learned, and how many rounds learn.
-PRIOR, ROUNDS = 1e-3, 5
-LOST = "�"
-
-# Code pages that text was read as by mistake.
+PRIOR, ROUNDS = 1e-3, 4
+#: Log odds under this are as good as this.
+FLOOR = -8.0
+#: Log odds for each byte that valid UTF-8 saves: by chance a row of letters is seldom valid.
+VALID = 3.5
+#: Log odds for a passage to end between two runs of letters beyond ASCII.
+TURN = -2.5
+LOST = "\ufffd"
+#: Signs of lost letters; one by itself between quotes or brackets is written about.
+LOST_LETTERS = re.compile(rf"(?<![\"'`(\[«“‘]){LOST}+|{LOST}+(?![\"'`)\]»”’{LOST}])|{LOST}{{2,}}")
+
+# Code pages that text was read as by mistake, for right encodings of one byte a letter and for UTF-8; for UTF-8 further ones.
 READ_AS = (
     "latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8-r", "iso8859-2", "iso8859-15", "cp1254", "cp1253",
     "cp852", "mac_cyrillic", "iso8859-5", "iso8859-7", "cp775", "cp1257", "iso8859-13", "iso8859-4", "cp737", "cp855", "cp857", "mac_latin2", "mac_greek", "mac_turkish")
+ONLY_UTF8 = ("cp1255", "cp1256", "cp1258", "cp858", "cp860", "cp861", "cp862", "cp863", "cp864", "cp865", "cp869", "cp1125", "cp874", "koi8-u", "iso8859-3", "iso8859-6", "iso8859-8", "iso8859-9", "iso8859-10", "iso8859-14", "iso8859-16", "mac_iceland", "mac_croatian", "mac_romanian")
 # Encodings that text was in.
 WRITTEN_IN = (
     "utf-8", "cp1252", "cp1251", "koi8-r", "cp1250", "iso8859-2", "shift_jis", "euc_jp", "cp866", "gb18030", "mac_roman", "cp437", "euc_kr", "big5",
@@ -57,7 +69,7 @@ def page(name: str) -> list[str]:
     return out
 
 
-PAGES = {name: page(name) for name in READ_AS}
+PAGES = {name: page(name) for name in READ_AS + ONLY_UTF8}
 #: To turn letters back into the bytes they were read from: translate() to latin-1.
 TO_BYTES = {name: {ord(c): b for b, c in enumerate(letters) if b >= 0x80} for name, letters in PAGES.items()}
 #: Letters that a page can't have produced: the latin-1 range outside it. They would be taken for bytes.
@@ -72,12 +84,26 @@ KEYS: list[tuple[tuple[str, str], ...]] = [((a, b),) for a in READ_AS for b in W
 KEYS += [((a, "utf-8"), (c, "utf-8")) for a in ("latin-1", "cp1252", "cp1251", "cp437", "mac_roman", "cp1250") for c in ("latin-1", "cp1252", "cp1251", "cp437", "mac_roman", "cp1250") if a == c or {a, c} <= {"latin-1", "cp1252"}]
 KEYS += [((a, b),) for a in DOUBLE for b in UNDER_DOUBLE if a != b]
 KEYS += [(("cp1252", "utf-8"),) * 3, (("latin-1", "utf-8"),) * 3]
+KEYS += [((a, "utf-8"),) for a in ONLY_UTF8]
+#: The number that stands for a cipher that no pair of pages gives.
+OPEN = len(KEYS)
 #: 1 for keys whose right encoding has several bytes a letter, which chance seldom makes valid.
 MULTIBYTE = np.array([float(key[-1][1] in MULTI) for key in KEYS])
 #: Runs in which letters beyond ASCII stand; double-byte encodings have second bytes in ASCII, so a letter after them counts too.
 RUN = re.compile(r"[^\x00-\x7f]+")
 RUN_DOUBLE = re.compile(r"(?:[^\x00-\x7f][\x40-\x7e]?)+")
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+#: Of each page the byte of each letter of the basic plane, -1 for what it hasn't; of each right page the letters of its bytes.
+BYTE_OF = {}
+for _name, _letters in PAGES.items():
+    BYTE_OF[_name] = np.full(0x10000, -1, dtype=np.int16)
+    BYTE_OF[_name][[ord(c) for c in _letters[0x80:]]] = np.arange(0x80, 0x100)
+LETTER_OF = {b: np.array([ord(c) for c in page(b)], dtype=np.uint32) for b in WRITTEN_IN if b not in MULTI}
+#: By the page read as: keys of one step to a single-byte page, and keys whose first step ends in UTF-8.
+TO_SINGLE = {a: [(n, key[0][1]) for n, key in enumerate(KEYS) if len(key) == 1 and key[0][0] == a and key[0][1] in LETTER_OF] for a in PAGES}
+TO_UTF8 = {a: [n for n, key in enumerate(KEYS) if key[0] == (a, "utf-8")] for a in PAGES}
+TO_DOUBLE = [n for n, key in enumerate(KEYS) if key[-1][1] in DOUBLE]
+FROM_DOUBLE = [n for n, key in enumerate(KEYS) if key[0][0] in DOUBLE and key[-1][1] not in DOUBLE]
 
 
 def step(run: str, read_as: str, written_in: str) -> str | None:
@@ -157,148 +183,141 @@ def reread(run: str, key: tuple[tuple[str, str], ...]) -> str | None:
     return now if now != run else None
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-
-
-def _slots(points: np.ndarray) -> np.ndarray:
-    """The slot of each pair of neighbours in each of the three tables."""
-    pair = (points[:-1].astype(np.uint64) << np.uint64(21)) | points[1:].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        return np.stack([((pair * np.uint64(m)) >> np.uint64(64 - 19)).astype(np.int64) + k * BIGRAMS for k, m in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))])
-
-
-def _place(text: str) -> list[int]:
-    """The slots of a run with its neighbours."""
-    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return [(h >> (20 * k)) % BIGRAMS + k * BIGRAMS for k in range(3)]
+# Pages in which hardly a word of any language is valid UTF-8.
+TELLING = ("latin-1", "cp1252", "cp1250", "cp1254", "cp1255", "cp1257", "cp437", "cp850", "cp852")
+RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+_suspect: dict[str, bool] = {}
 
 
-class Letters:
-    """The probability of letter sequences by bigrams, in natural logarithm, with letter counts behind them; and how often runs occur."""
+def without_utf8(texts: list[str]) -> list[str]:
+    """The texts without the runs of letters that are valid UTF-8 in such a page, so that what is garbled so doesn't count among the bigrams."""
+    if len(_suspect) > REMEMBER:
+        _suspect.clear()
 
-    def __init__(self, bigrams: np.ndarray, letters: np.ndarray, runs: np.ndarray):
-        self.bigrams, self.letters, self.runs = bigrams, letters, runs
-        self.total = float(letters.sum()) + LETTERS
+    def suspect(run: str) -> bool:
+        if (known := _suspect.get(run)) is None:
+            known = _suspect[run] = False
+            for a in TELLING:
+                if not any(ord(c) in FOREIGN[a] for c in run):
+                    try:
+                        run.translate(TO_BYTES[a]).encode("latin-1").decode("utf-8")
+                    except UnicodeError:
+                        continue
+                    known = _suspect[run] = True
+                    break
+        return known
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Of each text, none empty, the log probability of all letters but the first, given the one before each."""
-        p = _points("".join(texts))
-        ends = np.cumsum([len(t) for t in texts])
-        each = np.zeros(len(p))
-        if len(p) > 1:
-            alone = (self.letters[p[1:] % LETTERS] + 0.02) / self.total
-            before = self.letters[p[:-1] % LETTERS]
-            each[:-1] = np.log((self.bigrams[_slots(p)].min(axis=0) + 3 * alone) / (before + 3))
-        each[ends - 1] = 0  # pairs across texts
-        return np.add.reduceat(each, np.r_[0, ends[:-1]])
-
-    def occur(self, texts: list[str]) -> np.ndarray:
-        """Of each run with its neighbours, the logarithm of how often it stands in all documents."""
-        return np.log(self.runs[np.array([_place(t) for t in texts])].min(axis=1) + 0.5)
+    return [RUNS.sub(lambda m: "\0" if suspect(m.group()) else m.group(), t) for t in texts]
 
 
 class Reader:
-    """Reads the runs of a text under every key; what a run and its neighbours gave is remembered."""
+    """Reads the runs of texts under every key; what a run between its neighbours gave is remembered."""
 
     def __init__(self, letters: Letters):
         self.letters, self.seen = letters, {}
 
-    def run(self, before: str, run: str, after: str, double: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The keys that can read the run anew, and their log odds against the run as it is."""
-        at = (before, run, after, double)
-        if (known := self.seen.get(at)) is not None:
-            return known
-        keys, which, places = [], [], {run: 0}
-        for n, key in enumerate(KEYS):
-            if (key[-1][1] in DOUBLE) != double or not (new := reread(run, key)):
-                continue
-            if double and 2 * sum(ord(c) >= 0x2E80 for c in new) < len(new):
-                continue  # these encodings are for East Asian letters
-            keys.append(n)
-            which.append(places.setdefault(new, len(places)))
-        news = list(places)
-        if keys:
-            whole = [before + x + after for x in news]
-            value = self.letters.scores(whole)
-            value[1:] -= [6.0 * sum(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in x) for x in news[1:]]
-            if len(run) <= LONGEST_RUN:
-                runs = [k for k, x in enumerate(news) if k == 0 or RUN.fullmatch(x)]
-                often = self.letters.occur([whole[k] for k in runs])
-                value[runs[1:]] += often[1:] - often[0]
-            odds = value[which] - value[0]
-        else:
-            odds = []
-        out = np.array(keys, dtype=np.int16), np.array(odds, dtype=np.float32)
-        if len(self.seen) >= REMEMBER:
+    def learn(self, texts: list[str]) -> None:
+        """Reads all runs of the texts that weren't read yet, many at a time."""
+        if len(self.seen) > REMEMBER:
             self.seen.clear()
-        if len(run) <= 80:
-            self.seen[at] = out
-        return out
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]:
-        """By key the evidence for it, the log odds of all that it reads anew, and the runs to read anew under each key that has any.
+        for double, pattern in ((False, RUN), (True, RUN_DOUBLE)):
+            new = {(text[max(0, a - 1) : a], text[a:b], text[b : b + 1], double) for text in texts for a, b in map(re.Match.span, pattern.finditer(text))} - self.seen.keys()
+            todo = sorted(new)
+            for lo in range(0, len(todo), 2000):
+                self._read(todo[lo : lo + 2000], double)
+
+    def _read(self, runs: list[tuple[str, str, str, bool]], double: bool) -> None:
+        whole = [before + run + after for before, run, after, _ in runs]
+        p, sizes = points("".join(whole)), np.array([len(x) for x in whole])
+        starts = np.cumsum([0, *sizes])[:-1]
+        base = self.letters.segments(p, starts)
+        inner = p >= 0x80  # neighbours within reach are ASCII, or nothing
+        basic = np.minimum(p, 0xFFFF)
+        said: list[tuple[np.ndarray, int, np.ndarray]] = []
+        more: list[tuple[int, int, str]] = []  # run, key, what it becomes
+        for a, byte_of in BYTE_OF.items():
+            byte = np.where(inner & (p < 0x10000), byte_of[basic], -1)
+            has = np.logical_or.reduceat(byte >= 0, starts)
+            if not has.any():
+                continue
+            if double:
+                if a in READ_AS:
+                    for r in np.flatnonzero(np.logical_and.reduceat((byte >= 0) | ~inner, starts)).tolist():
+                        more += [(r, n, new) for n in TO_DOUBLE if KEYS[n][0][0] == a and (new := reread(runs[r][1], KEYS[n]))]
+                continue
+            if TO_SINGLE[a]:
+                rows = np.flatnonzero(has)
+                take = np.repeat(has, sizes)
+                q, at, n_each = p[take], byte[take], sizes[rows]
+                begin = np.cumsum([0, *n_each])[:-1]
+                for n, b in TO_SINGLE[a]:
+                    new = np.where(at >= 0, LETTER_OF[b][at], q)
+                    value = self.letters.segments(new, begin) - base[rows] - 6.0 * np.add.reduceat(((new >= 0x80) & (new < 0xA0) | (new >= 0xE000) & (new < 0xF900)).astype(float), begin)
+                    value[~np.logical_or.reduceat(new != q, begin)] = -np.inf
+                    said.append((rows, n, value))
+            raw = np.where(byte >= 0, byte, 0).astype(np.uint8).tobytes()
+            hit = {int(np.searchsorted(starts, m.start(), "right")) - 1 for m in UTF8.finditer(raw)}
+            more += [(r, n, new) for r in hit for n in TO_UTF8[a] if (new := reread(runs[r][1], KEYS[n]))]
+        if double or (inner & (p >= 0x2E80)).any():
+            for r in np.flatnonzero(np.logical_or.reduceat(p >= 0x2E80, starts)).tolist():
+                more += [(r, n, new) for n in (FROM_DOUBLE if not double else TO_DOUBLE) if KEYS[n][0][0] in DOUBLE and (new := reread(runs[r][1], KEYS[n]))]
+        if double:  # these encodings are for East Asian letters
+            more = [x for x in more if 2 * sum(ord(c) >= 0x2E80 for c in x[2]) >= len(x[2])]
+        if more:
+            value = self.letters.scores([runs[r][0] + new + runs[r][2] for r, _, new in more]) - base[[r for r, _, _ in more]]
+            value -= [6.0 * sum(0x80 <= ord(c) < 0xA0 or 0xE000 <= ord(c) < 0xF900 for c in new) for _, _, new in more]
+            value += [VALID * (len(runs[r][1]) - len(new)) if KEYS[n][-1][1] == "utf-8" and KEYS[n][0][0] not in DOUBLE else 0.0 for r, n, new in more]
+            said.append((np.array([r for r, _, _ in more]), np.array([n for _, n, _ in more]), value))
+        row = np.concatenate([r for r, _, _ in said]) if said else np.zeros(0, dtype=int)
+        key = np.concatenate([np.broadcast_to(n, r.shape) for r, n, _ in said]) if said else row
+        value = np.concatenate([v for _, _, v in said]) if said else np.zeros(0)
+        keep = value > FLOOR
+        row, key, value = row[keep], key[keep].astype(np.int16), value[keep].astype(np.float32)
+        order = np.argsort(row, kind="stable")
+        row, key, value = row[order], key[order], value[order]
+        ends = np.searchsorted(row, np.arange(len(runs) + 1))
+        for r, run in enumerate(runs):
+            a, b = ends[r], ends[r + 1]
+            self.seen[run] = (key[a:b].copy(), value[a:b].copy()) if b > a else None
+
+    def runs(self, text: str, double: bool) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray] | None]]:
+        """Of each run its place and what it gave."""
+        for a, b in map(re.Match.span, (RUN_DOUBLE if double else RUN).finditer(text)):
+            yield a, b, self.seen[text[max(0, a - 1) : a], text[a:b], text[b : b + 1], double]
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """By key the evidence for it, and the log odds of all that it reads anew, single letters too.
 
         A run that stands in several places is judged by all of them together. A single letter that stands alone
         between signs or spaces is no evidence for a swap of single-byte pages, but helps to choose among keys.
         """
-        evidence, whole, places = np.zeros(len(KEYS)), np.zeros(len(KEYS)), {}
-        for double, pattern in ((False, RUN), (True, RUN_DOUBLE)):
-            found: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
-            for a, b in map(re.Match.span, pattern.finditer(text)):
-                found.setdefault((text[max(0, a - 1) : a], text[a:b], text[b : b + 1]), []).append((a, b))
-            by: dict[str, tuple[np.ndarray, np.ndarray, list]] = {}
-            for (before, run, after), spans in found.items():
-                keys, odds = self.run(before, run, after, double)
-                if not len(keys):
+        evidence, whole = np.zeros(len(KEYS)), np.zeros(len(KEYS))
+        for double in (False, True):
+            found: dict[str, list] = {}
+            for a, b, gave in self.runs(text, double):
+                found.setdefault(text[a:b], []).append((gave, b - a > 1 or text[max(0, a - 1) : a].isalpha() or text[b : b + 1].isalpha()))
+            for each in found.values():
+                if not any(gave is not None and gave[1].max() > 0 for gave, _ in each):
                     continue
-                told, counts, spots = by.get(run) or by.setdefault(run, (np.zeros(len(KEYS)), np.zeros(len(KEYS)), []))
-                odds = odds * len(spans)
-                told[keys] += odds
-                counts[keys] += odds if len(run) > 1 or before.isalpha() or after.isalpha() else odds * MULTIBYTE[keys]
-                spots += spans
-            for told, counts, spots in by.values():
+                n_counting = sum(counting for _, counting in each)
+                told, counts = np.full(len(KEYS), FLOOR * len(each)), FLOOR * (n_counting + (len(each) - n_counting) * MULTIBYTE)
+                for gave, counting in each:
+                    if gave is not None:
+                        told[gave[0]] += gave[1] - FLOOR
+                        counts[gave[0]] += (gave[1] - FLOOR) * (1 if counting else MULTIBYTE[gave[0]])
                 evidence += np.maximum(counts, 0)
                 whole += np.maximum(told, 0)
-                for n in np.flatnonzero(told > 0):
-                    places.setdefault(int(n), []).extend(spots)
-        return evidence, whole, places
+        return evidence, whole
 
-
-def counted(documents: DataFrame) -> Letters:
-    """Counts of bigrams, letters and short runs over all documents, as tables of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(3 * BIGRAMS, dtype=np.int64), np.zeros(LETTERS, dtype=np.int64), np.zeros(3 * BIGRAMS, dtype=np.int64)]
-        runs: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                p = _points(text)
-                np.add.at(tables[1], p % LETTERS, 1)
-                if len(p) > 1:
-                    np.add.at(tables[0], _slots(p).ravel(), 1)
-                runs.update(text[max(0, a - 1) : b + 1] for a, b in map(re.Match.span, RUN.finditer(text)) if b - a <= LONGEST_RUN)
-            if len(runs) > REMEMBER:
-                _add(tables[2], runs)
-        _add(tables[2], runs)
-        for kind, counts in enumerate(tables):
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(at), pa.array(counts[at])], names=["kind", "slot", "n"])
-
-    # 6 * BIGRAMS + LETTERS rows at most, however large the corpus.
-    rows = documents.select("text").mapInArrow(run, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
-    kind, slot, n = (rows.column(c).to_numpy() for c in ("kind", "slot", "n"))
-    tables = [np.zeros(3 * BIGRAMS, dtype=np.float32), np.zeros(LETTERS, dtype=np.float32), np.zeros(3 * BIGRAMS, dtype=np.float32)]
-    for k, counts in enumerate(tables):
-        counts[slot[kind == k]] = n[kind == k]
-    return Letters(*tables)
-
-
-def _add(table: np.ndarray, runs: Counter[str]) -> None:
-    for text, n in runs.items():
-        for slot in _place(text):
-            table[slot] += n
-    runs.clear()
+    def passages(self, text: str, key: int) -> list[tuple[int, int]]:
+        """The runs to read anew under a key: the likeliest course of garbled and clean runs, where it costs to turn from one to the other."""
+        places, odds = [], []
+        for a, b, gave in self.runs(text, KEYS[key][-1][1] in DOUBLE):
+            at = np.flatnonzero(gave[0] == key) if gave is not None else ()
+            if len(at) or reread(text[a:b], KEYS[key]) is not None:
+                places.append((a, b))
+                odds.append(float(gave[1][at[0]]) if len(at) else FLOOR)
+        return [x for x, yes in zip(places, cipher.course(odds, TURN), strict=True) if yes]
 
 
 def learned(scored: DataFrame, totals: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> DataFrame:
@@ -316,58 +335,156 @@ def learned(scored: DataFrame, totals: DataFrame, rounds: int = ROUNDS, prior: f
     return weights
 
 
+def signs(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, str, str]]:
+    """Of the letters beyond ASCII in the spans each with its neighbours."""
+    for a, b in spans:
+        for k in range(a, b):
+            if text[k] >= "\x80":
+                yield text[max(0, k - 1) : k], text[k], text[k + 1 : k + 2]
+
+
+#: Places where a letter beyond ASCII stands within a word.
+WITHIN = re.compile(r"(?<=[a-z])[^\x00-\x7f]+(?=[a-z])")
+
+
+def odd_signs(text: str) -> int:
+    """How often signs stand within words that have no place there."""
+    return sum(any(map(cipher.strange, x)) for x in WITHIN.findall(text))
+
+
+def tables(chosen: DataFrame, letters) -> DataFrame:
+    """(source, key, signs, meant): for each source and key the letters that signs stand for, learned from the documents that chose it.
+
+    ``chosen`` has source, key, text. Contexts are counted before they meet, so a group has no more rows than there are pairs of neighbours of its signs.
+    """
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(letters.value)
+        for batch in batches:
+            out: dict[tuple, int] = {}
+            texts = batch.column("text").to_pylist()
+            read.learn(texts)
+            for source, key, text in zip(batch.column("source").to_pylist(), batch.column("key").to_pylist(), texts, strict=True):
+                spans = list(map(re.Match.span, RUN.finditer(text))) if key == OPEN else read.passages(text, key)
+                for c in signs(text, spans):
+                    out[source, key, *c] = out.get((source, key, *c), 0) + 1
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.string()) for c in columns[2:]), pa.array(list(out.values()), pa.int64())], names=["source", "key", "before", "sign", "after", "n"])
+
+    def group(rows: pa.Table) -> pa.Table:
+        source, key = rows.column("source")[0].as_py(), rows.column("key")[0].as_py()
+        each = list(zip(*(rows.column(c).to_pylist() for c in ("before", "sign", "after", "n")), strict=True))
+        if key == OPEN:
+            odd = [x for x in each if cipher.strange(x[1])]
+            found = {s: m for s, (m, share) in cipher.learn(odd, letters.value).items() if share >= 0.5 and m != s and m.isalpha()}
+            gains = cipher.gains(odd, letters.value, found)
+            found = {s: m for s, m in found.items() if gains[s] >= LEAST_GAIN_OTHER}  # over all of the source
+        else:
+            start = {chr(c): m for c, m in SINGLE[KEYS[key][0]].items()}
+            found = {s: m for s, (m, _) in cipher.learn(each, letters.value, start).items()}
+            found |= {s: m for s, m in start.items() if s not in found}
+        return pa.table({"source": pa.array([source]), "key": pa.array([key], pa.int32()), "signs": pa.array(["".join(found)]), "meant": pa.array(["".join(found.values())])})
+
+    single = [n for n, key in enumerate(KEYS) if len(key) == 1 and not MULTIBYTE[n] and key[0][0] not in DOUBLE]
+    rows = chosen.where(F.col("key").isin(*single, OPEN)).select("source", "key", "text").mapInArrow(contexts, "source string, key int, before string, sign string, after string, n long")
+    rows = rows.groupBy("source", "key", "before", "sign", "after").agg(F.sum("n").alias("n"))
+    return rows.groupBy("source", "key").applyInArrow(group, "source string, key int, signs string, meant string")
+
+
 def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAST_GAIN, least_gain_other: float = LEAST_GAIN_OTHER) -> DataFrame:
     """(doc_id, source, key, gain, lost, restored): each document that holds garbled text.
 
-    ``documents`` has doc_id, text, source. restored is the text with every garbled run read anew that can be; letters that
+    ``documents`` has doc_id, text, source. restored is the text with every garbled passage read anew that can be; letters that
     were lost stay lost; it is null where nothing can be read anew. Null and empty texts, and rows without a doc_id, are none; a null source is a source of its own.
-    key is null where only lost letters (U+FFFD) tell. Repeated rows give one.
+    key is the number of the pages in KEYS, OPEN for a cipher that its source alone taught, and null where only lost letters (U+FFFD, but for one shown between quotes or brackets) tell. Repeated rows give one.
     """
     spark: SparkSession = documents.sparkSession
     every = documents.where("doc_id is not null and text is not null").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
     rows = every.where(F.rlike("text", F.lit(r"[^\x00-\x7F]")))  # only these can hold garbled text
-    shared = spark.sparkContext.broadcast(counted(every))  # of fixed size
     kind = documents.schema["doc_id"].dataType.simpleString()
     kept_type = to_arrow_type(documents.schema["doc_id"].dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(shared.value)
-        types = [kept_type, pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.string()]
-        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
-            out: list[list] = [[] for _ in types]
-            for doc, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source")), strict=True):
-                lost, (evidence, whole, places) = text.count(LOST), read(text)
-                rows, known = [], set()
-                for n in np.flatnonzero(evidence >= max(0.5 * least_gain, 0.3 * evidence.max())).tolist():
-                    new, at = [], 0
-                    for a, b in sorted(places[n]):
-                        new += [text[at:a], reread(text[a:b], KEYS[n])]
-                        at = b
-                    new = "".join(new) + text[at:]
-                    reading = xxhash.xxh3_64_intdigest(new.encode("utf-8", "surrogatepass")) >> 1
-                    rows.append((doc, source, n, float(evidence[n]), float(whole[n]), lost, reading, None if reading in known else new))
-                    known.add(reading)
-                if not rows and lost:
-                    rows.append((doc, source, -1, 0.0, 0.0, lost, 0, text))
-                for row in rows:
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "source", "key", "gain", "whole", "lost", "reading", "restored"])
-
-    scored = written(rows.mapInArrow(run, f"doc_id {kind}, source string, key int, gain double, whole double, lost int, reading long, restored string"))
+    def scored(rows: DataFrame, shared) -> DataFrame:
+        """The documents that some key reads better, and those with signs out of place, with the evidence for each key."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = Reader(shared.value)
+            types = [kept_type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
+            for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+                out: list[list] = [[] for _ in types]
+                texts = batch.column("text").to_pylist()
+                read.learn(texts)
+                for doc, text, source in zip(batch.column("doc_id").to_pylist(), texts, batch.column("source").to_pylist(), strict=True):
+                    lost, (evidence, whole), odd = sum(map(len, LOST_LETTERS.findall(text))), read(text), odd_signs(text)
+                    found = []
+                    for n in np.flatnonzero(evidence >= max(0.5 * least_gain, 0.3 * evidence.max())).tolist():
+                        reading = "\0".join(f"{a}:{reread(text[a:b], KEYS[n])}" for a, b in read.passages(text, n))
+                        found.append((n, float(evidence[n]), float(whole[n]), xxhash.xxh3_64_intdigest(reading.encode("utf-8", "surrogatepass")) >> 1))
+                    if lost or odd:
+                        found.append((OPEN, 0.0, 0.0, odd))
+                    for k, row in enumerate(found):
+                        for column, value in zip(out, (doc, source, text if k == 0 else None, lost, *row), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "source", "text", "lost", "key", "gain", "whole", "reading"])
+
+        return written(rows.mapInArrow(run, f"doc_id {kind}, source string, text string, lost int, key int, gain double, whole double, reading long"))
+
+    # 1. Candidates by the bigrams of all documents; then again by those of clean text, without the documents that are surely garbled.
+    pairs, singles = counts(every, without=without_utf8)
+    first = scored(rows, spark.sparkContext.broadcast(Letters(pairs, singles)))  # of fixed size
+    texts = first.where("text is not null").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    sure = first.groupBy("doc_id").agg(F.max("gain").alias("gain"), F.max("lost").alias("lost"), F.max("text").alias("text")).where((F.col("gain") >= least_gain_other) | (F.col("lost") > 0))
+    garbled_pairs, garbled_singles = counts(sure, without=without_utf8)
+    shared = spark.sparkContext.broadcast(Letters(np.maximum(pairs - garbled_pairs, 0), np.maximum(singles - garbled_singles, 0)))  # of fixed size
+    scored = scored(texts, shared)
+
+    # 2. The weights of the keys in each source, and the key of each document.
     totals = every.groupBy("source").agg(F.count("*").alias("n"))
-    weights = learned(scored.where("key >= 0").select("doc_id", "source", "key", "gain"), totals, rounds)
-    judged = scored.join(weights, ["source", "key"], "left").withColumn("odds", F.when(F.col("key") >= 0, F.col("gain") + F.log(F.coalesce("weight", F.lit(PRIOR)))))
+    known = scored.where(F.col("key") < OPEN).drop("text").distinct()
+    weights = learned(known.select("doc_id", "source", "key", "gain"), totals, rounds)
+    judged = known.join(weights, ["source", "key"], "left").withColumn("odds", F.col("gain") + F.log(F.coalesce("weight", F.lit(PRIOR))))
     # Keys that agree in what they restore speak for the same reading; its odds are those of all together.
     together = F.greatest(F.max("odds"), F.log(F.sum(F.exp(F.least("odds", F.lit(600.0))))))
-    one = F.max_by(F.struct("source", "key", "gain", "whole", "lost", F.col("odds").alias("own")), F.struct(F.coalesce("odds", F.lit(-1e9)), -F.col("key"))).alias("r")
-    judged = judged.groupBy("doc_id", "reading").agg(one, F.max("restored").alias("restored"), together.alias("odds")).select("doc_id", "r.*", "restored", "odds")
+    one = F.max_by(F.struct("source", "key", "gain", "whole", F.col("odds").alias("own")), F.struct("odds", -F.col("key"))).alias("r")
+    judged = judged.groupBy("doc_id", "reading").agg(one, together.alias("odds")).select("doc_id", "r.*", "odds")
     utf8 = [n for n, key in enumerate(KEYS) if key[-1][1] == "utf-8"]
     least = F.when(F.col("key").isin(utf8), least_gain).otherwise(least_gain_other)
-    judged = judged.withColumn("tells", F.coalesce((F.col("gain") >= least) & (F.col("odds") >= float(np.log(PRIOR)) + least), F.lit(False)))
-    rank = F.struct("tells", F.coalesce(F.col("own") - F.col("gain") + F.col("whole"), F.lit(-1e9)), -F.col("key"))
-    best = judged.groupBy("doc_id").agg(F.max_by(F.struct("source", "key", "gain", "tells", "lost", "restored"), rank).alias("r")).select("doc_id", "r.*")
-    return best.where(F.col("tells") | (F.col("lost") > 0)).select("doc_id", "source", F.when(F.col("tells"), F.col("key")).alias("key"), F.round("gain", 3).alias("gain"), "lost", F.when(F.col("tells"), F.col("restored")).alias("restored"))
+    judged = judged.where((F.col("gain") >= F.when(F.col("key").isin(utf8), least_gain).otherwise(LEAST_OWN)) & (F.col("odds") >= float(np.log(PRIOR)) + least))
+    rank = F.struct(F.col("own") - F.col("gain") + F.col("whole"), -F.col("key"))
+    best = judged.groupBy("doc_id").agg(F.max_by(F.struct("source", "key", "gain"), rank).alias("r")).select("doc_id", "r.*")
+    seen = scored.groupBy("doc_id").agg(F.min("source").alias("any_source"), F.max("lost").alias("lost"), F.max(F.when(F.col("key") == OPEN, F.col("reading"))).alias("odd"))
+    chosen = seen.join(best, "doc_id", "left").withColumn("key", F.coalesce("key", F.when(F.col("odd") > 0, OPEN)))
+    chosen = chosen.where("key is not null or lost > 0").select("doc_id", F.coalesce("source", "any_source").alias("source"), "key", F.coalesce("gain", F.lit(0.0)).alias("gain"), "lost")
+    chosen = written(chosen.join(texts.select("doc_id", "text"), "doc_id"))
+
+    # 3. What each sign stands for in each source, and the texts with the passages translated.
+    with_tables = chosen.join(tables(chosen, shared), ["source", "key"], "left")
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(shared.value)
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            texts, keys, gains = (batch.column(c).to_pylist() for c in ("text", "key", "gain"))
+            read.learn(texts)
+            out: list[str | None] = []
+            for row, (text, key, own, meant) in enumerate(zip(texts, keys, *(batch.column(c).to_pylist() for c in ("signs", "meant")), strict=True)):
+                table = str.maketrans(own, meant) if own else {}
+                if key is None or key == OPEN:
+                    new = text.translate(table)
+                    whole = shared.value.scores([text + ".", new + "."]) if key == OPEN and new != text else (0.0, 0.0)
+                    gains[row] = float(whole[1] - whole[0])
+                    out.append(new if gains[row] >= LEAST_OWN else None)
+                    keys[row] = OPEN if out[-1] is not None else None
+                    continue
+                new, at = [], 0
+                for a, b in read.passages(text, key):
+                    new += [text[at:a], text[a:b].translate(table) if own else reread(text[a:b], KEYS[key])]
+                    at = b
+                out.append("".join(new) + text[at:])
+            names = ["doc_id", "source", "key", "gain", "lost", "restored"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(keys, pa.int32()), pa.array(gains, pa.float64()), batch.column("lost"), pa.array(out, pa.string())], names=names)
+
+    restored = with_tables.select("doc_id", "source", "text", "key", "gain", "lost", "signs", "meant").mapInArrow(restore, f"doc_id {kind}, source string, key int, gain double, lost int, restored string")
+    return restored.where("key is not null or lost > 0").withColumn("gain", F.round("gain", 3))
 
 
 def _documents(spark, d: str) -> DataFrame:
@@ -381,7 +498,7 @@ def p10_found(spark, d: str) -> DataFrame:
 
 def p10_restored(spark, d: str) -> DataFrame:
     """The documents that hold garbled text, with the key and the restored text."""
-    names = F.create_map(*[x for n, key in enumerate(KEYS) for x in (F.lit(n), F.lit("; ".join(f"{b} read as {a}" for a, b in key)))])
+    names = F.create_map(*[x for n, key in enumerate(KEYS) for x in (F.lit(n), F.lit("; ".join(f"{b} read as {a}" for a, b in key)))], F.lit(OPEN), F.lit("a cipher of its source"))
     return garbled(_documents(spark, d)).withColumn("key", names[F.col("key")])
 
 

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomdex.llm import docpairs, encoding, handwritten, leakage, mojibake, neardup, neighbours, packing, splitting
+from loomdex.llm import cipher, docpairs, encoding, handwritten, leakage, mojibake, neardup, neighbours, packing, splitting
 from loomdex.llm.syntax import css, golang, jsontext, python3, script, sql
 
 FOLDER = "/root/testdata/sf0.01"
@@ -250,3 +250,13 @@ def test_same_verdict_as_other_parsers(extension):
             except Exception:
                 good = False
             assert ACCEPT[extension](text) is good, text[-200:]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.floats(-6, 6), max_size=9))
+def test_course_is_the_likeliest(odds):
+    import itertools
+
+    value = lambda c: sum(x for x, yes in zip(odds, c, strict=True) if yes) - 2.5 * sum(a != b for a, b in itertools.pairwise(c))
+    best = max(map(value, itertools.product([False, True], repeat=len(odds))))
+    assert abs(value(cipher.course(odds, -2.5)) - best) < 1e-9

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.llm import docpairs, encoding, handwritten, leakage, mojibake, neardup, neighbours, packing, splitting, syntax_check
+from loomdex.llm import docpairs, encoding, handwritten, leakage, letters, mojibake, neardup, neighbours, packing, splitting, syntax_check
 
 CHUNK = "id string, embedding_model_id string, token_count int, content string, updated_at long, tokens string, capacity string, size string"
 
@@ -133,13 +133,32 @@ def test_garbled_by_pages_of_dos_and_iso(spark):
     assert found == {1000 + i: plain[i] for i in range(4)}
 
 
-def test_garbled_counts_all_documents(spark, monkeypatch):
-    seen, real = {}, (mojibake.counted, mojibake.learned)
-    monkeypatch.setattr(mojibake, "counted", lambda df: seen.update(letters=real[0](df)) or seen["letters"])
-    monkeypatch.setattr(mojibake, "learned", lambda scored, totals, rounds: seen.update(n={r.source: r.n for r in totals.collect()}) or real[1](scored, totals, rounds))
-    rows = [(i, "zq", "a") for i in range(5)] + [(9, "fÃ¼r", "a"), (10, None, "a"), (None, "zq", "a"), (11, "", "b")]
-    assert [r.doc_id for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()] in ([], [9])
-    assert seen["letters"].letters[ord("z")] == 5 and seen["n"] == {"a": 6, "b": 1}
+def test_letters_are_counted_over_all_documents(spark):
+    df = spark.createDataFrame([("zq zé",), ("zq",), ("日本",), ("",)], "text string").repartition(3)
+    pairs, singles = letters.counts(df)
+    slot = lambda a, b: int(letters.SYMBOL[ord(a)]) * letters.N + int(letters.SYMBOL[ord(b)])
+    assert singles[ord("z")] == 3 and singles[ord("日")] == 1 and pairs[slot("z", "q")] == 2 and pairs[slot("z", "é")] == 1 and pairs[slot("q", "z")] == 0
+
+
+POLISH = ["Zażółć gęślą jaźń, ponieważ każdy użytkownik może zgłosić błąd", "Proszę usunąć stary moduł, gdyż następna próba się nie powiedzie", "Książka leży na stole, a jej treść jest dostępna także wieczorem"]
+
+
+@pytest.mark.parametrize("read_as", ["cp1252", "cp1250", "cp852", "cp1257", "cp1255"])
+def test_garbled_in_a_language_that_the_corpus_lacks(spark, read_as):
+    plain = ["Der nächste Durchlauf hält den Zähler für später zurück", "La sesión envió señales después del mediodía", "L’étape évite déjà un délai où l’on répète", "Nenhuma sessão está à exceção da verificação"]
+    rows = [(i, plain[i % 4] + f" {i % 7}", "clean") for i in range(300)]
+    rows += [(1000 + i, "".join(mojibake.page(read_as)[b] for b in POLISH[i].encode()), "bad") for i in range(3)]
+    found = {r.doc_id: r.restored for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {1000 + i: POLISH[i] for i in range(3)}
+
+
+def test_a_cipher_that_no_page_gives(spark):
+    plain = ["Der nächste Durchlauf hält den Zähler für später zurück", "Größere Änderungen führen über viele Wörter", "Das Lager schließt zu früh, führt dann Wörter", "Zwölf große Läufer hören früh", "Später wählen Schüler ähnliche Gänge"]
+    swap = str.maketrans({"ä": "☂", "ö": "⚑", "ü": "♞", "ß": "⌘"})
+    rows = [(i, plain[i % 5] + f" {i % 7}", "clean") for i in range(400)] + [(1000 + i, (plain[i % 5] + f" und {i}").translate(swap), "odd") for i in range(12)]
+    rows += [(2000, "a ☂ b ☂ c, x☂y", "clean"), (2001, "The sign '�' (�) is shown for lost letters.", "clean")]
+    found = {r.doc_id: (r.key, r.restored) for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert found == {1000 + i: (mojibake.OPEN, plain[i % 5] + f" und {i}") for i in range(12)}
 
 
 def test_docpairs(spark):
