@@ -1,11 +1,13 @@
 """Near-duplicate texts: a MinHash LSH forest for candidates, then exact verification.
 
-Texts become sets of word triples. Equal sets are one node. Each of TREES trees
-orders the nodes by a label of min-hashes; nodes that share a prefix of the label
-are candidates. The prefix is shortened from DEPTH until the chance that a pair at
-the threshold shares it in some tree reaches the target recall. A sketch of 128
-bits, compared within the bucket, keeps pairs that are clearly less similar from
-being emitted, and the rest are counted exactly.
+Texts become sets of word triples. Equal sets are one node. Each tree of the forest orders the nodes by a
+label of min-hashes, and nodes that share a prefix of the label are candidates. Prefixes are shortened
+from DEPTH as far as a pair at the threshold needs to be found in TREES trees with the target recall. An item that
+lies in a crowded branch at that length gets a longer prefix instead, and as many further trees as keep the recall; so on, branch by
+branch, up to DEPTH. Every pair keeps its recall: either one of the two is in no crowded branch, so that no branch
+they share is crowded, or both are in the forest of longer prefixes. What is crowded at DEPTH too is compared in
+blocks. A sketch of 128 bits, compared within the branch, keeps pairs that are clearly less similar from
+being emitted (it loses less than one in 50,000 true pairs at the threshold), and the rest are counted exactly.
 """
 
 from __future__ import annotations
@@ -16,19 +18,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.sources.tables import cut, latest_by, table, written
 
 TREES, DEPTH = 32, 8
 TARGET_RECALL = 0.995
+#: Nodes from which on a branch is crowded, and the most that are compared with one another in one block.
+CROWDED, BLOCK = 200, 2000
 
 
 def most_different(threshold: float) -> int:
-    """Bits of 128 in which a candidate pair's sketches may differ: 4.3 standard deviations above the mean at the threshold."""
+    """Bits of 128 in which a candidate pair's sketches may differ: 5 standard deviations above the mean at the threshold."""
     p = (1 - threshold) / 2
-    return int(128 * p + 4.3 * (128 * p * (1 - p)) ** 0.5)
+    return int(128 * p + 5 * (128 * p * (1 - p)) ** 0.5)
 
 
 #: Words (runs of letters, digits, underscores) and signs (any other non-blank character).
@@ -45,6 +49,14 @@ def prefix_length(threshold: float, target: float = TARGET_RECALL, trees: int =
     return 1
 
 
+def trees_for(prefix: int, threshold: float, target: float = TARGET_RECALL, trees: int = TREES) -> int:
+    """How many trees a prefix needs, so that a pair at the threshold shares it in one of them with the target probability."""
+    n = trees
+    while 1 - (1 - threshold**prefix) ** n < target:
+        n += 1
+    return n
+
+
 def triple_hashes(texts: list[str], least: int) -> list[np.ndarray | None]:
     """Of each text the sorted distinct 64-bit hashes of its triples; None for a text under ``least`` words and signs."""
     known: dict[str, int] = {}
@@ -95,7 +107,7 @@ def nodes(texts: DataFrame, least: int, trees: int, prefix: int) -> DataFrame:
                 if not rows:
                     continue
                 kept = [sets[k] for k in rows]
-                sig = signatures(kept, max(trees * prefix, 128))
+                sig = signatures(kept, max(trees * prefix, 128))  # the first are the same whatever the number
                 whole = np.array([[(h := xxhash.xxh3_128_intdigest(s.tobytes())) & (2**64 - 1), h >> 64] for s in kept], dtype=np.uint64).view(np.int64)
                 odd = (sig[:, :128] * np.uint32(0x9E3779B1)) >> np.uint32(31)
                 bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
@@ -124,22 +136,47 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, threshold: float = 0.7, least: int = 60, trees: int = TREES, target: float = TARGET_RECALL):
         self.texts = texts.where("id is not null and text is not null").select("id", "text", F.coalesce(F.col("version").cast("long"), F.lit(-1)).alias("version"))
-        self.threshold, self.least = threshold, least
+        self.threshold, self.least, self.target = threshold, least, target
+        self.trees, self.prefix = trees, prefix_length(threshold, target, trees)
         long_enough = self.texts.where(F.octet_length("text") >= least)
-        found = nodes(long_enough, least, trees, prefix_length(threshold, target, trees))
+        found = nodes(long_enough, least, trees, self.prefix)
         self.members = written(latest_by(found, ["id"], "version"))
         # A node for each distinct set; the least id stands for its copies.
         rest = ["version", "n", "bits_a", "bits_b", "keys"]
         self.nodes = self.members.groupBy("set_a", "set_b").agg(F.min_by(F.struct("id", *rest), "id").alias("r"), F.count("*").alias("copies")).select("set_a", "set_b", "copies", "r.*")
 
-    def candidates(self) -> DataFrame:
-        """(a, b), a < b: nodes that share a prefix in some tree and whose sizes and sketches allow the threshold."""
-        rows = self.nodes.select("id", "n", "bits_a", "bits_b", F.explode("keys").alias("key"))
+    def near(self, rows: DataFrame) -> DataFrame:
+        """(a, b), a < b, of the (id, n, bits_a, bits_b, key) that share a key and whose sizes and sketches allow the threshold."""
         x, y = rows.alias("x"), rows.alias("y")
         differ = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("y.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("y.bits_b")))
-        sizes = (F.least("x.n", "y.n") >= self.threshold * F.greatest("x.n", "y.n"))
+        sizes = F.least("x.n", "y.n") >= self.threshold * F.greatest("x.n", "y.n")
         at = [F.col("x.key") == F.col("y.key"), F.col("x.id") < F.col("y.id"), sizes, differ <= most_different(self.threshold)]
-        return x.join(y, at).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        return x.join(y, at).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    def candidates(self, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+        """(a, b), a < b: nodes that share a branch of the forest and whose sizes and sketches allow the threshold."""
+        level, prefix, out = self.nodes.select("id", "version", "n", "bits_a", "bits_b", "keys"), self.prefix, None
+        while True:
+            branch = Window.partitionBy("key")
+            rows = level.select("id", "n", "bits_a", "bits_b", F.explode("keys").alias("key")).withColumn("size", F.count("*").over(branch))
+            if prefix >= DEPTH:
+                break
+            pairs = self.near(rows.where(F.col("size") <= crowded))
+            out = pairs if out is None else out.unionByName(pairs)
+            hot = rows.where(F.col("size") > crowded).select("id").distinct()
+            again = written(level.select("id", "version").join(hot, "id"))
+            if not again.limit(1).count():
+                return out.distinct()
+            prefix += 1
+            texts = self.texts.join(again, ["id", "version"]).groupBy("id", "version").agg(F.min("text").alias("text"))
+            level = written(nodes(texts, self.least, trees_for(prefix, self.threshold, self.target, self.trees), prefix))
+        # The last level: a crowded branch is cut into parts, each of which meets each other once.
+        parts = F.ceil(F.col("size") / block).cast("int")
+        own = F.pmod(F.xxhash64("id"), parts).cast("int")
+        pairs_of = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, own).alias("p"), F.greatest(p, own).alias("q")))
+        cut = rows.withColumn("c", F.explode(pairs_of)).select("id", "n", "bits_a", "bits_b", F.xxhash64("key", "c.p", "c.q").alias("key"))
+        last = self.near(cut)
+        return (last if out is None else out.unionByName(last)).distinct()
 
     def verified(self) -> DataFrame:
         """(a, b, share) of the candidates whose exact share reaches the threshold, one row for two different sets."""

@@ -1,6 +1,8 @@
 """The k most similar vectors for every vector: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample; every vector is indexed, in the leaf that
+The tree is fitted on bounded samples: its top on one, and where that leaves too few points for leaves of the
+meant size, each of the top's leaves is split further on a sample of its own, in a task of its own. So leaves hold about
+LEAF vectors at any size of the collection up to LEAF * MOST_LEAVES. Every vector is indexed, in the leaf that
 its own search reaches first. A search keeps a priority queue of tree nodes and
 opens the most similar one first; how many leaves it visits is widened until the
 recall of a sample of queries against brute force over all vectors reaches the target. Searches are run
@@ -23,17 +25,16 @@ from pyspark.sql import functions as F
 
 from loomdex.sources.tables import table, written
 
-#: The sample on which the tree is fitted, in vectors.
+#: The sample on which the top of the tree is fitted, in vectors.
 SAMPLE = 40_000
-#: Vectors a leaf is meant to hold (fewer in small collections, which have LEAVES leaves).
-LEAF, LEAVES = 1_000, 200
-#: Leaves that lie together in the tree are one cell; a cell is searched in one task. There are about CELLS of them,
-#: more where a cell would else hold over CELL vectors; of one that does, a task takes BLOCK at a time.
-CELLS, CELL, BLOCK = 16, 30_000, 40_000
+#: Vectors a leaf is meant to hold, points of a sample that a leaf takes at least, and the most leaves, which bounds what is sent to the executors (to some 90 MB of 64 dimensions).
+LEAF, POINTS, MOST_LEAVES = 1_000, 20, 1 << 18
+#: Leaves that lie together in the tree are one cell of about CELL vectors; a task searches up to BLOCK vectors held by a cell for up to ASKS that ask there.
+CELL, BLOCK, ASKS = 16_000, 40_000, 120_000
 #: Children of an inner node.
 BRANCHES = 4
-#: Recall against brute force that the calibration asks for, and the number of queries on which it is measured.
-TARGET_RECALL, ASKED = 0.99, 300
+#: Recall against brute force that the calibration asks for, the number of queries on which it is measured, and the most leaves that a query may visit.
+TARGET_RECALL, ASKED, MOST_VISITS = 0.99, 300, 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -56,40 +57,88 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c, (x @ c.T).argmax(1)
 
 
+def grown(sample: np.ndarray, leaf_points: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree of k-means over a sample: centroids, the range of each node's children (equal ends for leaves), and how many points it has. Node 0 is the root."""
+    centroids, points, children = [np.zeros(sample.shape[1])], [len(sample)], [(0, 0)]
+    todo = [(0, np.arange(len(sample)))]
+    while todo:
+        node, rows = todo.pop()
+        k = min(BRANCHES, -(-len(rows) // leaf_points))
+        if k < 2 or np.ptp(sample[rows], axis=0).max() < 1e-12:
+            continue
+        c, near = kmeans(sample[rows], k, rng)
+        first = len(centroids)
+        children[node] = (first, first + k)
+        for j in range(k):
+            centroids.append(c[j])
+            points.append(int((near == j).sum()))
+            children.append((0, 0))
+            if points[-1] < len(rows):
+                todo.append((first + j, rows[near == j]))
+    return np.array(centroids, dtype=np.float32), np.array(children), np.array(points)
+
+
+def plan(total: int, sample_size: int = SAMPLE, leaf_size: int = LEAF) -> tuple[int, int, float]:
+    """How a tree over so many vectors is fitted: points of a leaf of the top, vectors that a leaf of the whole tree is to hold, and the share of
+    all vectors on which the top's leaves are split further (0 where the top is fine enough)."""
+    leaf_size = max(leaf_size, -(-total // MOST_LEAVES))
+    of_sample = min(1.0, sample_size / max(total, 1))
+    points = round(leaf_size * of_sample)
+    return max(points, min(POINTS, leaf_size)), leaf_size, 0.0 if points >= POINTS or of_sample == 1 else POINTS / leaf_size
+
+
 class Tree:
-    """A hierarchical k-means tree. children[node] is the range of its children, leaf[node] its leaf number or -1, cell[leaf] its cell."""
-
-    def __init__(self, sample: np.ndarray, leaf_size: int, cell_size: int, seed: int = 11):
-        rng, centroids, shares = np.random.default_rng(seed), [np.zeros(sample.shape[1])], [len(sample)]
-        self.children: list[tuple[int, int]] = [(0, 0)]
-        todo = [(0, np.arange(len(sample)))]
-        while todo:
-            node, rows = todo.pop()
-            k = min(BRANCHES, -(-len(rows) // leaf_size))
-            if k < 2 or np.ptp(sample[rows], axis=0).max() < 1e-12:
-                continue
-            c, near = kmeans(sample[rows], k, rng)
-            first = len(centroids)
-            self.children[node] = (first, first + k)
-            for j in range(k):
-                centroids.append(c[j])
-                shares.append(int((near == j).sum()))
-                self.children.append((0, 0))
-                if (near == j).sum() < len(rows):
-                    todo.append((first + j, rows[near == j]))
-        self.centroids = np.array(centroids)
-        self.leaf = np.full(len(centroids), -1)
-        ends = [n for n, (a, b) in enumerate(self.children) if a == b]
-        self.leaf[ends] = np.arange(len(ends))
-        self.n_leaves = len(ends)
-        self.cell, n_cells, under = np.zeros(self.n_leaves, dtype=np.int32), 0, [(0, -1)]
+    """A hierarchical k-means tree. children[node] is the range of its children, leaf[node] its leaf number or -1, cell[leaf] its cell.
+
+    ``top`` is what grown() gives over a share ``of_top`` of all vectors; ``further`` has by leaf of the top the trees
+    grown over a share ``of_further``. The nodes of each of these are compared with a query only where its search gets there.
+    """
+
+    def __init__(self, top: tuple[np.ndarray, np.ndarray, np.ndarray], of_top: float = 1.0, further: dict[int, tuple] | None = None, of_further: float = 1.0, cell_size: int = CELL):
+        centroids, children, size = [top[0]], [top[1]], [top[2] / of_top]
+        self.n_top = at = len(top[0])
+        self.spans = [(0, at)]  # nodes of the top, then of each tree below it
+        own = np.zeros(at, dtype=np.int32)
+        ends = np.flatnonzero(top[1][:, 0] == top[1][:, 1])
+        grafts, owns = [], [own]
+        for leaf, (c, kids, points) in sorted((further or {}).items()):
+            if len(c) > 1:
+                node = int(ends[leaf])
+                moved = np.where(kids == 0, 0, kids - 1 + at)  # its root is the top's leaf
+                grafts.append((node, moved[0]))
+                centroids.append(c[1:])
+                children.append(moved[1:])
+                size.append(points[1:] / of_further)
+                owns.append(np.full(len(c) - 1, len(self.spans), dtype=np.int32))
+                self.spans.append((at, at + len(c) - 1))
+                at += len(c) - 1
+        self.centroids, self.children, self.span = np.concatenate(centroids), np.concatenate(children), np.concatenate(owns)
+        for node, kids in grafts:
+            self.children[node] = kids
+        size = np.concatenate(size)
+        is_leaf = self.children[:, 0] == self.children[:, 1]
+        self.n_leaves = int(is_leaf.sum())
+        self.leaf = np.where(is_leaf, np.cumsum(is_leaf) - 1, -1)
+        self.size = size[is_leaf]
+        self.cell, self.n_cells, under = np.zeros(self.n_leaves, dtype=np.int32), 0, [(0, -1)]
         while under:  # a cell is the highest node that is small enough, or a leaf
             node, cell = under.pop()
-            if cell < 0 and (shares[node] <= cell_size or self.leaf[node] >= 0):
-                cell, n_cells = n_cells, n_cells + 1
-            if self.leaf[node] >= 0:
+            if cell < 0 and (size[node] <= cell_size or is_leaf[node]):
+                cell, self.n_cells = self.n_cells, self.n_cells + 1
+            if is_leaf[node]:
                 self.cell[self.leaf[node]] = cell
             under += [(c, cell) for c in range(*self.children[node])]
+        self.cuts = np.ones((2, self.n_cells), dtype=np.int32)  # of the vectors held in each cell, and of those that ask there
+
+    def cut(self, x: np.ndarray, total: int, visits: int, block: int, asks: int) -> None:
+        """Sets into how many parts each cell's held and asking vectors are cut, as the sample x of all vectors has it."""
+        leaves = self.visit(x, visits)
+        row, nth = np.nonzero(leaves >= 0)
+        pairs = np.unique(np.stack([row, self.cell[leaves[row, nth]]]), axis=1)
+        share = total / max(len(x), 1)
+        held = np.bincount(self.cell[leaves[:, 0]], minlength=self.n_cells) * share if len(x) else np.zeros(self.n_cells)
+        asking = np.bincount(pairs[1], minlength=self.n_cells) * share
+        self.cuts = np.maximum(1, np.ceil(np.stack([held / block, asking / asks]))).astype(np.int32)
 
     def visit(self, x: np.ndarray, visits: int) -> np.ndarray:
         """For each row of x the first ``visits`` leaves of its search, -1 where there are no more."""
@@ -97,26 +146,78 @@ class Tree:
         if self.n_leaves == 1:
             out[:, 0] = 0
             return out
-        leaf, children = self.leaf.tolist(), self.children
+        x = x.astype(np.float32)
+        leaf, children, span = self.leaf.tolist(), self.children.tolist(), self.span.tolist()
+
+        def search(start: list[float], below: dict[int, list[float]], q: np.ndarray, most: int, stop: int) -> tuple[list[int], list[int]]:
+            """Leaves in order; with ``stop`` the trees below the top are entered as leaves, and their numbers given."""
+            queue = [(start[c], c) for c in range(*children[0])]
+            heapq.heapify(queue)
+            ends, entered = [], []
+            while queue and len(ends) + len(entered) * stop < most:
+                _, node = heapq.heappop(queue)
+                if leaf[node] >= 0:
+                    ends.append(leaf[node])
+                    continue
+                a, b = children[node]
+                if own := span[a]:
+                    if stop and span[node] == 0:
+                        entered.append(own)
+                        continue
+                    base, end = self.spans[own]
+                    if own not in below:
+                        below[own] = (-(self.centroids[base:end] @ q)).tolist()
+                    for c in range(a, b):
+                        heapq.heappush(queue, (below[own][c - base], c))
+                else:
+                    for c in range(a, b):
+                        heapq.heappush(queue, (start[c], c))
+            return ends, entered
+
         for lo in range(0, len(x), 1024):
-            close = -(x[lo : lo + 1024] @ self.centroids.T)
-            for i, row in enumerate(close.tolist()):
-                a, b = children[0]
-                queue = list(zip(row[a:b], range(a, b), strict=True))
-                heapq.heapify(queue)
-                n = 0
-                while queue and n < visits:
-                    _, node = heapq.heappop(queue)
-                    if leaf[node] >= 0:
-                        out[lo + i, n] = leaf[node]
-                        n += 1
-                    else:
-                        a, b = children[node]
-                        for c in range(a, b):
-                            heapq.heappush(queue, (row[c], c))
+            part = x[lo : lo + 1024]
+            close = (-(part @ self.centroids[: self.n_top].T)).tolist()
+            below: list[dict[int, list[float]]] = [{} for _ in close]
+            if len(self.spans) > 1:  # the trees that many queries enter are compared with all of them at once
+                wants: dict[int, list[int]] = {}
+                for i, row in enumerate(close):
+                    for own in search(row, {}, part[i], min(visits, 8), 1)[1]:
+                        wants.setdefault(own, []).append(i)
+                for own, rows in wants.items():
+                    a, b = self.spans[own]
+                    for i, near in zip(rows, (-(part[rows] @ self.centroids[a:b].T)).tolist(), strict=True):
+                        below[i][own] = near
+            for i, row in enumerate(close):
+                ends, _ = search(row, below[i], part[i], visits, 0)
+                out[lo + i, : len(ends)] = ends
         return out
 
 
+def fitted(nodes: DataFrame, total: int, sample: np.ndarray, dimension: int, sample_size: int, leaf_size: int, cell_size: int) -> Tree:
+    """The tree over ``nodes`` (node, embedding), of which ``sample`` holds as many as there are up to the sample's size."""
+    points, _, share = plan(total, sample_size, leaf_size)
+    of_top = len(sample) / max(total, 1) or 1.0
+    top = grown(sample, points, np.random.default_rng(11))
+    tree = Tree(top, of_top, cell_size=cell_size)
+    if not share:
+        return tree
+    shared, rate = nodes.sparkSession.sparkContext.broadcast(tree), share
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = shared.value.visit(unit(_matrix(batch.column("embedding"), dimension)), 1)[:, 0] if batch.num_rows else np.zeros(0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("embedding")], names=["leaf", "embedding"])
+
+    def split(group: pa.Table) -> pa.Table:
+        c, children, points = grown(unit(_matrix(group.column("embedding"), dimension)), POINTS, np.random.default_rng(11))
+        return pa.table({"leaf": group.column("leaf").slice(0, 1), "c": pa.array([c.ravel().tolist()], pa.list_(pa.float32())), "children": pa.array([children.ravel().tolist()], pa.list_(pa.int32())), "points": pa.array([points.tolist()], pa.list_(pa.int32()))})
+
+    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(17)), F.lit(1_000_000)) < int(rate * 1_000_000)).select("embedding")
+    parts = some.mapInArrow(assign, "leaf int, embedding array<float>").groupBy("leaf").applyInArrow(split, "leaf int, c array<float>, children array<int>, points array<int>")
+    further = {r["leaf"]: (np.array(r["c"], dtype=np.float32).reshape(-1, dimension), np.array(r["children"]).reshape(-1, 2), np.array(r["points"])) for r in parts.toLocalIterator()}  # MOST_LEAVES bounds them
+    return Tree(top, of_top, further, rate, cell_size)
+
+
 def calibrate(tree: Tree, nodes: DataFrame, numbers: np.ndarray, queries: np.ndarray, k: int, target: float = TARGET_RECALL) -> tuple[int, float]:
     """The least number of leaf visits that reaches the target recall, and that recall.
 
@@ -145,9 +246,10 @@ def calibrate(tree: Tree, nodes: DataFrame, numbers: np.ndarray, queries: np.nda
     rows = nodes.select("node", "embedding").mapInArrow(nearest, "query int, leaf int, close double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("close")))
     true = rows.withColumn("n", rank).where(F.col("n") <= k).select("query", "leaf").toArrow()
-    order = tree.visit(queries, tree.n_leaves)
-    nth = (order[true.column("query").to_numpy()] == true.column("leaf").to_numpy()[:, None]).argmax(1)
-    visits = int(np.sort(nth)[min(len(nth) - 1, int(np.ceil(target * len(nth))) - 1)]) + 1
+    order = tree.visit(queries, min(tree.n_leaves, MOST_VISITS))
+    met = order[true.column("query").to_numpy()] == true.column("leaf").to_numpy()[:, None]
+    nth = np.where(met.any(1), met.argmax(1), order.shape[1])
+    visits = min(int(np.sort(nth)[min(len(nth) - 1, int(np.ceil(target * len(nth))) - 1)]) + 1, order.shape[1])
     return visits, float((nth < visits).mean())
 
 
@@ -168,12 +270,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size: int = SAMPLE, leaf_size: int = LEAF, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, dimension: int = 64, **sizes: int) -> DataFrame:
     """(id, neighbour, similarity): for each id of ``vectors`` (id, embedding) its k most similar others.
 
     Of identical vectors the lesser ids come first. Repeated rows count once; the embeddings are usable (see usable()). Fewer than k + 1 vectors give what there are;
     an empty table gives an empty one. All vectors are indexed and all are queries.
     """
+    return searched(vectors, k, dimension, **sizes)[0]
+
+
+def searched(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size: int = SAMPLE, leaf_size: int = LEAF, cell_size: int = CELL, block: int = BLOCK, asks: int = ASKS) -> tuple[DataFrame, float]:
+    """neighbours(), and the recall against brute force that the calibration measured on its queries."""
     spark = vectors.sparkSession
     # 1. The first k + 1 ids of each group of identical vectors; the group limit is applied before the shuffle.
     same = F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit("second"), "embedding").alias("b"))
@@ -183,17 +290,18 @@ def neighbours(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size:
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
 
-    # 2. The tree, from a bounded sample.
+    # 2. The tree, from bounded samples.
     picked = nodes if total <= sample_size else nodes.orderBy(F.xxhash64("same", F.lit(7))).limit(sample_size)
     picked = picked.select("node", "embedding").toArrow()
     sample = unit(_matrix(picked.column("embedding"), dimension)) if total else np.zeros((0, dimension))
-    of_sample = len(sample) / max(total, 1)
-    tree = Tree(sample, max(2 * k, round(min(leaf_size, total / LEAVES) * of_sample)), max(2 * k, round(min(len(sample) / CELLS, CELL * of_sample))))
+    tree = fitted(nodes, total, sample, dimension, sample_size, leaf_size, cell_size)
     asked = np.unique(np.linspace(0, max(len(sample) - 1, 0), min(ASKED, len(sample))).astype(int))
-    visits, _ = calibrate(tree, nodes, picked.column("node").to_numpy()[asked], sample[asked], k)
-    shared = spark.sparkContext.broadcast((tree, visits))  # at most twice the sample's size
+    visits, recall = calibrate(tree, nodes, picked.column("node").to_numpy()[asked], sample[asked], k)
+    tree.cut(sample[:: max(1, len(sample) // 4000)], total, visits, block, asks)
+    shared = spark.sparkContext.broadcast((tree, visits))  # bounded by MOST_LEAVES
 
-    # 3. One row for each cell that a node's search enters, with the leaves it visits there; held is the leaf that holds it.
+    # 3. One row for each cell that a node's search enters, with the leaves it visits there; held is the leaf that holds it. Where a
+    # cell's held or asking vectors are cut, each part of the one meets each part of the other once. Role 1: held here, 2: asks here, 3: both.
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, visits = shared.value
         for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
@@ -204,37 +312,29 @@ def neighbours(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size:
             order = np.lexsort((nth, cell, row))
             row, leaf, cell, nth = row[order], leaf[order], cell[order], nth[order]
             first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]) if len(row) else np.zeros(0, dtype=int)
+            ends = np.r_[first, len(row)]
+            at, here = row[first], cell[first]
             held = np.where(nth[first] == 0, leaf[first], -1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(leaf))
-            take = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(held), lists, batch.column("node").take(take), batch.column("embedding").take(take)], names=["cell", "held", "leaves", "node", "embedding"])
-
-    visited = nodes.select("node", "embedding").mapInArrow(spread, "cell int, held int, leaves array<int>, node long, embedding array<float>")
-
-    # 4. A cell over the block size is cut both ways: each block of held nodes meets each block of asking ones once.
-    # Its sizes come from the leaves that hold the nodes, without a second search.
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, _ = shared.value
-        for batch in batches:
-            n = np.bincount(tree.cell[tree.visit(unit(_matrix(batch.column("embedding"), dimension)), 1)[:, 0]], minlength=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["cell", "n"])
-
-    crowded_cells = {}
-    if total > block:
-        held_in = nodes.select("embedding").mapInArrow(home, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block)
-        crowded_cells = {r["cell"]: -(-r["n"] // block) for r in held_in.collect()}  # a row a cell at most
-    cuts = F.lit(1)
-    if crowded_cells:
-        cuts = F.coalesce(F.create_map(*[F.lit(x) for pair in crowded_cells.items() for x in pair])[F.col("cell")].cast("int"), F.lit(1))
-    here = visited.withColumn("cuts", cuts)
-    part, ask = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("cuts")).cast("int")
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-    # role 1: held here, 2: asks here, 3: both, which is sent once.
-    spot = lambda p, a, role: F.struct(p.cast("int").alias("part"), a.cast("int").alias("ask"), F.lit(role).alias("role"))
-    asks = F.transform(every, lambda p: spot(p, ask, 2))
-    holds = F.transform(every, lambda a: spot(part, a, 1))
-    both = F.concat(F.filter(asks, lambda c: c["part"] != part), F.filter(holds, lambda c: c["ask"] != ask), F.array(spot(part, ask, 3)))
-    placed = here.select("cell", "held", "leaves", "node", "embedding", F.explode(F.when(F.col("held") >= 0, both).otherwise(asks)).alias("c")).select("cell", "c.part", "c.ask", "c.role", "held", "leaves", "node", "embedding")
+            salt = batch.column("node").to_numpy()[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            parts, groups = tree.cuts[0][here], tree.cuts[1][here]
+            part, group = (salt >> np.uint64(33)).astype(np.int64) % parts, (salt >> np.uint64(13)).astype(np.int64) % (1 << 20) % groups
+            # Each asks in all parts; what is held goes to all groups that ask.
+            asks = np.repeat(np.arange(len(first)), parts)
+            to_part = np.arange(len(asks)) - np.repeat(np.cumsum(parts) - parts, parts)
+            holds = np.repeat(np.flatnonzero(held >= 0), groups[held >= 0])
+            to_group = np.arange(len(holds)) - np.repeat(np.cumsum(groups[held >= 0]) - groups[held >= 0], groups[held >= 0])
+            both = (held[asks] >= 0) & (to_part == part[asks])
+            only = to_group != group[holds]
+            entry = np.r_[asks, holds[only]]
+            role = np.r_[np.where(both, 3, 2), np.ones(int(only.sum()), dtype=np.int64)].astype(np.int32)
+            n_leaves = np.where(role >= 2, np.diff(ends)[entry], 0)
+            flat = np.repeat(ends[:-1][entry], n_leaves) + np.arange(n_leaves.sum()) - np.repeat(np.cumsum(n_leaves) - n_leaves, n_leaves)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_leaves)].astype(np.int32)), pa.array(leaf[flat]))
+            take = pa.array(at[entry])
+            columns = [pa.array(here[entry]), pa.array(np.r_[to_part, part[holds[only]]].astype(np.int32)), pa.array(np.r_[group[asks], to_group[only]].astype(np.int32)), pa.array(role), pa.array(held[entry]), lists]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("node").take(take), batch.column("embedding").take(take)], names=["cell", "part", "ask", "role", "held", "leaves", "node", "embedding"])
+
+    placed = nodes.select("node", "embedding").mapInArrow(spread, "cell int, part int, ask int, role int, held int, leaves array<int>, node long, embedding array<float>")
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -274,7 +374,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size:
     lists = F.flatten(F.collect_list(F.arrays_zip(F.transform("similarity", lambda x: -x).alias("far"), "near")))  # at most k from each cell that the node enters
     nearest = found.groupBy("node").agg(F.slice(F.array_sort(lists), 1, k).alias("nearest"))
 
-    # 5. Back to ids: copies of a vector come first, then the copies of the nearest nodes, the lesser ids first.
+    # 4. Back to ids: copies of a vector come first, then the copies of the nearest nodes, the lesser ids first.
     names = nodes.select("node", "ids")
     near = names.where(F.size("ids") <= k).join(nearest, "node").select("node", F.explode("nearest").alias("x")).select("node", F.col("x.far").alias("far"), F.col("x.near").alias("near"))
     near = near.join(names.select(F.col("node").alias("near"), F.col("ids").alias("near_ids")), "near")
@@ -286,7 +386,7 @@ def neighbours(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size:
     few = few.select(F.col("me").alias("id"), F.slice(F.concat(own(F.col("me")), "flat"), 1, k).alias("r"))
     crowded = written(nodes.where(F.size("ids") > k).select("same", "ids"))
     many = keyed.select("id", "same").join(crowded, "same").select("id", F.slice(own(F.col("id")), 1, k).alias("r"))
-    return few.unionByName(many.distinct()).select("id", F.explode("r").alias("r")).select("id", "r.neighbour", "r.similarity")
+    return few.unionByName(many.distinct()).select("id", F.explode("r").alias("r")).select("id", "r.neighbour", "r.similarity"), recall
 
 
 def _usable(spark, d: str) -> DataFrame:
@@ -300,10 +400,10 @@ def p3_found(spark, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark, d: str) -> DataFrame:
-    """The five nearest of every usable chunk, with rank and similarity."""
-    found = neighbours(_usable(spark, d))
+    """The five nearest of every usable chunk, with rank and similarity, and the recall that the search was calibrated to."""
+    found, recall = searched(_usable(spark, d))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
-    return found.select("id", "neighbour", F.round("similarity", 6).alias("similarity"), rank.alias("rank"))
+    return found.select("id", "neighbour", F.round("similarity", 6).alias("similarity"), rank.alias("rank"), F.lit(round(recall, 4)).alias("measured_recall"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}

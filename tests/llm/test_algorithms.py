@@ -92,7 +92,7 @@ def test_perfect_hash_is_minimal(encoder):
 def test_tree_finds_the_nearest():
     rng = np.random.default_rng(3)
     x = neighbours.unit(rng.normal(size=(30, 16)).repeat(60, 0) + 0.3 * rng.normal(size=(1800, 16)))
-    tree = neighbours.Tree(x, 60, 300)
+    tree = neighbours.Tree(neighbours.grown(x, 60, rng), cell_size=300)
     own, order = tree.visit(x, 1)[:, 0], tree.visit(x[:200], 6)
     close = x[:200] @ x.T
     close[np.arange(200), np.arange(200)] = -1
@@ -103,12 +103,47 @@ def test_tree_finds_the_nearest():
     assert all(sorted(r) == list(range(tree.n_leaves)) for r in every.tolist())
 
 
+def test_tree_is_grown_further_below_its_top():
+    rng = np.random.default_rng(4)
+    x = neighbours.unit(rng.normal(size=(40, 16)).repeat(100, 0) + 0.3 * rng.normal(size=(4000, 16)))
+    top = neighbours.grown(x[::10], 40, rng)
+    first = neighbours.Tree(top, 0.1)
+    at = first.visit(x, 1)[:, 0]
+    tree = neighbours.Tree(top, 0.1, {leaf: neighbours.grown(x[at == leaf], 50, rng) for leaf in range(first.n_leaves)}, 1.0, 500)
+    assert first.n_leaves < tree.n_leaves == tree.leaf.max() + 1 and tree.size.sum() == 4000 and tree.size.max() <= 200
+    own = tree.visit(x, 1)[:, 0]
+    assert np.abs(np.bincount(own, minlength=tree.n_leaves) - tree.size).sum() < 400  # what is best first need not be what k-means gave
+    assert all(sorted(r) == list(range(tree.n_leaves)) for r in tree.visit(x[:3], tree.n_leaves).tolist())
+    order, close = tree.visit(x[::20], 12), x[::20] @ x.T
+    close[np.arange(200), np.arange(0, 4000, 20)] = -1
+    assert (own[np.argsort(-close, axis=1)[:, :5]][:, :, None] == order[:, None]).any(2).mean() > 0.9
+    tree.cut(x[::4], 4000, 6, 100, 300)
+    assert tree.cuts.min() >= 1 and tree.cuts.max() > 1
+
+
+@pytest.mark.parametrize("total", [0, 1, 50_000, 1_000_000, 10_000_000, 100_000_000, 250_000_000])
+def test_leaves_hold_as_many_at_any_size(total):
+    points, leaf, share = neighbours.plan(total)
+    of_sample = min(1.0, neighbours.SAMPLE / max(total, 1))
+    held = points / of_sample if not share else neighbours.POINTS / share
+    assert leaf == neighbours.LEAF and 900 <= held <= 1100
+    # No task of the further splitting takes more than a top leaf's share of points.
+    assert not share or points / of_sample * share <= 20_000
+    assert neighbours.plan(1 << 40)[1] == (1 << 40) / neighbours.MOST_LEAVES
+
+
 def test_triples_and_prefix():
     assert neardup.triple_hashes(["a b", "a b c d"], 3)[0] is None
     same = neardup.triple_hashes(["foo(bar, 1)  baz", "foo ( bar,1) baz"], 3)
     assert (same[0] == same[1]).all()
     k = neardup.prefix_length(0.7)
     assert 1 - (1 - 0.7**k) ** neardup.TREES >= neardup.TARGET_RECALL > 1 - (1 - 0.7 ** (k + 1)) ** neardup.TREES
+    for p in range(k, neardup.DEPTH + 1):
+        n = neardup.trees_for(p, 0.7)
+        assert 1 - (1 - 0.7**p) ** n >= neardup.TARGET_RECALL and n >= neardup.TREES
+    # Sketches of pairs at the threshold: each bit differs with half the distance's chance.
+    rng = np.random.default_rng(8)
+    assert (rng.binomial(128, (1 - 0.7) / 2, 400_000) > neardup.most_different(0.7)).mean() < 2e-5
     sets = neardup.triple_hashes([" ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(30, 330))], 3)
     true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
     s = neardup.signatures(sets, 400)
@@ -183,10 +218,13 @@ def test_documentation_in_source():
         (None, "py", None), ("", "py", None), ("// Code generated by x-gen. DO NOT EDIT.\n\npackage a", "go", "generated"), ("# @generated by x compiler\nimport a", "py", "generated"), ("import a\n# generated by hand\n" * 3, "py", None),
         ("// x v1.2.3 | (c) x contributors | permissive licence\n\nvar a;", "js", "vendored"), ("var T = []byte{\n" + "\t0x9d, 0x29, 0xf2,\n" * 90 + "}\n", "go", "data"), ("INSERT INTO a VALUES (1, 'b');\n" * 60, "sql", "data"),
         ("X = \"" + "aB3/" * 600 + "\"\n", "py", "data"), ("function a(b){return b.c(d+1)}var e=function(f){for(;;)g()};" * 40, "js", "minified"), ("def f(x):\n    return x\n\n" * 80, "py", None), ("a long line of prose " * 90, "md", None),
+        ("".join(f"// line {i} of the licence\n" for i in range(60)) + "// Code generated by x-gen. DO NOT EDIT.\npackage a\n", "go", "generated"), ("package a\n\n// Code generated by x-gen. DO NOT EDIT.\n\nfunc f() {}\n", "go", "generated"),
+        ('package a\n\nconst banner = `\n// Code generated by x-gen. DO NOT EDIT.\n`\n', "go", None), ('const b = "Code generated by {} DO NOT EDIT.";\n', "ts", None), ("function a(b){return b.c(d+1)}" * 28, "js", "minified"), ("# Copyright 2024 us\nimport a\n", "py", None),
+        ("// Copied from the zeta project, upstream commit abc.\nvar a;\n", "js", "vendored"), ("/* zeta.js v3.2.1 | (c) Zeta | MIT License */\nvar a;\n", "js", "vendored"), ("# Reads what the tool has generated from the schema.\nimport a\n", "py", None),
     ],
 )
 def test_text_evidence(text, extension, kind):
-    assert handwritten.text_evidence(text, extension) == kind
+    assert handwritten.text_evidence(text, extension)[0] == kind
 
 
 def test_attribute_globs():

@@ -39,9 +39,11 @@ def test_neighbours(spark):
     rows = [(f"v{i:03}", v.tolist(), 1, "x") for i, v in enumerate(x)] + [("v000", x[0].tolist(), 1, "x"), ("v000", x[1].tolist(), 0, "x"), ("null", None, 1, "x"), ("short", [1.0], 1, "x"), ("zero", [0.0] * 8, 1, "x"), ("nan", [float("nan")] * 8, 1, "x"), ("hole", [None] + [1.0] * 7, 1, "x"), (None, x[3].tolist(), 1, "x")]
     vectors = neighbours.usable(spark.createDataFrame(rows, "id string, embedding array<float>, updated_at long, node string"), 8)
     assert vectors.count() in (360, 361)  # a repeated row may stay
-    for block in (40_000, 50):  # whole cells, and cells that are cut
+    for sample, sizes in ((200, {}), (40_000, {"cell_size": 100, "block": 50, "asks": 60})):  # whole cells of a tree grown further, and cells that are cut both ways
         found = {}
-        for r in neighbours.neighbours(vectors, 5, 8, sample_size=200, leaf_size=20, block=block).collect():
+        rows, recall = neighbours.searched(vectors, 5, 8, sample_size=sample, leaf_size=20, **sizes)
+        assert recall >= 0.98
+        for r in rows.collect():
             found.setdefault(r.id, []).append((r.neighbour, r.similarity))
         assert {len(v) for v in found.values()} == {5} and set(found) == {f"v{i:03}" for i in range(360)}
         assert {n for n, _ in found["v028"]} == {f"v{i:03}" for i in range(20, 25)} and {n for n, _ in found["v022"]} == {f"v{i:03}" for i in (20, 21, 23, 24, 25)}
@@ -76,6 +78,11 @@ def test_near_duplicates_equal_brute_force(spark):
     near = neardup.NearDuplicates(df)
     pairs = [tuple(r) for r in near.pairs().collect()]
     assert set(pairs) == true and len(pairs) == len(true) and ("copy", "t000") in true
+    # Crowded branches lead to longer prefixes in more trees, and at the last to blocks.
+    known = {frozenset(r) for r in near.verified().select("a", "b").collect()}
+    for crowded, block in ((200, 2000), (2, 3), (4, 1000)):
+        deeper = {frozenset(r) for r in near.candidates(crowded, block).collect()}
+        assert len(known - deeper) <= 1
     root = {i: i for i in kept}
     for _ in range(len(kept)):
         for a, b in true:
@@ -177,21 +184,46 @@ def test_docpairs(spark):
     assert docpairs.told(df.limit(0)).count() == docpairs.pairs(df.limit(0)).count() == 0
 
 
+FILES, TEXTS = "file_id long, project_id string, path string, bytes long", "file_id long, path string, text string"
+
+
+def classified(spark, rows, **sizes):
+    files = spark.createDataFrame([(i, p, path, sizes.get(f"f{i}")) for i, p, path, _ in rows], FILES).withColumn("kind", F.lit("x"))
+    texts = spark.createDataFrame([(i, path, t) for i, _, path, t in rows], TEXTS).withColumn("evidence", F.lit(1))
+    return {r.file_id: (r.kind, r.evidence) for r in handwritten.classify(files, texts).collect()}
+
+
 def test_handwritten(spark):
     long = "def f(x):\n    return x\n\n" * 60
     rows = [
-        (1, "p", "vendor/a/b.go", "package b"), (2, "p", "src/vendors/b.go", "package b"), (3, "p", "./src\\gen//x.py", None), (4, "p", "a/x_pb2.py", long), (5, "p", None, "# @generated by x compiler\n"), (6, "p", "a.py", long), (7, "q", "lib/.gitattributes", "*.py linguist-generated\nown.py -linguist-generated\n"),
-        (8, "q", "lib/deep/z.py", long), (9, "q", "lib/own.py", "# Code generated by x. DO NOT EDIT.\n"), (10, "p", "lib/z.py", long), (11, None, "", ""), (12, "p", "pkg-1.2.3/a.js", "a()"),
+        (1, "p", "vendor/a/b.go", "package b"), (2, "p", "src/vendors/b.go", "package b"), (3, "p", "./src\\gen//x.py", None), (4, "p", "a/x_pb2.py", long), (5, "p", None, "# @generated by x compiler\n"), (6, "p", "a.py", long),
+        (7, "q", "lib/.gitattributes", "*.py linguist-generated\nown.py -linguist-generated\n[attr]theirs linguist-vendored\n\"odd name.js\" theirs\nlib/*.ts theirs\n*.go -linguist-vendored\n"),
+        (8, "q", "lib/deep/z.py", long), (9, "q", "lib/own.py", "# Code generated by x. DO NOT EDIT.\n"), (10, "p", "lib/z.py", long), (11, None, "", ""), (12, "p", "pkg-1.2.3/a.js", "a()"), (13, "q", "lib/odd name.js", "a()"),
+        (14, "q", "lib/vendor/v.go", "package v"), (15, "q", "lib/g.go", "// Code generated by x. DO NOT EDIT.\npackage g"), (16, "p", "src/big.sql", None), (17, "p", "src/small.sql", None), (18, "p", "Vendor/c.js", None), (19, "p", "docs/x.gen.md", "Some prose."), (5, "p", None, None),
     ]
-    df = spark.createDataFrame(rows, "file_id long, project_id string, path string, text string")
-    assert {r.file_id: r.evidence for r in handwritten.classify(df).collect()} == {1: "path", 3: "path", 4: "path", 5: "text", 8: "attributes", 12: "path"}
-    assert handwritten.classify(df.limit(0)).count() == 0
+    found = classified(spark, rows, f16=3 << 20, f17=3 << 10)
+    assert found == {
+        1: ("vendored", "path"), 3: ("generated", "path"), 4: ("generated", "path"), 5: ("generated", "text"), 8: ("generated", "attributes"), 12: ("vendored", "path"), 13: ("vendored", "attributes"), 15: ("generated", "text"), 16: ("data", "size"), 18: ("vendored", "path"),
+    }
+    assert handwritten.classify(spark.createDataFrame([], FILES), spark.createDataFrame([], TEXTS)).count() == 0
+    sizes = spark.createDataFrame([("1.5 KB",), ("2mb",), ("770b",), ("",), (None,), ("odd",)], "size string").select(handwritten.bytes_of(F.col("size")))
+    assert [r[0] for r in sizes.collect()] == [1536, 2 << 20, 770, None, None, None]
 
 
 def test_mined_patterns(spark):
     rows = [(i, "p", f"x/odd{i % 2}/f{i}.py", "# Code generated by x. DO NOT EDIT.\n" if i >= 2 else "x = 1\n") for i in range(40)]
-    found = {r.file_id: r.evidence for r in handwritten.classify(spark.createDataFrame(rows, "file_id long, project_id string, path string, text string")).collect()}
-    assert found[0] == found[1] == "mined" and found[2] == "text" and len(found) == 40
+    found = classified(spark, rows)
+    assert found[0][1] == found[1][1] == "mined" and found[2][1] == "text" and len(found) == 40
+    # What one repository declares holds in another that declares nothing.
+    rows = [(100, "p", ".gitattributes", "/made/* linguist-generated\n")] + [(i, "p", f"made/f{i}.py", "x = 1\n") for i in range(20)] + [(50, "q", "src/made/f.py", "x = 1\n"), (51, "q", "src/own/f.py", "x = 1\n")]
+    found = classified(spark, rows)
+    assert found[0] == ("generated", "attributes") and found[50] == ("generated", "mined") and 51 not in found and 100 not in found
+
+
+def test_a_banner_that_is_the_projects_own(spark):
+    own = "// Copyright (c) 2024 the Acme authors. Licensed under the Apache License, Version 2.0.\n\nvar a;\n"
+    rows = [(i, "p", f"src/f{i}.js", own.replace("2024", str(2020 + i))) for i in range(8)] + [(9, "p", "src/g.js", "// Copyright (c) the Zeta contributors. Released under terms in LICENSE-zeta.\n\nvar a;\n")]
+    assert classified(spark, rows) == {9: ("vendored", "text")}
 
 
 def test_syntax(spark):
