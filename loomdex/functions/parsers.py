@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from loomdex.functions.scalars import LANGUAGES, SUPPORTED
 
@@ -51,14 +53,23 @@ class Text:
         self.masked = mask.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source) if mask else source
         self.starts = [0, *(m.end() for m in re.finditer("\n", source))]
         self.ascii = source.isascii()
+        self.bytes = self._bytes()
 
-    def line(self, at: int) -> int:
-        from bisect import bisect_right
+    def _bytes(self) -> list[int]:
+        """The byte offset of each line's start; of an ASCII text that of its letters."""
+        if self.ascii:
+            return self.starts
+        ends = [*self.starts[1:], len(self.source)]
+        return [0, *accumulate(len(self.source[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(self.starts, ends, strict=True))]
 
+    def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
 
     def byte(self, at: int) -> int:
-        return at if self.ascii else len(self.source[:at].encode("utf-8", "surrogatepass"))
+        if self.ascii:
+            return at
+        n = self.line(at) - 1
+        return self.bytes[n] + len(self.source[self.starts[n] : at].encode("utf-8", "surrogatepass"))
 
     def symbol(self, name: str, kind: str, a: int, b: int, **more: str) -> Symbol:
         return Symbol(name, kind, self.line(a), self.line(max(a, b - 1)), self.byte(a), self.byte(b), self.source[a:b], **more)
@@ -153,12 +164,16 @@ def parse_go(source: str) -> Parsed:
 
 
 def parse_python(source: str) -> Parsed:
-    """Functions, methods (first parameter self or cls) and classes at any depth, decorated ones too; docstrings; imports without aliases."""
+    """Functions, methods (first parameter self or cls) and classes at any depth, decorated ones too; docstrings; imports without aliases.
+
+    A source that doesn't parse gives an error and what its lines and their indentation tell.
+    """
     t, out = Text(source), Parsed("python")
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         out.errors = [(getattr(e, "lineno", None) or 1, getattr(e, "offset", None) or 1, str(getattr(e, "msg", e)))]
+        _python_by_lines(source, out)
         return out
 
     def place(line: int, column: int) -> int:
@@ -172,7 +187,7 @@ def parse_python(source: str) -> Parsed:
                 is_class = isinstance(x, ast.ClassDef)
                 first = "" if is_class else next((p.arg for p in [*x.args.posonlyargs, *x.args.args]), "")
                 kind = "class" if is_class else "method" if first in ("self", "cls") else "function"
-                seen = "private" if x.name.startswith("__") else "protected" if x.name.startswith("_") else "public"
+                seen = _seen_python(x.name)
                 signature = "" if is_class else "(" + ast.unparse(x.args) + ")" + (f" -> {ast.unparse(x.returns)}" if x.returns else "")
                 out.symbols.append(t.symbol(x.name, kind, a, b, signature=signature, parent=parent, visibility=seen, doc=ast.get_docstring(x) or ""))
                 walk(x, x.name)
@@ -187,8 +202,49 @@ def parse_python(source: str) -> Parsed:
     return out
 
 
+PYTHON = re.compile(r"#[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?", re.S)
+
+
+def _seen_python(name: str) -> str:
+    return "private" if name.startswith("__") else "protected" if name.startswith("_") else "public"
+
+
+def _python_by_lines(source: str, out: Parsed) -> None:
+    """The symbols and imports of a source that doesn't parse: a definition lasts as long as its lines are indented further."""
+    t = Text(source, PYTHON)
+    lines, opened, found = t.masked.split("\n"), [], []
+
+    def close(upto: int, last: int) -> None:
+        while opened and opened[-1][0] >= upto:
+            _, at, name, kind, parent, signature = opened.pop()
+            end = t.starts[last] + len(lines[last].rstrip())
+            body = re.compile(r"[^\n]*\n\s*(?:\"\"\"(.*?)\"\"\"|\'\'\'(.*?)\'\'\')", re.S).match(source, at, end)
+            doc = "\n".join(x.strip() for x in (body[1] or body[2] or "").strip().split("\n")) if body else ""
+            found.append((at, t.symbol(name, kind, at, max(end, at + 1), signature=signature, parent=parent, visibility=_seen_python(name), doc=doc)))
+
+    last = 0
+    for n, line in enumerate(lines):
+        if not line.strip():
+            continue
+        width = len(line) - len(line.lstrip())
+        close(width, last)
+        last = n
+        m = re.match(r"\s*(?:async\s+)?(def|class)\s+([^\W\d]\w*)\s*(\(?)", line)
+        if m:
+            end = t.close(t.starts[n] + m.end() - 1) if m[3] else t.starts[n] + m.end()
+            signature = source[t.starts[n] + m.end() - 1 : end] if m[3] and m[1] == "def" else ""
+            kind = "class" if m[1] == "class" else "method" if re.match(r"\(\s*(?:self|cls)\b", signature) else "function"
+            opened.append((width, t.starts[n] + width, m[2], kind, opened[-1][2] if opened else "", signature))
+        elif m := re.match(r"\s*import\s+([\w., ]+)", line):
+            out.imports += [x.strip() for x in m[1].split(",") if x.strip() and " as " not in x]
+        elif m := re.match(r"\s*from\s+([.\w]+)\s+import\b", line):
+            out.imports.append(m[1])
+    close(0, last)
+    out.symbols = [s for _, s in sorted(found, key=lambda x: x[0])]
+
+
 def parse_script(source: str, language: str = "typescript") -> Parsed:
-    """Functions, classes, methods, arrow functions with a name, and inline arrows named after the call that takes them."""
+    """Functions, classes, methods, arrow functions with a name, inline arrows named after the call that takes them, and others by their line."""
     t, out = Text(source, C_LIKE), Parsed(language)
     code, found, classes = t.masked, {}, []
 
@@ -198,14 +254,25 @@ def parse_script(source: str, language: str = "typescript") -> Parsed:
         k = m.end() if m else at
         if code[k : k + 1] in ("{", "("):
             return t.close(k)
-        end = code.find("\n", k)
-        return len(code[: end if end >= 0 else len(code)].rstrip().rstrip(";,"))
+        depth = 0
+        for x in re.compile(r"[(\[{]|[)\]}]|[;,\n]").finditer(code, k):
+            depth += (x.group() in "([{") - (x.group() in ")]}")
+            if depth < 0 or not depth and x.group() in ";,\n":
+                return k + len(code[k : x.start()].rstrip())
+        return len(code.rstrip())
 
     for m in re.finditer(r"\bclass\s+([A-Za-z_$][\w$]*)[^{;\n]*\{", code):
         end = t.close(m.end() - 1)
         classes.append((m.end(), end, m.group(1)))
         found[m.start()] = t.symbol(m.group(1), "class", m.start(), end, visibility="public", doc=t.comment_above(m.start(), "//"))
-    of = lambda at: next((n for a, b, n in reversed(sorted(classes)) if a <= at < b), "")
+    # The innermost class at each place where one begins or ends.
+    edges, names, open_ = [0], [""], []
+    for at, _, name in sorted([(a, 1, n) for a, _, n in classes] + [(b, 0, "") for _, b, _ in classes]):
+        open_.append(name) if name else open_.pop()
+        edges.append(at)
+        names.append(open_[-1] if open_ else "")
+    of = lambda at: names[bisect_right(edges, at) - 1]
+    braces = [0, *accumulate((c == "{") - (c == "}") for c in code)]
     for m in re.finditer(r"(?:\basync\s+)?\bfunction\b\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\s*(?=\()", code):
         end = t.close(m.end())
         found[m.start()] = t.symbol(m.group(1), "function", m.start(), body(end), signature=source[m.end() : end], parent=of(m.start()), visibility="public", doc=t.comment_above(m.start(), "//"))
@@ -217,14 +284,27 @@ def parse_script(source: str, language: str = "typescript") -> Parsed:
     for a, b, name in classes:
         for m in re.compile(r"^[ \t]*((?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*)\*?\s*(#?[A-Za-z_$][\w$]*)\s*(?:<[^(\n]*>)?\s*(?=\()", re.M).finditer(code, a, b):
             end = t.close(m.end())
-            if m.group(2) in ("if", "for", "while", "switch", "catch", "return", "function", "super") or of(m.start(2)) != name or not re.match(r"\s*(?::[^{;\n]*)?\{", code[end:]) or code[a : m.start(2)].count("{") != code[a : m.start(2)].count("}"):
+            if m.group(2) in ("if", "for", "while", "switch", "catch", "return", "function", "super") or of(m.start(2)) != name or not re.match(r"\s*(?::[^{;\n]*)?\{", code[end:]) or braces[a] != braces[m.start(2)]:
                 continue
             at = m.start() + len(m.group()) - len(m.group().lstrip())
             seen = next((w for w in ("private", "protected") if w in m.group(1)), "public")
             found[at] = t.symbol(m.group(2), "method", at, body(end), signature=source[m.end() : end], parent=name, visibility=seen, doc=t.comment_above(at, "//"))
+    functions, calls = {x.start_line for x in found.values() if x.kind == "function"}, []
     for m in re.finditer(r"([A-Za-z_$][\w$.]*)\s*\((?=(?:[^()]*,\s*)?" + arrow + ")", code):
-        if not any(s.start_byte <= t.byte(m.start()) and s.kind == "function" and s.start_line == t.line(m.start()) for s in found.values()) and m.group(1) not in ("if", "while", "for", "switch", "function"):
-            found.setdefault(m.start(), t.symbol(f"{m.group(1)} callback", "function", m.start(), t.close(m.end() - 1), visibility="public"))
+        if t.line(m.start()) not in functions and m.group(1) not in ("if", "while", "for", "switch", "function"):
+            end = t.close(m.end() - 1)
+            found.setdefault(m.start(), t.symbol(f"{m.group(1)} callback", "function", m.start(), end, visibility="public"))
+            calls.append((m.start(), end))
+    named = {m.end() for m in re.finditer(r"\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*(?::[^=\n]+)?=\s*(?=" + arrow + ")", code)}
+    # What begins after these is a value; a type may look like an arrow, but isn't followed so.
+    for m in re.finditer(r"(?:(?<=[=?[])|(?<=\bdefault)|(?<=\breturn)|(?<=&&)|(?<=\|\||\?\?)|(?<=\w:)(?=[^\n]*=>\s*\{))\s*(?=" + arrow + ")", code):
+        at = m.end()
+        if at in named or at in found or re.search(r"\btype\s+[\w$<>, ]+=\s*$", code[max(0, m.start() - 80) : m.end()]):
+            continue
+        if any(a < at < b and code[a:at].rstrip().endswith(("(", ",")) for a, b in calls[-3:]):
+            continue
+        begin = code.find("=>", at)
+        found[at] = t.symbol(f"arrow@L{t.line(at)}", "function", at, body(begin), parent=of(at), visibility="public")
     out.symbols = [found[k] for k in sorted(found)]
     out.imports = re.findall(r"^\s*(?:import|export)\b[^'\"\n;]*?(?:from\s*)?['\"]([^'\"\n]+)['\"]", source, re.M) + re.findall(r"\brequire\(\s*['\"]([^'\"\n]+)['\"]", source)
     out.errors = t.unbalanced()
@@ -300,8 +380,8 @@ def parse_css(source: str) -> Parsed:
         lead = len(m.group()) - len(m.group().lstrip())
         a, b = m.start() + lead, t.close(m.end() - 1)
         name = " ".join(source[a : m.end() - 1].split())
-        kind = "css_media" if name.startswith("@media") else "css_keyframes" if re.match(r"@(?:-\w+-)?keyframes", name) else "css_rule"
-        if name and not (name[0] == "@" and kind == "css_rule") and not re.fullmatch(r"(?:from|to|[\d.]+%)(?:\s*,\s*(?:from|to|[\d.]+%))*", name):
+        kind = "media" if name.startswith("@media") else "keyframes" if re.match(r"@(?:-\w+-)?keyframes", name) else "rule"
+        if name and not (name[0] == "@" and kind == "rule") and not re.fullmatch(r"(?:from|to|[\d.]+%)(?:\s*,\s*(?:from|to|[\d.]+%))*", name):
             out.symbols.append(t.symbol(name, kind, a, b))
     out.imports = [m[1] for m in re.finditer(r"@import\s+(?:url\(\s*)?['\"]?([^'\")\s;]+)", source)]
     out.errors = t.unbalanced()
@@ -321,7 +401,7 @@ def parse_markdown(source: str) -> Parsed:
         if fence:
             if mark and mark.group(1)[:3] == fence[1][:3]:
                 a = offsets[fence[0]]
-                extra.append((a, t.symbol(f"code:{fence[2]}" if fence[2] else "code", "md_code", a, offsets[n] + len(line), parent=above[-1][1] if above else "")))
+                extra.append((a, t.symbol(f"code:{fence[2]}" if fence[2] else "code", "code_block", a, offsets[n] + len(line), parent=above[-1][1] if above else "")))
                 fence = None
             continue
         if mark:
@@ -334,33 +414,81 @@ def parse_markdown(source: str) -> Parsed:
             above.append((level, h.group(2)))
         else:
             for m in re.finditer(r"\[([^\]]+)\]\(([^)]+)\)", line):
-                extra.append((offsets[n] + m.start(), t.symbol(m.group(1), "md_link", offsets[n] + m.start(), offsets[n] + m.end(), signature=m.group(2), parent=above[-1][1] if above else "")))
+                extra.append((offsets[n] + m.start(), t.symbol(m.group(1), "link", offsets[n] + m.start(), offsets[n] + m.end(), signature=m.group(2), parent=above[-1][1] if above else "")))
                 if not re.match(r"https?://", m.group(2)):
                     out.imports.append(m.group(2))
     found = list(extra)
     for k, (n, level, name, parent) in enumerate(heads):
         until = next((m for m, other, _, _ in heads[k + 1 :] if other <= level), len(lines))
-        found.append((offsets[n], t.symbol(name, "md_heading", offsets[n], offsets[until] if until < len(lines) else len(source), signature=f"h{level}", parent=parent)))
+        found.append((offsets[n], t.symbol(name, "heading", offsets[n], offsets[until] if until < len(lines) else len(source), signature=f"h{level}", parent=parent)))
     out.symbols = [s for _, s in sorted(found, key=lambda x: (x[0], -x[1].end_byte))]
     return out
 
 
+#: The statements that are named, by their verbs and what these act on; of others the verb is the name.
+SQL_VERBS = {
+    "CREATE": ("TABLE", "MATERIALIZED VIEW", "VIEW", "INDEX", "DATABASE", "SCHEMA", "FUNCTION", "PROCEDURE", "TYPE", "ROLE", "SEQUENCE", "EXTENSION", "TRIGGER"),
+    "DROP": ("TABLE", "VIEW", "INDEX", "TYPE", "SCHEMA", "DATABASE", "ROLE", "SEQUENCE", "EXTENSION", "FUNCTION", "TRIGGER"), "ALTER": ("TABLE",),
+}
+_OBJECT = r"((?:\"[^\"]*\"|`[^`]*`|[\w$]+)(?:\s*\.\s*(?:\"[^\"]*\"|`[^`]*`|[\w$]+))*)"
+_ACTS_ON = {"SELECT": r"\bfrom\s+", "WITH": r"\bfrom\s+", "INSERT": r"\binto\s+", "UPDATE": r"\bupdate\s+(?:only\s+)?", "DELETE": r"\bfrom\s+", "MERGE": r"\binto\s+", "TRUNCATE": r"\btruncate\s+(?:table\s+)?", "COPY": r"\bcopy\s+"}
+
+
+def _sql_statements(masked: str) -> list[tuple[int, int]]:
+    """Where statements begin and end. Semicolons in the body of a trigger, function or procedure don't end it."""
+    out, begin, depth, body = [], 0, 0, False
+    for m in re.finditer(r";|\b(?:begin|case|end|create)\b", masked, re.I):
+        word = m.group().lower()
+        if word == "create" and not masked[begin : m.start()].strip():
+            body = bool(re.match(r"create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:constraint\s+)?(?:trigger|function|procedure)\b", masked[m.start() :], re.I))
+        elif word in ("begin", "case"):
+            depth += body
+        elif word == "end":
+            depth -= body and depth > 0
+        elif word == ";" and not depth:
+            out.append((begin, m.end()))
+            begin, body = m.end(), False
+    return [*out, (begin, len(masked))]
+
+
+def _sql_name(body: str) -> str:
+    """The verb and the object of a statement."""
+    word = body.split(None, 1)[0].upper().strip("(")
+    if word in SQL_VERBS:
+        for what in SQL_VERBS[word]:
+            m = re.match(rf"{word}\s+(?:or\s+replace\s+)?(?:(?:temp|temporary|unique|global|local|unlogged|constraint)\s+)*{what.replace(' ', chr(92) + 's+')}\s+(?:concurrently\s+)?(?:if\s+(?:not\s+)?exists\s+)?{_OBJECT}?", body, re.I)
+            if m:
+                return " ".join(x for x in (word, what, (m[1] or "").replace('"', "").replace("`", "")) if x)
+        return word
+    if word in _ACTS_ON:
+        outer, inner = body, ""
+        while outer != inner:  # what stands in parentheses comes after what doesn't
+            inner, outer = outer, re.sub(r"\([^()]*\)", lambda m: " " * len(m.group()), outer)
+        m = re.search(_ACTS_ON[word] + _OBJECT, outer, re.I) or re.search(_ACTS_ON[word] + _OBJECT, body, re.I)
+        return " ".join(x for x in ("SELECT" if word == "WITH" and not re.search(r"\)\s*(?:insert|update|delete)\b", body, re.I) else word, m[1].replace('"', "").replace("`", "") if m else "") if x)
+    return word
+
+
 def parse_sql(source: str) -> Parsed:
-    """One symbol a statement, named by its verb and object."""
-    t, out = Text(source, re.compile(r"--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^']|'')*'?|\$\$.*?(?:\$\$|\Z)", re.S)), Parsed("sql")
-    for m in re.finditer(r"[^;]+;?", t.masked):
-        lead = len(m.group()) - len(m.group().lstrip())
-        body = m.group().strip().rstrip(";").strip()
+    """One symbol a statement, named by its verb and object; a transaction is one too, and the parent of its statements."""
+    t, out = Text(source, re.compile(r"--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^']|'')*'?|\$(\w*)\$.*?(?:\$\1\$|\Z)", re.S)), Parsed("sql")
+    found: list[tuple[int, int, Symbol]] = []
+    begun: int | None = None
+    for a, b in _sql_statements(t.masked):
+        text = t.masked[a:b]
+        begin, body = a + len(text) - len(text.lstrip()), text.strip().rstrip(";").strip()
         if not body:
             continue
+        end = a + len(text.rstrip())
         word = body.split(None, 1)[0].upper()
-        rules = {
-            "CREATE": r"create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+|unique\s+|materialized\s+)*(\w+)\s+(?:if\s+not\s+exists\s+)?([\w.\"`]+)", "DROP": r"drop\s+(\w+)\s+(?:if\s+exists\s+)?([\w.\"`]+)", "ALTER": r"alter\s+(\w+)\s+(?:if\s+exists\s+)?([\w.\"`]+)",
-            "INSERT": r"insert\s+(?:or\s+\w+\s+)?into\s+()([\w.\"`]+)", "UPDATE": r"update\s+()([\w.\"`]+)", "DELETE": r"delete\s+from\s+()([\w.\"`]+)", "SELECT": r"select\b.*?\bfrom\s+()([\w.\"`]+)", "WITH": r"with\b.*?\bfrom\s+()([\w.\"`]+)",
-        }
-        hit = re.match(rules.get(word, r"(?!)"), body, re.I | re.S)
-        name = " ".join(x for x in (word, hit.group(1).upper(), hit.group(2).strip('"`')) if x) if hit else word
-        out.symbols.append(t.symbol(name, "sql_statement", m.start() + lead, m.start() + len(m.group().rstrip())))
+        if re.fullmatch(r"(?:begin|start)(?:\s+(?:transaction|work))?", body, re.I) and begun is None:
+            begun = begin
+        elif word in ("COMMIT", "ROLLBACK", "END") and begun is not None:
+            found.append((begun, -end, t.symbol("TRANSACTION", "sql_statement", begun, end, signature=source[begun:end].strip(), visibility="public")))
+            begun = None
+        else:
+            found.append((begin, -end, t.symbol(_sql_name(body), "sql_statement", begin, end, signature=source[begin:end].strip(), visibility="public", parent="TRANSACTION" if begun is not None else "")))
+    out.symbols = [s for *_, s in sorted(found, key=lambda x: x[:2])]
     out.errors = t.unbalanced()
     return out
 

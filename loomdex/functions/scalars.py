@@ -42,20 +42,23 @@ def ui_slug(text: Column) -> Column:
 
 
 def _tenths(n: Column, unit: int, half_even: bool) -> Column:
-    """n / unit with one decimal, in whole numbers, so that ties round alike everywhere."""
-    q, r = F.floor(n * 10 / unit), F.pmod(n * 10, F.lit(unit))
-    up = (r * 2 > unit) | ((r * 2 == unit) & ((q % 2 == 1) if half_even else F.lit(True)))
-    t = q + F.when(up, 1).otherwise(0)
+    """n / unit with one decimal, in whole numbers of 38 digits, so that ties round alike everywhere and nothing overflows."""
+    one = F.lit(unit).cast("decimal(20,0)")
+    ten = n.cast("decimal(20,0)") * F.lit(10).cast("decimal(3,0)")
+    r = F.pmod(ten, one)
+    q = ((ten - r) / one).cast("decimal(20,0)")
+    up = (r * 2 > one) | ((r * 2 == one) & ((q % 2 == 1) if half_even else F.lit(True)))
+    t = (q + F.when(up, 1).otherwise(0)).cast("long")
     return F.concat(F.floor(t / 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string"))
 
 
 def format_bytes(n: Column) -> Column:
-    """'N B' below 1024, else with one decimal in KB, MB, GB or TB."""
+    """'N B' below 1024, else with one decimal in KB to EB."""
     n = n.cast("long")
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KB", "MB", "GB", "TB")):
+    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB")):
         out = out.when(n < 1024 ** (k + 2), F.concat(_tenths(n, 1024 ** (k + 1), True), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(_tenths(F.floor(n / 1024).cast("long"), 1024**4, True), F.lit(" PB")))
+    return out.when(n.isNotNull(), F.concat(_tenths(n, 1024**6, True), F.lit(" EB")))
 
 
 def ui_bytes(n: Column) -> Column:
@@ -65,6 +68,12 @@ def ui_bytes(n: Column) -> Column:
     return F.when(n <= 0, "0 Bytes").when(n < 1024, F.concat(n.cast("string"), F.lit(" Bytes"))).when(n < 1024**2, sized(1, "KB")).when(n < 1024**3, sized(2, "MB")).otherwise(sized(3, "GB"))
 
 
+def average(total: Column, n: Column) -> Column:
+    """total / n with one decimal, halves up; 'N/A' where n is null or 0; a null total is 0."""
+    tenths = F.floor((F.coalesce(total, F.lit(0)) * 20 + n) / (2 * n)).cast("long")
+    return F.when(F.coalesce(n, F.lit(0)) == 0, "N/A").otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string")))
+
+
 def number_suffix(n: Column) -> Column:
     """1.2K, 3.4M; plain below a thousand."""
     return F.when(n >= 1_000_000, F.concat(_tenths(n, 1_000_000, False), F.lit("M"))).when(n >= 1000, F.concat(_tenths(n, 1000, False), F.lit("K"))).otherwise(n.cast("string"))
@@ -159,7 +168,7 @@ def strip_comment_lines(source: Column) -> Column:
 
 def semantic_group(kind: Column) -> Column:
     """template, style or code, by a symbol's kind; null is code."""
-    return F.when(kind == "element", "template").when(kind.isin("style", "rule", "css_rule", "media", "css_media", "keyframes", "css_keyframes"), "style").otherwise("code")
+    return F.when(kind == "element", "template").when(kind.isin("style", "rule", "media", "keyframes"), "style").otherwise("code")
 
 
 def collapse_body(source: Column, most: int = 120, head: int = 60, tail: int = 40) -> Column:

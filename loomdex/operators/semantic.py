@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from loomdex.functions.parsers import Parsed, Symbol, parse
 
-CONTAINERS = frozenset(("element", "script", "style", "css_rule", "css_media", "css_keyframes"))
-STYLES = frozenset(("style", "css_rule", "css_media", "css_keyframes"))
+CONTAINERS = frozenset(("element", "script", "style", "rule", "media", "keyframes"))
+STYLES = frozenset(("style", "rule", "media", "keyframes"))
 #: A chunk under so many tokens is tiny; a chunk's header is taken to need as many.
 TINY = HEADER = 50
 
@@ -110,22 +110,37 @@ def comment_only(lines: list[str]) -> bool:
     return True
 
 
-def _contains(a: Symbol, b: Symbol) -> bool:
-    span = (lambda s: (s.start_byte, s.end_byte)) if a.start_byte or a.end_byte else (lambda s: (s.start_line, s.end_line))
-    (p, q), (x, y) = span(a), span(b)
-    return p <= x and q >= y and (p, q) != (x, y)
+def containing(symbols: list[Symbol]) -> list[bool]:
+    """Of each symbol whether it strictly contains another: by bytes, or by lines where its own bytes are both 0. One sweep for each of the two."""
+    out = [False] * len(symbols)
+    for by_bytes in (True, False):
+        span = (lambda s: (s.start_byte, s.end_byte)) if by_bytes else (lambda s: (s.start_line, s.end_line))
+        least: float = float("inf")  # the least end of the spans that begin at this one's start or later, but for its own like
+        order = sorted(range(len(symbols)), key=lambda k: (-span(symbols[k])[0], span(symbols[k])[1]))
+        at = 0
+        while at < len(order):
+            begin, end = span(symbols[order[at]])
+            stop = at
+            while stop < len(order) and span(symbols[order[stop]]) == (begin, end):
+                if least <= end and by_bytes == bool(symbols[order[stop]].start_byte or symbols[order[stop]].end_byte):
+                    out[order[stop]] = True
+                stop += 1
+            least, at = min(least, end), stop
+    return out
 
 
 def eligible(symbols: list[Symbol]) -> list[Symbol]:
     """The symbols that become chunks: no links, no containers of others, no local variables or constants."""
-    parents = {}
+    last_child: dict[str, list[int]] = {}
     for s in symbols:
-        parents.setdefault(s.parent, []).append(s.start_line)
+        last_child.setdefault(s.parent, []).append(s.start_line)
+    latest = {name: max(lines) for name, lines in last_child.items()}
     out = []
-    for s in symbols:
-        inner = s.kind in CONTAINERS and any(o is not s and _contains(s, o) for o in symbols)
-        section = s.kind == "md_heading" and any(n >= s.start_line for n in parents.get(s.name, ()))
-        if not (s.kind == "md_link" or inner or section or s.kind in ("variable", "constant") and s.parent):
+    for s, contains in zip(symbols, containing(symbols), strict=True):
+        inner = s.kind in CONTAINERS and contains
+        # A heading that names itself as parent is none of its own children.
+        section = s.kind == "heading" and s.name in latest and (latest[s.name] >= s.start_line if s.parent != s.name else any(o is not s and o.parent == s.name and o.start_line >= s.start_line for o in symbols))
+        if not (s.kind == "link" or inner or section or s.kind in ("variable", "constant") and s.parent):
             out.append(s)
     return out
 

@@ -5,6 +5,7 @@ All joins have the file as an equality key, so that the ranges are residual cond
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +19,29 @@ def chunk_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return c.join(s, (F.col("c.file_id") == F.col("s.file_id")) & F.col("s.line").between(F.col("c.line_start"), F.col("c.line_end"))).select("c.chunk_id", "s.symbol_id").distinct()
 
 
-def containers(symbols: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """The symbols of the given kinds that strictly contain another symbol of their file."""
-    a, b = symbols.alias("a"), symbols.alias("b")
-    inside = (F.col("a.start_line") <= F.col("b.start_line")) & (F.col("a.end_line") >= F.col("b.end_line")) & ((F.col("a.start_line") < F.col("b.start_line")) | (F.col("a.end_line") > F.col("b.end_line")))
-    return a.where(F.col("a.kind").isin(*kinds)).join(b, (F.col("a.file_id") == F.col("b.file_id")) & inside, "left_semi")
+#: Kinds of symbols that are left out where they strictly contain another.
+CONTAINERS = ("element", "script", "style", "rule", "media", "keyframes")
+
+
+def containers(symbols: DataFrame, kinds: tuple[str, ...] = CONTAINERS) -> DataFrame:
+    """The symbols of the given kinds that strictly contain another symbol of their file, and headings below which another symbol names them as its parent.
+
+    Spans are of bytes (start_byte, end_byte, where the table has them) unless a symbol's own bytes are both 0, then of lines. Sorted by their beginnings, a span contains another if
+    the least end behind it isn't beyond its own: one window a unit, no pair is formed.
+    """
+    has_bytes = {"start_byte", "end_byte"} <= set(symbols.columns)
+    units = [("start_byte", "end_byte"), ("start_line", "end_line")] if has_bytes else [("start_line", "end_line")]
+    marked = symbols.withColumn("__bytes", (F.col("start_byte") != 0) | (F.col("end_byte") != 0) if has_bytes else F.lit(False))
+    inner = None
+    for first, last in units:
+        spans = symbols.select("file_id", first, last).distinct()
+        behind = Window.partitionBy("file_id").orderBy(first, F.desc(last)).rowsBetween(1, Window.unboundedFollowing)
+        holds = spans.withColumn("__least", F.min(last).over(behind)).where(F.col("__least") <= F.col(last)).drop("__least")
+        rows = marked.where(F.col("kind").isin(*kinds) & (F.col("__bytes") == (first == "start_byte"))).join(holds, ["file_id", first, last], "left_semi")
+        inner = rows if inner is None else inner.unionByName(rows)
+    children = symbols.where("parent <> ''").groupBy("file_id", F.col("parent").alias("name")).agg(F.max("start_line").alias("__line"), F.count("*").alias("__n"))
+    heads = marked.where(F.col("kind") == "heading").join(children, ["file_id", "name"]).where((F.col("__line") >= F.col("start_line")) & ((F.col("parent") != F.col("name")) | (F.col("__n") > 1)))
+    return inner.unionByName(heads.select(*inner.columns)).drop("__bytes").select(*symbols.columns)
 
 
 def node_ids(symbols: DataFrame) -> DataFrame:
@@ -45,18 +64,35 @@ def sibling_position(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("position", F.row_number().over(w) - 1)
 
 
-def outline(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(file_id, pos, depth, trail): the nodes down to ``depth`` levels (from 1), with the positions on the way from the root.
+def outline(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(file_id, pos, depth, trail): the nodes, with their levels (from 1) and the positions on the way from the root; down to ``depth`` levels if one is given.
 
-    One join a level; levels end at ``depth``, the feature's own limit.
+    A file's tree is folded in one pass: a parent comes before its children. Files are groups, so there is one shuffle whatever the depth.
     """
-    level = nodes.where("parent_pos is null").select("file_id", "pos", F.lit(1).alias("depth"), F.format_string("%06d", "position").alias("trail"))
-    out = level
-    for n in range(2, depth + 1):
-        up = level.select("file_id", F.col("pos").alias("parent_pos"), F.col("trail").alias("above"))
-        level = nodes.join(up, ["file_id", "parent_pos"]).select("file_id", "pos", F.lit(n).alias("depth"), F.concat("above", F.lit("/"), F.format_string("%06d", "position")).alias("trail"))
-        out = out.unionByName(level)
-    return out
+    kind = nodes.schema["file_id"].dataType.simpleString()
+
+    def fold(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("pos", "parent_pos", "position")), strict=True))
+        seen: dict[int, tuple[int, str]] = {}
+        for pos, parent, position in rows:
+            above = seen.get(parent) if parent is not None else None
+            seen[pos] = (above[0] + 1, f"{above[1]}/{position:010d}") if above else (1, f"{position:010d}")
+        kept = [(p, d, t) for p, (d, t) in seen.items() if depth is None or d <= depth]
+        return pa.table({"file_id": pa.array([group.column("file_id")[0].as_py()] * len(kept), group.schema.field("file_id").type), "pos": pa.array([p for p, _, _ in kept], pa.int64()), "depth": pa.array([d for _, d, _ in kept], pa.int32()), "trail": pa.array([t for _, _, t in kept], pa.string())})
+
+    return nodes.select("file_id", F.col("pos").cast("long").alias("pos"), F.col("parent_pos").cast("long").alias("parent_pos"), F.col("position").cast("long").alias("position")).groupBy("file_id").applyInArrow(fold, f"file_id {kind}, pos long, depth int, trail string")
+
+
+def subtree(tree: DataFrame, node: DataFrame) -> DataFrame:
+    """The rows of outline() at and below ``node`` (file_id, trail), found by the way from the root."""
+    top = node.select("file_id", F.col("trail").alias("__top"))
+    return tree.join(top, "file_id").where((F.col("trail") == F.col("__top")) | F.startswith("trail", F.concat("__top", F.lit("/")))).drop("__top")
+
+
+def fresher(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """(path): outlines whose time now is later than the stored one, or that weren't stored; both have path and at."""
+    old = stored.select("path", F.col("at").alias("__at"))
+    return now.join(old, "path", "left").where(F.col("__at").isNull() | (F.col("at") > F.col("__at"))).select("path")
 
 
 def heading_of_line(headings: DataFrame, lines: DataFrame) -> DataFrame:

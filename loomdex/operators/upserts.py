@@ -5,14 +5,17 @@ Each shuffles by its key once. Null keys never match; where noted they are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.sources.tables import latest_by
+
 
 def last_writer(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Of rows with equal keys the last by ``order``, as insert-or-replace leaves it; null keys are equal to one another."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(o) for o in order])
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Of rows with equal keys the last by ``order`` (nulls first), as insert-or-replace leaves it; null keys are equal to one another. Combined before the shuffle."""
+    return latest_by(df, keys, *order).select(*df.columns)
 
 
 def least_id(df: DataFrame, keys: list[str], key_id: str) -> DataFrame:
@@ -39,6 +42,12 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, ke
     return {name: delete_by(df, gone, column, key) for name, (df, column) in tables.items()}
 
 
+def stale(known: DataFrame, seen: DataFrame, keys: list[str], exists: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of ``known`` that aren't in ``seen``; with ``exists`` only those that it doesn't give back, as a look at the file system does. Null keys were never seen."""
+    left = known.join(seen.select(*keys).distinct(), keys, "left_anti")
+    return left.join(exists(left).select(*keys).distinct(), keys, "left_anti") if exists else left
+
+
 def changed(current: DataFrame, known: DataFrame, key: str, *marks: str) -> DataFrame:
     """current with a ``state``: new, changed or unchanged; unchanged only if all marks are equal, nulls too."""
     k = known.select(F.col(key).alias("__key"), *[F.col(m).alias(f"__{m}") for m in marks])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +37,21 @@ def upsert_files(spark, d):
 
 
 def stale_files(spark, d):
-    """Indexed files that the newest scan has no more."""
-    files = table(spark, d, "files_new", "pk", "project_id", "path").where("pk % 5 <> 1")
-    seen = table(spark, d, "file_previews", "project_id", "relative_path", "last_modified").where("relative_path is not null and last_modified % 3 <> 0").select("project_id", S.normal_path(F.col("relative_path")).alias("path")).distinct()
-    return files.join(seen, ["project_id", "path"], "left_anti").select("pk", "path")
+    """Indexed files that no scan has."""
+    files = table(spark, d, "files_new", "pk", "project_id", "path")
+    seen = table(spark, d, "file_previews", "project_id", "relative_path").where("relative_path is not null").select("project_id", S.normal_path(F.col("relative_path")).alias("path"))
+    return U.stale(files, seen, ["project_id", "path"]).select("pk", "path")
 
 
 def cascade_delete(spark, d):
-    gone = table(spark, d, "files_new", "pk").where("pk % 4 = 0")
-    left = U.cascade_delete({"chunks": (table(spark, d, "chunks_new", "file_id"), "file_id"), "sources": (table(spark, d, "source_files", "file_id"), "file_id")}, gone, "pk")
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
-    return counts[0].unionByName(counts[1])
+    """What is left of each table if the files of the fullest project go."""
+    files = table(spark, d, "files_new", "pk", "project_id", "path")
+    top = files.groupBy("project_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project_id").limit(1).select("project_id")
+    gone = files.join(F.broadcast(top), "project_id").select("pk", "path")  # one project
+    symbols, previews = _symbols(spark, d).select("file_id"), table(spark, d, "file_previews", "relative_path").where("relative_path is not null")
+    tables = {"chunks": (table(spark, d, "chunks_new", "file_id"), "file_id", "pk"), "sources": (table(spark, d, "source_files", "file_id"), "file_id", "pk"), "files": (files, "pk", "pk"), "symbols": (symbols, "file_id", "pk"), "previews": (previews, "relative_path", "path")}
+    left = {name: U.delete_by(df, gone, column, key) for name, (df, column, key) in tables.items()}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()])
 
 
 def config_overlay(spark, d):
@@ -83,10 +89,10 @@ def chunk_symbol_links(spark, d):
 
 
 def container_symbols(spark, d):
-    """Files, taken as symbols over all their lines, and other symbols that strictly contain another symbol of their file."""
+    """Files, taken as symbols over all their lines, and other symbols that strictly contain another symbol of their file; headings that are named as parents."""
     rows = _symbols(spark, d)
     whole = rows.groupBy("file_id", "path").agg(F.lit(-1).cast("long").alias("pos"), F.first("path").alias("name"), F.lit("file").alias("kind"), F.lit("").alias("parent"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
-    return Y.containers(rows.unionByName(whole), ("file", "class", "struct", "interface", "heading")).select("file_id", "pos")
+    return Y.containers(rows.unionByName(whole), ("file", "class", "struct", "interface")).select("file_id", "pos")
 
 
 def node_occurrence_ids(spark, d):
@@ -98,8 +104,21 @@ def outline_parents(spark, d):
 
 
 def outline_tree(spark, d):
-    nodes = Y.sibling_position(Y.parents(_symbols(spark, d)))
-    return Y.outline(nodes, 4)
+    """The whole tree of every file, of any depth."""
+    return Y.outline(Y.sibling_position(Y.parents(_symbols(spark, d))))
+
+
+def outline_depth(spark, d):
+    """How many nodes of each file are within two levels, as a cut outline shows them."""
+    return Y.outline(Y.sibling_position(Y.parents(_symbols(spark, d))), 2).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+def outline_freshness(spark, d):
+    """Files whose record was made after their row in the index was last written."""
+    path = S.normal_path(F.col("file_path"))
+    now = table(spark, d, "parse_results", "project_id", "file_path", "parsed_at").where("file_path is not null").groupBy(F.concat_ws("|", "project_id", path).alias("path")).agg(F.max(F.unix_timestamp("parsed_at")).alias("at"))
+    stored = table(spark, d, "files_new", "project_id", "path", "updated_at").select(F.concat_ws("|", "project_id", "path").alias("path"), F.col("updated_at").alias("at"))
+    return Y.fresher(stored, now)
 
 
 def heading_of_lines(spark, d):
@@ -158,7 +177,7 @@ def snippet_source(spark, d):
     return table(spark, d, "chunks_new", "id", "content", "source_code").select("id", F.md5(S.collapse_body(body)).alias("body")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (change_detection, dedupe_last_writer, dedupe_min_id, upsert_files, stale_files, cascade_delete, config_overlay, kv_upsert, chunk_symbol_links, container_symbols, node_occurrence_ids, outline_parents, outline_tree, heading_of_lines, union_paths, missing_paths, path_set_difference, folder_tree, gap_lines, file_chunks, newest_previews, snippet_source)}
+QUERIES = {f.__name__: f for f in (change_detection, dedupe_last_writer, dedupe_min_id, upsert_files, stale_files, cascade_delete, config_overlay, kv_upsert, chunk_symbol_links, container_symbols, node_occurrence_ids, outline_parents, outline_tree, outline_depth, outline_freshness, heading_of_lines, union_paths, missing_paths, path_set_difference, folder_tree, gap_lines, file_chunks, newest_previews, snippet_source)}
 _NORMAL = r"regexp_replace(regexp_replace(replace(trim(relative_path), '\', '/'), '/(\./)*/*', '/', 'g'), '^(\./)+', '')"
 _PARENTS = "par AS (SELECT c.file_id, c.pos, max(p.pos) AS parent_pos FROM sym c LEFT JOIN sym p ON p.file_id = c.file_id AND p.name = c.parent AND p.pos < c.pos AND p.start_line <= c.start_line AND p.end_line >= c.end_line GROUP BY 1, 2), nodes AS (SELECT *, row_number() OVER (PARTITION BY file_id, parent_pos ORDER BY pos) - 1 AS position FROM par)"
 SQL = {
@@ -167,15 +186,19 @@ SQL = {
     "dedupe_min_id": "SELECT file_id, line_start, line_end, min(id) AS id FROM chunks_new GROUP BY ALL",
     "upsert_files": """WITH n AS (SELECT CASE WHEN pk % 2 = 0 THEN pk ELSE pk + 100000000 END AS pk, path, 'new' AS hash, 9::BIGINT AS created_at, 9::BIGINT AS updated_at FROM files_new WHERE pk % 3 = 0)
         SELECT coalesce(n.pk, o.pk) AS pk, coalesce(n.path, o.path) AS path, coalesce(n.hash, o.hash) AS hash, coalesce(o.created_at, n.created_at) AS created_at, coalesce(n.updated_at, o.updated_at) AS updated_at FROM files_new o FULL JOIN n ON n.pk = o.pk""",
-    "stale_files": f"SELECT pk, path FROM files_new f WHERE pk % 5 <> 1 AND NOT EXISTS (SELECT 1 FROM file_previews p WHERE p.project_id = f.project_id AND p.last_modified % 3 <> 0 AND {_NORMAL} = f.path)",
-    "cascade_delete": "SELECT 'chunks' AS name, count(*) AS n FROM chunks_new WHERE file_id NOT IN (SELECT pk FROM files_new WHERE pk % 4 = 0) UNION ALL SELECT 'sources', count(*) FROM source_files WHERE file_id NOT IN (SELECT pk FROM files_new WHERE pk % 4 = 0)",
+    "stale_files": f"SELECT pk, path FROM files_new f WHERE NOT EXISTS (SELECT 1 FROM file_previews p WHERE p.project_id = f.project_id AND {_NORMAL} = f.path)",
+    "cascade_delete": _SYMBOLS + """, top AS (SELECT project_id FROM files_new GROUP BY 1 ORDER BY count(*) DESC, project_id LIMIT 1), gone AS (SELECT pk, path FROM files_new WHERE project_id = (SELECT project_id FROM top))
+        SELECT 'chunks' AS name, count(*) AS n FROM chunks_new WHERE file_id NOT IN (SELECT pk FROM gone) UNION ALL SELECT 'sources', count(*) FROM source_files WHERE file_id NOT IN (SELECT pk FROM gone) UNION ALL SELECT 'files', count(*) FROM files_new WHERE pk NOT IN (SELECT pk FROM gone)
+        UNION ALL SELECT 'symbols', count(*) FROM sym WHERE file_id NOT IN (SELECT pk FROM gone) UNION ALL SELECT 'previews', count(*) FROM file_previews WHERE relative_path NOT IN (SELECT path FROM gone)""",
     "config_overlay": "SELECT id, CASE WHEN length(id) % 2 = 0 THEN display_name ELSE upper(display_name) END AS display_name, CASE WHEN max_sequence_length > 300 THEN max_sequence_length ELSE 9 END AS max_sequence_length, 0 AS cpu_latency_ms FROM embedding_models",
     "kv_upsert": "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "chunk_symbol_links": _SYMBOLS + " SELECT DISTINCT c.id AS chunk_id, s.file_id || ':' || s.pos AS symbol_id FROM chunks_new c JOIN sym s ON s.file_id = c.file_id AND s.start_line BETWEEN c.line_start AND c.line_end",
-    "container_symbols": _SYMBOLS + ", a AS (SELECT file_id, pos, kind, start_line, end_line FROM sym UNION ALL SELECT file_id, -1, 'file', min(start_line), max(end_line) FROM sym GROUP BY file_id) SELECT file_id, pos FROM a WHERE kind IN ('file', 'class', 'struct', 'interface', 'heading') AND EXISTS (SELECT 1 FROM a b WHERE b.file_id = a.file_id AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND (a.start_line < b.start_line OR a.end_line > b.end_line))",
+    "container_symbols": _SYMBOLS + ", a AS (SELECT file_id, pos, kind, start_line, end_line FROM sym UNION ALL SELECT file_id, -1, 'file', min(start_line), max(end_line) FROM sym GROUP BY file_id) SELECT file_id, pos FROM a WHERE kind = 'heading' AND EXISTS (SELECT 1 FROM sym b WHERE b.file_id = a.file_id AND b.pos <> a.pos AND b.parent = (SELECT name FROM sym o WHERE o.file_id = a.file_id AND o.pos = a.pos) AND b.start_line >= a.start_line) OR kind IN ('file', 'class', 'struct', 'interface') AND EXISTS (SELECT 1 FROM a b WHERE b.file_id = a.file_id AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND (a.start_line < b.start_line OR a.end_line > b.end_line))",
     "node_occurrence_ids": _SYMBOLS + " SELECT file_id, pos, concat_ws(':', path, start_line, end_line, name, row_number() OVER (PARTITION BY file_id, start_line, end_line, name ORDER BY pos) - 1) AS node_id FROM sym",
     "outline_parents": _SYMBOLS + ", " + _PARENTS + " SELECT file_id, pos, coalesce(parent_pos, -1) AS parent_pos, position FROM nodes",
-    "outline_tree": _SYMBOLS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PARENTS + ", t AS (SELECT file_id, pos, 1::INTEGER AS depth, printf('%06d', position) AS trail FROM nodes WHERE parent_pos IS NULL UNION ALL SELECT n.file_id, n.pos, t.depth + 1, t.trail || '/' || printf('%06d', n.position) FROM nodes n JOIN t ON t.file_id = n.file_id AND t.pos = n.parent_pos WHERE t.depth < 4) SELECT * FROM t",
+    "outline_tree": _SYMBOLS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PARENTS + ", t AS (SELECT file_id, pos, 1::INTEGER AS depth, printf('%010d', position) AS trail FROM nodes WHERE parent_pos IS NULL UNION ALL SELECT n.file_id, n.pos, t.depth + 1, t.trail || '/' || printf('%010d', n.position) FROM nodes n JOIN t ON t.file_id = n.file_id AND t.pos = n.parent_pos) SELECT * FROM t",
+    "outline_depth": _SYMBOLS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PARENTS + ", t AS (SELECT file_id, pos, 1 AS depth FROM nodes WHERE parent_pos IS NULL UNION ALL SELECT n.file_id, n.pos, t.depth + 1 FROM nodes n JOIN t ON t.file_id = n.file_id AND t.pos = n.parent_pos WHERE t.depth < 2) SELECT file_id, count(*) AS n FROM t GROUP BY 1",
+    "outline_freshness": rf"SELECT n.path FROM (SELECT project_id || '|' || {_NORMAL.replace('relative_path', 'file_path')} AS path, max(epoch(parsed_at)::BIGINT) AS at FROM parse_results WHERE file_path IS NOT NULL GROUP BY 1) n LEFT JOIN files_new f ON f.project_id || '|' || f.path = n.path WHERE f.pk IS NULL OR n.at > f.updated_at",
     "heading_of_lines": "WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT - 1 AS line FROM documents) SELECT l.doc_id, l.line, (SELECT arg_max(h.t, h.line) FROM r h WHERE h.doc_id = l.doc_id AND h.line <= l.line AND regexp_matches(h.t, '^#{1,6} ')) AS heading FROM r l WHERE contains(l.t, '`')",
     "union_paths": "SELECT project_id, path FROM files_new UNION SELECT project_id, relative_path FROM file_previews UNION SELECT project_id, file_path FROM parse_results",
     "missing_paths": "SELECT project_id, relative_path AS path FROM file_previews EXCEPT SELECT project_id, path FROM files_new",

@@ -27,7 +27,7 @@ def ui_slugify(spark, d):
 
 
 def format_bytes(spark, d):
-    return table(spark, d, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", S.format_bytes(F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 7) * (F.col("o_orderkey") % 7) * (F.col("o_orderkey") % 11))).alias("size"))
+    return table(spark, d, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", S.format_bytes(F.floor("o_totalprice") * F.element_at(F.array(*[F.lit(1024**k) for k in range(5)]), (F.col("o_orderkey") % 5 + 1).cast("int")) * (F.col("o_orderkey") % 9)).alias("size"))
 
 
 def number_suffix(spark, d):
@@ -47,7 +47,8 @@ def extension_language(spark, d):
 
 def normalize_paths(spark, d):
     rows = table(spark, d, "file_previews", "project_id", "relative_path").where("relative_path is not null")
-    return rows.select("project_id", "relative_path", S.normal_path(F.col("relative_path")).alias("path")).distinct()
+    sibling = S.normal_path(F.concat("relative_path", F.lit("/.././x/../z")))
+    return rows.select("project_id", "relative_path", S.normal_path(F.col("relative_path")).alias("path"), sibling.alias("sibling")).distinct()
 
 
 def relative_paths(spark, d):
@@ -124,8 +125,8 @@ SQL = {
     "token_estimate": "SELECT doc_id, (coalesce(strlen(text), 0) // 4)::BIGINT AS tokens FROM documents",
     "slugify": "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' _' || p_type || '__2.0 '), '[ _]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM part",
     "ui_slugify": r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM documents",
-    "format_bytes": f"""SELECT o_orderkey, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN {_F('n', 1024, True)} || ' KB' WHEN n < 1073741824 THEN {_F('n', 1048576, True)} || ' MB' ELSE {_F('n', 1073741824, True)} || ' GB' END AS size
-        FROM (SELECT o_orderkey, floor(o_totalprice * (o_orderkey % 7) * (o_orderkey % 7) * (o_orderkey % 11))::BIGINT AS n FROM orders)""",
+    "format_bytes": "SELECT o_orderkey, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' " + " ".join(f"WHEN n < {1024 ** (k + 1)}::HUGEINT THEN {_F('n', f'{1024**k}::HUGEINT', True)} || ' {u}'" for k, u in enumerate(("KB", "MB", "GB", "TB", "PB"), 1))
+    + f" ELSE {_F('n', f'{1024**6}::HUGEINT', True)} || ' EB' END AS size FROM (SELECT o_orderkey, floor(o_totalprice)::HUGEINT * [1, 1024, 1048576, 1073741824, 1099511627776][o_orderkey % 5 + 1] * (o_orderkey % 9) AS n FROM orders)",
     "number_suffix": f"""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN {_F('n', 1000000, False)} || 'M' WHEN n >= 1000 THEN {_F('n', 1000, False)} || 'K' ELSE n::VARCHAR END AS n,
         CASE WHEN t = 0 THEN '' WHEN t < 1000 THEN t::VARCHAR || 't' ELSE {_F('t', 1000, False)} || 'kt' END AS tokens FROM (SELECT o_orderkey, floor(o_totalprice * (o_orderkey % 13))::BIGINT AS n, o_orderkey % 5000 AS t FROM orders)""",
     "dates_and_uptime": f"""WITH r AS (SELECT pk, updated_at AS u, last_modified AS m, updated_at % 9000 AS s FROM files_new)
@@ -134,7 +135,7 @@ SQL = {
     ),
     "extension_language": r"""SELECT pk, e AS extension, coalesce(CASE e """ + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in S.LANGUAGES.items()) + r""" END, 'unknown') AS language, e IN (""" + ", ".join(f"'{e}'" for e in S.SUPPORTED) + r""") AS supported
         FROM (SELECT pk, lower(regexp_extract(path, '\.[^./]*$')) AS e FROM files_new)""",
-    "normalize_paths": r"""SELECT DISTINCT project_id, relative_path, regexp_replace(regexp_replace(replace(trim(relative_path), '\', '/'), '/(\./)*/*', '/', 'g'), '^(\./)+', '') AS path FROM file_previews WHERE relative_path IS NOT NULL""",
+    "normalize_paths": r"""SELECT *, regexp_replace(path, '[^/]*$', '') || 'z' AS sibling FROM (SELECT DISTINCT project_id, relative_path, regexp_replace(regexp_replace(replace(trim(relative_path), '\', '/'), '/(\./)*/*', '/', 'g'), '^(\./)+', '') AS path FROM file_previews WHERE relative_path IS NOT NULL)""",
     "relative_paths": """SELECT DISTINCT project_id, absolute_path, absolute_path = r OR starts_with(absolute_path, r || '/') AS inside, CASE WHEN absolute_path = r THEN '.' WHEN starts_with(absolute_path, r || '/') THEN substr(absolute_path, length(r) + 2) END AS relative
         FROM (SELECT *, '/srv/code/' || project_id AS r FROM file_previews WHERE absolute_path IS NOT NULL AND project_id IS NOT NULL)""",
     "model_folders": r"""SELECT id, replace(replace(replace(trim(' ' || backend || '/../' || display_name || '\v1 '), '..', ''), '/', '-'), '\', '-') AS folder FROM embedding_models""",
@@ -143,7 +144,7 @@ SQL = {
     "enriched_content": """SELECT DISTINCT id, sha256(t) AS hash, strlen(t)::BIGINT AS bytes FROM (SELECT c.id, '# File: ' || path || ' (' || coalesce(language, '') || ')' || chr(10) || CASE WHEN coalesce(symbol_name, '') <> '' THEN '# Symbol: ' || symbol_name || chr(10) ELSE '' END || chr(10)
         || CASE WHEN coalesce(doc_string, '') <> '' THEN array_to_string(list_transform(string_split(doc_string, chr(10)), lambda x: '// ' || trim(x, ' ')), chr(10)) || chr(10) || chr(10) ELSE '' END || source_code AS t FROM chunks_new c JOIN files_new f ON f.pk = c.file_id WHERE source_code IS NOT NULL)""",
     "strip_comments": r"""SELECT file_id, md5(array_to_string(list_filter(string_split(source, chr(10)), lambda x: NOT regexp_matches(x, '^\s*($|//|#|/\*|<!--)')), chr(10))) AS code FROM source_files WHERE source IS NOT NULL""",
-    "semantic_groups": "SELECT CASE WHEN symbol_kind = 'element' THEN 'template' WHEN symbol_kind IN ('style', 'rule', 'css_rule', 'media', 'css_media', 'keyframes', 'css_keyframes') THEN 'style' ELSE 'code' END AS semantic_group, count(*) AS n FROM chunks_new GROUP BY 1",
+    "semantic_groups": "SELECT CASE WHEN symbol_kind = 'element' THEN 'template' WHEN symbol_kind IN ('style', 'rule', 'media', 'keyframes') THEN 'style' ELSE 'code' END AS semantic_group, count(*) AS n FROM chunks_new GROUP BY 1",
     "markdown_links": r"""SELECT file_id, target, count(*) AS n, regexp_matches(target, '^https?://') AS external FROM (SELECT file_id, unnest(regexp_extract_all(source, '\[([^\]]+)\]\(([^)]+)\)', 2)) AS target FROM source_files) GROUP BY 1, 2""",
     "headings": r"""SELECT doc_id, line, length(regexp_extract(text, '^#+'))::BIGINT AS level, trim(regexp_replace(text, '^#+ *', ''), ' ') AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line FROM documents) WHERE regexp_matches(text, '^#{1,6} +\S')""",
     "collapse_body": f"""SELECT file_id, md5(CASE WHEN len(l) > 120 THEN array_to_string(list_concat(list_concat(l[1:60], ['{S.COLLAPSED}']), l[-40:]), chr(10)) ELSE source END) AS body FROM (SELECT file_id, source, string_split(source, chr(10)) AS l FROM source_files WHERE source IS NOT NULL)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import scalars as S
 from loomdex.operators.chunking import line_chunks as fold_lines
-from loomdex.operators.search import top_k
+from loomdex.operators.search import latest_vectors, top_k
 from loomdex.sources.tables import table
 from loomdex.streaming.debounce import debounced
 
@@ -32,9 +32,9 @@ def search_dim_mismatch(spark, d):
 def search_chunks(spark, d):
     """The chunks most similar to a given one, each id once, with their wide columns."""
     rows = table(spark, d, "chunks_new", "id", "embedding", "language", "symbol_name", "updated_at")
-    one = rows.where(F.size("embedding") == 64).groupBy("id").agg(F.max_by("embedding", "updated_at").alias("embedding"))
-    q = one.orderBy("id").limit(1).select("embedding").head()
-    best = top_k(one, list(q[0]), 8)
+    usable = rows.where(F.size("embedding") == 64)
+    q = usable.orderBy("id", F.desc("updated_at")).limit(1).select("embedding").head()
+    best = top_k(latest_vectors(usable), list(q[0]), 8, distinct=True)
     wide = rows.drop("embedding", "updated_at").join(F.broadcast(best), "id").distinct()  # k rows
     return wide.select("id", "language", "symbol_name", F.round("similarity", 9).alias("similarity"))
 
@@ -97,10 +97,22 @@ def model_lookup(spark, d):
     return used.join(catalog, "key", "left").select("key", "n", F.coalesce("display_name", "key").alias("display_name"), F.coalesce("backend", F.lit("onnx")).alias("backend"))
 
 
+def latest_symbols(spark, d):
+    """A row for each symbol of the newest record of each file."""
+    path = F.regexp_replace(F.regexp_replace("file_path", r"\\", "/"), r"^(\./)+", "")
+    rows = table(spark, d, "parse_results", "project_id", "file_path", "symbols", "parsed_at").where("file_path is not null").withColumn("path", path)
+    newest = rows.groupBy("project_id", "path").agg(F.max_by("symbols", F.struct("parsed_at", "file_path")).alias("symbols"))
+    return newest.select("project_id", "path", F.explode("symbols").alias("symbol"))
+
+
 def averages_per_file(spark, d):
+    """Chunks and symbols a file of each project, with one decimal; 'N/A' for a project without files."""
     files = table(spark, d, "files_new", "pk", "project_id").groupBy("project_id").agg(F.count("*").alias("files"))
     chunks = table(spark, d, "chunks_new", "project_id").groupBy("project_id").agg(F.count("*").alias("chunks"))
-    return files.join(chunks, "project_id", "left").select("project_id", F.when(F.coalesce("chunks", F.lit(0)) == 0, "N/A").otherwise(F.floor(F.col("chunks") * 10 / F.col("files")).cast("string")).alias("tenths"))
+    symbols = latest_symbols(spark, d).groupBy("project_id").agg(F.count("*").alias("symbols"))
+    names = table(spark, d, "project_meta", "id").withColumnRenamed("id", "project_id")
+    rows = names.join(files, "project_id", "left").join(chunks, "project_id", "left").join(symbols, "project_id", "left")
+    return rows.select("project_id", *[S.average(F.col(c), F.col("files")).alias(f"{c}_per_file") for c in ("chunks", "symbols")])
 
 
 def wrong_chunk_counts(spark, d):
@@ -143,13 +155,14 @@ def project_config(spark, d):
 
 QUERIES = {f.__name__: f for f in (search_topk, search_dim_mismatch, search_chunks, vector_l2_normalize, similarity_buckets, line_chunks, debounce_sessions, event_windows, project_stats, all_projects_stats, model_usage_share, model_consistency, model_lookup, averages_per_file, wrong_chunk_counts, extensions, catalog_groups, outline_max_timestamp, tool_metrics, symbol_summary, project_config)}
 _COS = lambda a, b: f"list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform({a}::DOUBLE[], lambda x: x * x))) * sqrt(list_sum(list_transform({b}::DOUBLE[], lambda x: x * x))))"
+_AVERAGE = lambda c: f"CASE WHEN f = 0 THEN 'N/A' ELSE (({c} * 20 + f) // (2 * f) // 10)::BIGINT::VARCHAR || '.' || (({c} * 20 + f) // (2 * f) % 10)::BIGINT::VARCHAR END"
 _PROJECTS = """(SELECT coalesce(f.project_id, c.project_id) AS project_id, coalesce(n_files, 0) AS n_files, coalesce(n_chunks, 0) AS n_chunks, coalesce(bytes, 0) AS bytes, last_indexed FROM (SELECT project_id, count(*) AS n_files, max(updated_at) AS last_indexed FROM files_new GROUP BY 1) f
     FULL JOIN (SELECT project_id, count(*) AS n_chunks, sum(strlen(content))::BIGINT AS bytes FROM chunks_new GROUP BY 1) c ON c.project_id = f.project_id)"""
 SQL = {
     "search_topk": f"SELECT e.vec_id, round({_COS('e.embedding', 'q.embedding')}, 9) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS('e.embedding', 'q.embedding')} DESC, e.vec_id LIMIT 10",
     "search_dim_mismatch": f"SELECT e.vec_id, CASE WHEN e.vec_id % 5 = 1 THEN 0.0::DOUBLE ELSE round({_COS('e.embedding', 'q.embedding')}, 9) END AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id % 5 <> 2",
     "search_chunks": f"""WITH o AS (SELECT id, arg_max(embedding, updated_at) AS e, any_value(language) AS language, any_value(symbol_name) AS symbol_name FROM chunks_new WHERE len(embedding) = 64 GROUP BY id), q AS (SELECT e FROM o ORDER BY id LIMIT 1)
-        SELECT id, language, symbol_name, round(s, 9) AS similarity FROM (SELECT o.*, CASE WHEN list_sum(list_transform(o.e::DOUBLE[], lambda x: x * x)) = 0 THEN 0 ELSE {_COS('o.e', 'q.e')} END AS s FROM o, q) ORDER BY s DESC, id LIMIT 8""",
+        SELECT id, language, symbol_name, round(s, 9) AS similarity FROM (SELECT o.*, CASE WHEN list_sum(list_transform(o.e::DOUBLE[], lambda x: x * x)) = 0 OR len(list_filter(o.e, lambda x: x IS NOT NULL AND isfinite(x))) < 64 THEN 0 ELSE {_COS('o.e', 'q.e')} END AS s FROM o, q) ORDER BY s DESC, id LIMIT 8""",
     "vector_l2_normalize": "SELECT vec_id, (i - 1)::BIGINT AS n, round(v / sqrt(s), 9) AS x FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) AS s FROM embeddings)",
     "similarity_buckets": f"SELECT CASE WHEN s > 0.8 THEN 'high' WHEN s > 0.6 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n FROM (SELECT {_COS('e.embedding', 'q.embedding')} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) GROUP BY 1",
     "line_chunks": """WITH RECURSIVE l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) AS ls FROM documents WHERE length(text) > 0),
@@ -166,7 +179,9 @@ SQL = {
     "model_usage_share": "SELECT model, n, floor(n * 100 / sum(n) OVER () + 0.5)::BIGINT AS percent FROM (SELECT CASE WHEN trim(coalesce(embedding_model_id, '')) = '' THEN 'unknown' ELSE embedding_model_id END AS model, count(*) AS n FROM chunks_new GROUP BY 1)",
     "model_consistency": "SELECT project_id, count(DISTINCT lower(embedding_model_id)) = 1 AS consistent FROM chunks_new WHERE embedding_model_id IS NOT NULL GROUP BY 1",
     "model_lookup": "SELECT u.key, u.n, coalesce(m.display_name, u.key) AS display_name, coalesce(m.backend, 'onnx') AS backend FROM (SELECT lower(embedding_model_id) AS key, count(*) AS n FROM chunks_new WHERE embedding_model_id IS NOT NULL GROUP BY 1) u LEFT JOIN embedding_models m ON lower(m.id) = u.key",
-    "averages_per_file": "SELECT f.project_id, CASE WHEN coalesce(c, 0) = 0 THEN 'N/A' ELSE (c * 10 // n)::VARCHAR END AS tenths FROM (SELECT project_id, count(*) AS n FROM files_new GROUP BY 1) f LEFT JOIN (SELECT project_id, count(*) AS c FROM chunks_new GROUP BY 1) c ON c.project_id = f.project_id",
+    "averages_per_file": rf"""WITH n AS (SELECT p.id AS project_id, (SELECT count(*) FROM files_new f WHERE f.project_id = p.id) AS f, (SELECT count(*) FROM chunks_new c WHERE c.project_id = p.id) AS c, coalesce(y.n, 0) AS s FROM project_meta p
+        LEFT JOIN (SELECT project_id, sum(len(symbols)) AS n FROM (SELECT *, row_number() OVER (PARTITION BY project_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') ORDER BY parsed_at DESC, file_path DESC) AS k FROM parse_results WHERE file_path IS NOT NULL) WHERE k = 1 GROUP BY 1) y ON y.project_id = p.id)
+        SELECT project_id, {_AVERAGE('c')} AS chunks_per_file, {_AVERAGE('s')} AS symbols_per_file FROM n""",
     "wrong_chunk_counts": "SELECT pk, chunk_count, coalesce(n, 0) AS n FROM files_new LEFT JOIN (SELECT file_id, count(DISTINCT id) AS n FROM chunks_new GROUP BY 1) c ON c.file_id = pk WHERE chunk_count IS DISTINCT FROM coalesce(n, 0)",
     "extensions": r"SELECT project_id, array_to_string(list_sort(list(DISTINCT lower(regexp_extract(path, '\.[^./]*$')))), ',') AS extensions FROM files_new GROUP BY 1",
     "catalog_groups": "SELECT backend, array_to_string(list_sort(list(display_name)), ', ') AS models, count(*) AS n FROM embedding_models GROUP BY 1",

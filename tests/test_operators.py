@@ -23,7 +23,7 @@ def test_slug(spark):
 
 
 def test_format_bytes(spark):
-    said = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1536: "1.5 KB", 1280: "1.2 KB", 1048576: "1.0 MB", 1073741824: "1.0 GB", None: None}
+    said = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1536: "1.5 KB", 1280: "1.2 KB", 1048576: "1.0 MB", 1073741824: "1.0 GB", 1 << 40: "1.0 TB", 1 << 50: "1.0 PB", 1 << 60: "1.0 EB", (1 << 60) - 1: "1024.0 PB", 1234567890123456789: "1.1 EB", (1 << 63) - 1: "8.0 EB", None: None}
     assert values(spark, S.format_bytes, list(said), "long") == list(said.values())
 
 
@@ -93,3 +93,41 @@ def test_stream_of_updates(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == ["a"]  # the last run isn't quiet yet
+
+
+def test_stale_files(spark):
+    known = spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (3, "q", "a"), (4, "p", None), (5, "p", "c")], "pk int, project_id string, path string")
+    seen = spark.createDataFrame([("p", "a"), ("p", "a"), ("q", "z"), (None, "b")], "project_id string, path string")
+    assert sorted(r.pk for r in upserts.stale(known, seen, ["project_id", "path"]).collect()) == [2, 3, 4, 5]
+    there = upserts.stale(known, seen, ["project_id", "path"], lambda left: left.where("path = 'c'"))  # c is on the disk after all
+    assert sorted(r.pk for r in there.collect()) == [2, 3, 4]
+    assert upserts.stale(known.limit(0), seen, ["project_id", "path"]).count() == 0
+
+
+def test_outline_of_any_depth(spark):
+    rows = [(1, k, k - 1 if k else None, 0) for k in range(40)] + [(1, 40, None, 1), (2, 0, None, 0), (2, 1, 0, 0), (2, 2, 0, 1)]
+    nodes = spark.createDataFrame(rows, "file_id long, pos long, parent_pos long, position long")
+    tree = {(r.file_id, r.pos): (r.depth, r.trail) for r in symbols.outline(nodes).collect()}
+    assert len(tree) == 44 and tree[1, 39][0] == 40 and tree[1, 40] == (1, "0000000001") and tree[2, 2] == (2, "0000000000/0000000001")
+    assert {k for k, v in tree.items() if v[0] <= 2} == {(r.file_id, r.pos) for r in symbols.outline(nodes, 2).collect()}
+    top = symbols.outline(nodes).where("file_id = 1 and depth = 38").select("file_id", "trail")
+    assert sorted(r.pos for r in symbols.subtree(symbols.outline(nodes), top).collect()) == [37, 38, 39]
+    assert symbols.outline(nodes.limit(0)).count() == 0
+
+
+def test_fresher_outlines(spark):
+    stored = spark.createDataFrame([("a", 5), ("b", 5)], "path string, at long")
+    now = spark.createDataFrame([("a", 5), ("b", 6), ("c", 1)], "path string, at long")
+    assert sorted(r.path for r in symbols.fresher(stored, now).collect()) == ["b", "c"]
+
+
+def test_containers(spark):
+    rows = [(1, "div", "element", "", 1, 9, 10, 90), (1, "span", "element", "div", 1, 9, 20, 30), (1, "s", "script", "", 3, 5, 0, 0), (1, "f", "function", "", 4, 4, 0, 0), (1, "T", "heading", "", 1, 2, 0, 5), (1, "U", "heading", "T", 2, 2, 6, 9), (2, "x", "rule", "", 1, 9, 10, 90)]
+    df = spark.createDataFrame(rows, "file_id int, name string, kind string, parent string, start_line int, end_line int, start_byte int, end_byte int")
+    assert sorted(r.name for r in symbols.containers(df).collect()) == ["T", "div", "s"]
+
+
+def test_latest_vectors(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0], 1), ("a", [0.0, 1.0], 2), ("b", [1.0, 0.0], 1), ("b", [1.0, 0.0], 9), ("c", [float("nan"), 1.0], 1)], "id string, embedding array<float>, updated_at long")
+    found = search.top_k(search.latest_vectors(df), [1.0, 0.0], 5, distinct=True).collect()
+    assert [(r.id, r.similarity) for r in found] == [("b", 1.0), ("a", 0.0), ("c", 0.0)]

@@ -41,7 +41,7 @@ def test_markup_and_styles():
     s = found("a.html", html)
     assert s["body#b", "element"].signature == "id='b'" and sum(n == "p" for n, _ in [(x.name, 0) for x in parse("a.html", html).symbols]) == 2 and ("script", "script") in s and parse("a.html", html).imports == ["app.js"]
     css = '@import url("base.css");\n.a, #b { c: "}" }\n@media (x) { .d { e: f } }\n@keyframes k { from { a: b } to { c: d } }\n'
-    assert [(x.name, x.kind) for x in parse("a.css", css).symbols] == [(".a, #b", "css_rule"), ("@media (x)", "css_media"), (".d", "css_rule"), ("@keyframes k", "css_keyframes")] and parse("a.css", css).imports == ["base.css"]
+    assert [(x.name, x.kind) for x in parse("a.css", css).symbols] == [(".a, #b", "rule"), ("@media (x)", "media"), (".d", "rule"), ("@keyframes k", "keyframes")] and parse("a.css", css).imports == ["base.css"]
     vue = "<template>\n<div id='x'></div>\n</template>\n<script>\nimport a from 'vue'\nfunction f() {}\n</script>\n"
     v = found("a.vue", vue)
     assert v["div#x", "element"].start_line == 2 and v["f", "function"].start_line == 6 and v["f", "function"].parent == "script" and parse("a.vue", vue).imports == ["vue"]
@@ -50,7 +50,7 @@ def test_markup_and_styles():
 def test_markdown_sql_json():
     md = "# Top\ntext [a](b.md) [c](https://d)\n## Under\n```go\n# no heading\n```\n# Next\n"
     s = found("a.md", md)
-    assert s["Top", "md_heading"].end_line == 6 and s["Under", "md_heading"].parent == "Top" and s["code:go", "md_code"].parent == "Under" and s["Top", "md_heading"].signature == "h1" and parse("a.md", md).imports == ["b.md"] and ("no heading", "md_heading") not in s
+    assert s["Top", "heading"].end_line == 6 and s["Under", "heading"].parent == "Top" and s["code:go", "code_block"].parent == "Under" and s["Top", "heading"].signature == "h1" and parse("a.md", md).imports == ["b.md"] and ("no heading", "heading") not in s
     names = [x.name for x in parse("a.sql", "CREATE TABLE users (id int);\nINSERT INTO users VALUES (';');\nSELECT * FROM users;\n-- x;\nDROP TABLE users").symbols]
     assert names == ["CREATE TABLE users", "INSERT users", "SELECT users", "DROP TABLE users"]
     j = parse("a.json", '{"a": 1, "b": {"c": [true, {"d": "x:y"}]}, "e": null}')
@@ -124,3 +124,52 @@ def test_scan_and_index(spark, tmp_path):
         index.source_of("none")
     with pytest.raises(FileNotFoundError):
         index.read("none")
+
+
+def test_broken_python_gives_what_its_lines_tell():
+    broken = 'import os\nfrom a.b import c\n\nclass A:\n    """Doc of A."""\n    def f(self, x:\n        return x\n\n    async def g(self):\n        return 1\n\ndef _h(a):\n    return a +\n'
+    p = parse("a.py", broken)
+    assert p.errors and p.imports == ["os", "a.b"]
+    assert [(s.name, s.kind, s.parent, s.start_line, s.end_line, s.visibility) for s in p.symbols] == [("A", "class", "", 4, 10, "public"), ("f", "method", "A", 6, 7, "public"), ("g", "method", "A", 9, 10, "public"), ("_h", "function", "", 12, 13, "protected")]
+    assert p.symbols[0].doc == "Doc of A."
+
+
+def test_arrows_without_a_name():
+    found = parse("a.ts", "export default () => 1\nconst add = (a: number) => a\ntype F = (a: string) => void\nwatch(() => { x() })\nconst o = { a: (x) => { return 1 }, b: 2 }\nfunction f() { return (y) => y + 1 }\ninterface I { g: (a: number) => void }\n").symbols
+    assert [(s.name, s.start_line) for s in found] == [("arrow@L1", 1), ("add", 2), ("watch callback", 4), ("arrow@L5", 5), ("f", 6), ("arrow@L6", 6)] and found[5].source == "(y) => y + 1"
+
+
+def test_sql_bodies_and_transactions():
+    text = "CREATE TRIGGER t AFTER INSERT ON users BEGIN DELETE FROM d; UPDATE x SET a = CASE WHEN 1 THEN 2 END; END;\nBEGIN;\nDELETE FROM a;\nCOMMIT;\nCREATE OR REPLACE FUNCTION f() RETURNS int AS $x$ BEGIN; END; $x$;\nCREATE MATERIALIZED VIEW mv AS SELECT 1;\nTRUNCATE TABLE q;\nWITH a AS (SELECT 1 FROM b) SELECT (SELECT 2 FROM z) FROM a;\nMERGE INTO m USING n ON 1=1;\nVACUUM"
+    assert [(s.name, s.parent) for s in parse("a.sql", text).symbols] == [
+        ("CREATE TRIGGER t", ""), ("TRANSACTION", ""), ("DELETE a", "TRANSACTION"), ("CREATE FUNCTION f", ""), ("CREATE MATERIALIZED VIEW mv", ""), ("TRUNCATE q", ""), ("SELECT a", ""), ("MERGE m", ""), ("VACUUM", ""),
+    ]
+
+
+def test_byte_offsets_of_letters_beyond_ascii():
+    text = "é = 1\n\ndef ß():\n    return '日本'\n"
+    s = parse("a.py", text).symbols[0]
+    raw = text.encode()
+    assert raw[s.start_byte : s.end_byte].decode() == s.source == "def ß():\n    return '日本'"
+
+
+def test_containing_equals_all_pairs():
+    import random
+    from dataclasses import replace
+
+    from loomdex.functions.parsers import Symbol
+    from loomdex.operators.semantic import containing
+
+    rng = random.Random(2)
+    for _ in range(200):
+        symbols = []
+        for k in range(rng.randrange(9)):
+            a, b = sorted((rng.randrange(6), rng.randrange(6)))
+            s = Symbol(f"s{k}", "element", a + 1, b + 1, 0, 0, "")
+            symbols.append(replace(s, start_byte=a * 10, end_byte=b * 10 + 5) if rng.random() < 0.6 else s)
+
+        def inside(x, y):
+            span = (lambda s: (s.start_byte, s.end_byte)) if x.start_byte or x.end_byte else (lambda s: (s.start_line, s.end_line))
+            return span(x)[0] <= span(y)[0] and span(x)[1] >= span(y)[1] and span(x) != span(y)
+
+        assert containing(symbols) == [any(inside(x, y) for y in symbols if y is not x) for x in symbols]
