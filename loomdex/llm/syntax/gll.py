@@ -21,18 +21,6 @@ BASE = {"P": 0x10000, "K": 0x12000, "B": 0x14000, "D": 0x16000}
 RANGES = {kind: f"{chr(base)}-{chr(base + 0x1FFF)}" for kind, base in BASE.items()}
 
 
-#: A run of equal items of a comma list. In every grammar here such a list may be of any length, so the run
-#: derives as three of its items do; long tables of data thus cost no more than short ones.
-RUN = re.compile(r"([^,()\[\]{}\n]{1,16},)\1{3,}")
-
-
-def shortened(text: str, comma: str) -> str:
-    """The text with runs of equal items cut to three."""
-    if len(text) < 40:
-        return text
-    return RUN.sub(r"\1\1\1", text.replace(comma, ",")).replace(",", comma)
-
-
 class Grammar:
     """A grammar in EBNF: lines ``name = alternatives``, with quoted tokens, token classes in capitals, P:name, K:name, B:name
     and D:name for brackets and their contents, and ``( )``, ``?``, ``*``, ``+`` as usual. A line that begins with a blank goes on.
@@ -40,10 +28,14 @@ class Grammar:
     ``classes`` gives the character of each token class; quoted tokens get one each. ``also`` lists, for tokens that may
     stand for others (as keywords that may be names do), what else they are. ``content`` prepares the content of a kind of bracket.
     ``lists`` names the nonterminals that are sequences of items: (item, what ends one: tokens, classes, kinds of bracket), see sequence().
+    ``commas`` names those that are items with commas between: (item, whether a comma may end them, whether they may be empty).
     """
 
-    def __init__(self, text: str, classes: dict[str, str], also: dict[str, tuple[str, ...]] | None = None, content: dict[str, Callable[[str], str]] | None = None, lists: dict[str, tuple[str, tuple[str, ...]]] | None = None):
-        self.classes, self.content, self.lists = classes, content or {}, lists or {}
+    def __init__(
+        self, text: str, classes: dict[str, str], also: dict[str, tuple[str, ...]] | None = None, content: dict[str, Callable[[str], str]] | None = None,
+        lists: dict[str, tuple[str, tuple[str, ...]]] | None = None, commas: dict[str, tuple[str, bool, bool]] | None = None,
+    ):
+        self.classes, self.content, self.lists, self.commas = classes, content or {}, lists or {}, commas or {}
         self.tokens: dict[str, str] = {}
         self.sets: dict[str, set[str]] = {}
         self.rules: dict[str, list] = {}
@@ -266,7 +258,6 @@ class Grammar:
         parse could go on; so each is parsed by itself and equal ones are parsed once.
         """
         item, _ = self.lists[name]
-        text = shortened(text, self.comma)
         cuts = [m.end() for m in self.ends[name].finditer(text)]
         if not cuts or cuts[-1] < len(text):
             cuts.append(len(text))
@@ -276,7 +267,8 @@ class Grammar:
             a = todo.pop()
             if a == len(text):
                 return True
-            for b in cuts[place[a] + 1 if a else 0 :]:
+            for k in range(place[a] + 1 if a else 0, len(cuts)):
+                b = cuts[k]
                 whole, longer = self.derived(text[a:b], item)
                 if whole and b not in reach:
                     reach.add(b)
@@ -285,23 +277,52 @@ class Grammar:
                     break
         return len(text) in reach
 
+    def comma_list(self, text: str, name: str) -> bool:
+        """Whether text is a row of the items of a list, with commas between them.
+
+        A repetition folded over its items: each is parsed by itself, remembered, and made longer, comma by comma, only as long as the parse could go on.
+        """
+        item, trailing, empty = self.commas[name]
+        if not text:
+            return empty
+        cuts = [m.start() for m in re.finditer(self.comma, text)]
+        cuts.append(len(text))
+        reach, todo, done = {0}, [0], len(text)
+        number = {c + 1: n + 1 for n, c in enumerate(cuts)} | {0: 0}
+        while todo:
+            a = todo.pop()
+            if a == done and trailing:
+                return True
+            for k in range(number[a], len(cuts)):
+                b = cuts[k]
+                whole, longer = self.derived(text[a:b], item)
+                if whole:
+                    if b == done:
+                        return True
+                    if b + 1 not in reach:
+                        reach.add(b + 1)
+                        todo.append(b + 1)
+                if not longer:
+                    break
+        return False
+
     def matches(self, text: str, starts: tuple[str, ...]) -> frozenset[str]:
         """Which of the nonterminals, lists among them, derive the whole text."""
-        plain = tuple(s for s in starts if s not in self.lists)
+        plain = tuple(s for s in starts if s not in self.lists and s not in self.commas)
         found = set(self.derives(text, plain)[0]) if plain else set()
-        return frozenset(found | {s for s in starts if s in self.lists and self.sequence(text, s)})
+        return frozenset(found | {s for s in starts if s in self.lists and self.sequence(text, s) or s in self.commas and self.comma_list(text, s)})
 
-    def group(self, m: re.Match) -> str:
+    def group(self, opening: str, inner: str) -> str:
         """The character for a pair of brackets and its content."""
-        whole = m.group()
+        whole = opening + inner
         known = self.groups.get(whole)
         if known is None:
-            kind, inner = KINDS[whole[0]], whole[1:-1]
+            kind = KINDS[opening]
             found: set[str] = set()
             by: dict[str, list[str]] = {}
             for name in self.wanted[kind]:
                 prepare = self.content.get(name) or self.content.get(kind)
-                by.setdefault(shortened(prepare(inner) if prepare else inner, self.comma), []).append(name)
+                by.setdefault(prepare(inner) if prepare else inner, []).append(name)
             for text, names in by.items():
                 found |= self.matches(text, tuple(names))
             known = self.stand_in(kind, frozenset(found))
@@ -322,14 +343,27 @@ class Grammar:
                     chars.add(c)
         return self.group_chars[key]
 
-    INNERMOST = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+    BRACKETS = re.compile(r"[()\[\]{}]")
+    CLOSES = {"(": ")", "[": "]", "{": "}"}
 
     def reduce(self, text: str) -> str | None:
-        """The text with all brackets replaced; None if they don't match."""
-        before = None
-        while text != before:
-            before, text = text, self.INNERMOST.sub(self.group, text)
-        return None if re.search(r"[()\[\]{}]", text) else text
+        """The text with all brackets replaced, the innermost first, in one pass; None if they don't match."""
+        opened: list[tuple[str, list[str]]] = [("", [])]
+        at = 0
+        for m in self.BRACKETS.finditer(text):
+            sign = m.group()
+            opened[-1][1].append(text[at : m.start()])
+            at = m.end()
+            if sign in "([{":
+                opened.append((sign, []))
+                continue
+            opening, parts = opened.pop()
+            if self.CLOSES.get(opening) != sign:
+                return None
+            opened[-1][1].append(self.group(opening, "".join(parts)))
+        if len(opened) > 1:
+            return None
+        return "".join(opened[0][1]) + text[at:]
 
 
 class Kinds(dict):

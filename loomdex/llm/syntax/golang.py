@@ -25,8 +25,9 @@ constspec = ids ( type? '=' exprs )?
 ids = ID ( ',' ID )*
 sig = P:params result?
 result = type
-params = ( param ( ',' param )* ','? )?
-param = type | ID type | ID? '...' type
+params = ( named ( ',' named )* ','? | untyped ( ',' untyped )* ','? )?
+named = ID ( ',' ID )* '...'? type
+untyped = '...'? type
 typeparams = tparam ( ',' tparam )* ','?
 tparam = ID constraint | ID
 constraint = '~'? type ( '|' '~'? type )*
@@ -43,16 +44,17 @@ exprs = expr ( ',' expr )*
 expr = unary ( BINOP unary )*
 unary = UNOP* primary
 primary = operand suffix* | complit suffix*
+call = ( operand | complit ) suffix* P:args
 operand = ID | NUM | STR | P:paren | 'func' sig B:block | conv P:args
 conv = K:arraylen type | 'map' K:onetype type | 'chan' type | 'interface' B:methods | 'struct' B:fields | 'func' sig
 complit = ( ID ( '.' ID )? K:types? | K:arraylen type | 'map' K:onetype type | 'struct' B:fields ) B:elements
 suffix = '.' ID | '.' P:assertion | K:index | P:args
 paren = expr | type
 assertion = type | 'type'
-args = ( arg ( ',' arg )* '...'? ','? )?
-arg = expr | type
+args = arg
+arg = expr '...'? | type
 index = expr | types | expr? ':' expr? | expr? ':' expr ':' expr
-elements = ( element ( ',' element )* ','? )?
+elements = element
 element = ( value ':' )? value
 value = expr | B:elements
 hexpr = hunary ( BINOP hunary )*
@@ -61,7 +63,7 @@ hprimary = operand suffix*
 hexprs = hexpr ( ',' hexpr )*
 simple = exprs | exprs ASSIGN exprs | exprs ':=' exprs | expr INCDEC | expr '<-' expr
 hsimple = hexprs | hexprs ASSIGN hexprs | hexprs ':=' hexprs | hexpr INCDEC | hexpr '<-' hexpr
-stmt = simple | other | 'go' expr | 'defer' expr | 'return' exprs? | 'break' ID? | 'continue' ID? | 'goto' ID | 'fallthrough' | B:block | if | for | switch | select | ID ':' stmt?
+stmt = simple | other | 'go' call | 'defer' call | 'return' exprs? | 'break' ID? | 'continue' ID? | 'goto' ID | 'fallthrough' | B:block | if | for | switch | select | ID ':' stmt?
 if = 'if' ( hsimple? ';' )? hexpr B:block ( 'else' ( if | B:block ) )?
 for = 'for' ( hexpr? | hsimple? ';' hexpr? ';' hsimple? | ( hexprs ( '=' | ':=' ) )? 'range' hexpr ) B:block
 switch = 'switch' ( hsimple? ';' )? hsimple? B:cases
@@ -82,6 +84,7 @@ INCDEC = '++' | '--'
     {"ID": "i", "NUM": "n", "STR": "s"},
     content={name: lambda t: t if not t or t.endswith(SEMI) else t + SEMI for name in ("block", "cases", "comms")},
     lists={"block": ("item", (";",)), "cases": ("caseitem", (";",)), "comms": ("commitem", (";",)), "toplevel": ("fileitem", (";",))},
+    commas={"elements": ("element", True, True), "args": ("arg", True, True)},
 )
 SEMI = GRAMMAR.char(";")
 _ch = GRAMMAR.char

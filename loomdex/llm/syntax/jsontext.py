@@ -10,10 +10,12 @@ GRAMMAR = Grammar(
     """
 text = value
 value = STR | NUM | 'true' | 'false' | 'null' | B:members | K:values
-values = ( value ( ',' value )* )?
-members = ( STR ':' value ( ',' STR ':' value )* )?
+values = value
+members = member
+member = STR ':' value
 """,
     {"STR": "s", "NUM": "n"},
+    commas={"values": ("value", False, True), "members": ("member", False, True)},
 )
 TOKEN = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|[ \t\r\n]+|[A-Za-z_]+|.', re.S)
 

@@ -11,51 +11,64 @@ block = stmt
 module = stmt
 E = ';' | NL
 stmt = decl E | open
-open = func | class | if | for | while | do | switch | try | B:block | label | ';' | NL | exportopen | %otheropen
+open = func | class | if | for | while | do | %with | switch | try | B:block | label | ';' | NL | exportopen | %otheropen
+with = 'with' P:row NL? stmt
 func = 'async'? 'function' '*'? ID? fsig B:block
 fsig = @tp P:params @ret
 class = deco* @abstract 'class' ID? @tp ( 'extends' lhs @targs )? @implements NL? B:members
 deco = '@' ID ( '.' ID )* P:args? NL?
-exportopen = 'export' 'default'? ( func | deco* class ) | deco* 'export' 'default'? class | %exportopen
-if = 'if' P:exprs NL? stmt ( NL? 'else' NL? stmt )?
-while = 'while' P:exprs NL? stmt
-do = 'do' NL? stmt 'while' P:exprs E?
+exportopen = %exports
+exports = 'export' 'default'? ( func | deco* class ) | deco* 'export' 'default'? class | %exportopen
+if = 'if' P:row NL? stmt ( NL? 'else' NL? stmt )?
+while = 'while' P:row NL? stmt
+do = 'do' NL? stmt NL? 'while' P:row ( E? | stmt )
 for = 'for' 'await'? P:forhead NL? stmt
-forhead = ( vars | exprs )? ';' exprs? ';' exprs? | ( ( 'const' | 'let' | 'var' ) target | lhs | P:exprs ) ( 'of' | 'in' ) exprs
-switch = 'switch' P:exprs NL? B:cases
+forhead = ( vars | exprs )? ';' exprs? ';' exprs? | ( ( 'const' | 'let' | 'var' | 'using' ) target @ann | aim | B:objpattern | K:arrpattern ) ( 'of' assign | 'in' exprs )
+switch = 'switch' P:row NL? B:cases
 cases = caseitem
 caseitem = ( ( 'case' exprs | 'default' ) ':' NL? )* stmt | ( ( 'case' exprs | 'default' ) ':' NL? )+
 try = 'try' NL? B:block NL? ( 'catch' P:catch? NL? B:block NL? ( 'finally' NL? B:block )? | 'finally' NL? B:block )
 catch = target @ann
 label = ID ':' NL? stmt
-decl = vars | exprs | 'return' exprs? | 'throw' exprs | 'break' ID? | 'continue' ID? | 'debugger' | import | export | do | %otherdecl
-vars = ( 'const' | 'let' | 'var' | 'using' ) var ( ',' var )*
-var = target @ann ( '=' assign )?
+decl = vars | exprs | 'return' exprs? | 'throw' exprs | 'break' ID? | 'continue' ID? | 'debugger' | %module | do | %otherdecl
+vars = ( 'let' | 'var' ) var ( ',' var )* | ( 'const' | 'using' ) fixed ( ',' fixed )*
+var = ID @ann ( '=' assign )? | fixed
+fixed = target @ann '=' assign | %fixed
 target = ID | B:objpattern | K:arrpattern
-objpattern = ( oprop ( ',' oprop )* ','? )?
+objpattern = oprop
 oprop = ID ( '=' assign )? | key ':' element | '...' ID
-element = target ( '=' assign )? | lhs ( '=' assign )?
-arrpattern = ( element | '...' element )? ( ',' ( element | '...' element )? )*
-import = 'import' ( STR | importwhat 'from' STR ) importwith?
+element = target ( '=' assign )? | aim ( '=' assign )?
+arrpattern = hole
+hole = ( '...'? element )?
+module_ = import | export
+import = %importas | 'import' ( STR | importwhat 'from' STR ) importwith?
 importwith = ( 'with' | 'assert' ) B:object
 importwhat = @type ( ID ( ',' ( '*' 'as' ID | B:names ) )? | '*' 'as' ID | B:names )
 names = ( name ( ',' name )* ','? )?
 name = @type ( anyname | STR ) ( 'as' ( anyname | STR ) )?
-export = 'export' ( vars | @type B:names ( 'from' STR importwith? )? | @type '*' ( 'as' ( anyname | STR ) )? 'from' STR importwith? | 'default' assign | %exportdecl )
+export = %exportas | 'export' ( vars | @type B:names ( 'from' STR importwith? )? | @type '*' ( 'as' ( anyname | STR ) )? 'from' STR importwith? | 'default' assign | %exportdecl )
 exprs = assign ( ',' assign )*
-assign = cond | lhs ASSIGN assign | ( B:objpattern | K:arrpattern ) '=' assign | arrow | 'yield' ( '*'? assign )?
+row = assign
+assign = cond | aim ASSIGN assign | ( B:objpattern | K:arrpattern ) '=' assign | arrow | 'yield' ( '*'? assign )?
 arrow = 'async'? ( ID | @tp P:params @ret ) '=>' ( assign | B:block )
 cond = bin ( '?' assign ':' assign )?
-bin = un ( BOP un )* @as
-un = UOP* post
-post = lhs ( '++' | '--' )?
+bin = bor ( ( '||' | '&&' ) bor )* | bor ( '??' bor )+
+bor = term @as ( BOP term @as )*
+term = un | post '**' term
+un = %cast UOP* ( post | ( '++' | '--' ) aim )
+post = lhs | aim ( '++' | '--' )
+aim = ID | lhs member | P:aimed | %aim
+aimed = aim
+member = '.' ( anyname | PRIV ) | K:row
 lhs = 'new'* primary suffix*
-primary = ID | NUM | STR | TPL | RE | PRIV | P:exprs | K:array | B:object | 'function' '*'? ID? fsig B:block | 'async' 'function' '*'? ID? fsig B:block | deco* 'class' ID? @tp ( 'extends' lhs @targs )? @implements B:members | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' P:args | 'import' '.' ID | 'new' '.' ID
-suffix = '.' ( anyname | PRIV ) | '?.' ( anyname | PRIV | P:args | K:exprs ) | K:exprs | P:args | TPL | %suffix
-args = ( ( '...'? assign ) ( ',' '...'? assign )* ','? )?
-array = ( '...'? assign )? ( ',' ( '...'? assign )? )*
-object = ( prop ( ',' prop )* ','? )?
-prop = ID | key ':' assign | '...' assign | method | ID '=' assign
+primary = ID | NUM | STR | TPL | RE | PRIV | P:row | K:array | B:object | 'function' '*'? ID? fsig B:block | 'async' 'function' '*'? ID? fsig B:block | deco* 'class' ID? @tp ( 'extends' lhs @targs )? @implements B:members | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' P:args | 'import' '.' ID | 'new' '.' ID
+suffix = '.' ( anyname | PRIV ) | '?.' ( anyname | PRIV | P:args | K:row ) | K:row | P:args | TPL | %suffix
+args = arg
+arg = '...'? assign
+array = slot
+slot = ( '...'? assign )?
+object = prop
+prop = ID | key ':' assign | '...' assign | method
 key = anyname | STR | NUM | K:assign1
 assign1 = assign
 method = ( 'async' | 'get' | 'set' | 'static' )* '*'? ( key | PRIV ) @opt fsig B:block
@@ -64,16 +77,16 @@ param = deco* @mods '...'? target @opt @ann ( '=' assign )? | %thisparam
 members = member
 member = deco* @modsmember method E? | deco* @modsmember 'static'? 'accessor'? ( key | PRIV ) @optfield @ann ( '=' assign )? E | 'static' B:block E? | E | %othermember
 anyname = ID | KW
-BOP = '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**' | 'in' | 'instanceof'
-UOP = '!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--'
+BOP = '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | 'in' | 'instanceof'
+UOP = '!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await'
 ASSIGN = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 """
 #: What the forms with @ and the alternatives with % are in TypeScript; in JavaScript they are nothing.
 TYPED = {
     "tp": "tp?", "ret": "ret?", "abstract": "( 'abstract' | 'declare' )*", "targs": "targs?", "implements": "( 'implements' type ( ',' type )* )?", "ann": "( '!'? ':' type )?", "type": "( 'type' | 'typeof' )?",
     "as": "( 'as' 'const' | ( 'as' | 'satisfies' ) type )*", "suffix": "'!' | targs P:args | targs TPL", "opt": "( '?' )?", "thisparam": "'this' ':' type", "optfield": "( '?' | '!' )?", "mods": "MOD*", "modsmember": "( MOD | 'abstract' | 'override' | 'declare' )*",
-    "otheropen": "'declare'? ( interface | enum | namespace ) | overload E", "exportopen": "'export' 'default'? 'declare'? ( interface | enum | namespace ) | 'export' 'default'? overload E", "otherdecl": "'declare'? alias | 'declare' ( vars | class )",
-    "exportdecl": "'declare'? alias | 'declare' ( vars | class ) | '=' assign", "othermember": "index E | ( MOD | 'abstract' | 'override' )* ( 'async' | 'get' | 'set' | 'static' )* '*'? ( key | PRIV ) '?'? fsig E",
+    "otheropen": "'declare'? ( interface | enum | namespace ) | overload E", "exportopen": "'export' 'default'? 'declare'? ( interface | enum | namespace ) | 'export' 'default'? overload E", "otherdecl": "'declare'? alias | 'declare' ( ambient | class )",
+    "exportdecl": "'declare'? alias | 'declare' ( ambient | class ) | '=' assign", "exportas": "'export' 'as' 'namespace' ID", "importas": "'import' @type ID '=' ( 'require' P:args | ID ( '.' ID )* )", "fixed": "ID ( '!'? ':' type )", "cast": "( '<' ( type | 'const' ) '>' )*", "aim": "lhs '!' | P:row", "othermember": "index E | ( MOD | 'abstract' | 'override' )* ( 'async' | 'get' | 'set' | 'static' )* '*'? ( key | PRIV ) '?'? fsig E",
 }
 TYPES = """
 tp = '<' tparam ( ',' tparam )* ','? '>'
@@ -86,10 +99,10 @@ union = '|'? inter ( '|' inter )*
 inter = '&'? tun ( '&' tun )*
 tun = ( 'keyof' | 'readonly' | 'unique' | 'infer' )* tpost
 tpost = tatom ( K:ttype? )*
-tatom = ( ID | 'void' | 'null' | 'this' | 'undefined' ) ( '.' ID )* targs? | 'typeof' ID ( '.' ID )* targs? | 'import' P:args ( '.' ID )* targs? | STR | '-'? NUM | TPL | 'true' | 'false' | P:ptype | K:tuple | B:typebody
+tatom = ( ID | 'void' | 'null' | 'this' | 'undefined' ) ( '.' ID )* targs? | 'typeof' ( ID | 'this' | 'import' P:args ) ( '.' ( anyname | PRIV ) )* targs? | 'import' P:args ( '.' ID )* targs? | STR | '-'? NUM | TPL | 'true' | 'false' | P:ptype | K:tuple | B:typebody
 ttype = type?
 ptype = type
-tuple = ( titem ( ',' titem )* ','? )?
+tuple = titem
 titem = ( '...'? ID '?'? ':' )? '...'? type '?'?
 fparams = params | ( type ( ',' type )* )?
 typebody = mapped | ( tmember ( TS+ tmember )* TS* )? | TS+
@@ -106,6 +119,7 @@ ename = key ( '=' assign )?
 namespace = ( 'namespace' | 'module' | 'global' ) ( ID ( '.' ID )* | STR )? B:block
 overload = 'declare'? 'async'? 'function' '*'? ID fsig
 alias = 'type' ID tp? '=' type
+ambient = vars | 'const' target @ann ( ',' target @ann )*
 MOD = 'public' | 'private' | 'protected' | 'readonly' | 'static'
 """
 # Reserved words, and those that are words only in their places.
@@ -113,19 +127,25 @@ RESERVED = "break case catch class const continue debugger default delete do els
 CONTEXTUAL = "as async await declare from get set let of static yield type interface namespace module abstract implements public private protected readonly override keyof infer unique is asserts satisfies using accessor global out assert undefined".split()
 
 
-def _grammar(typed: bool) -> Grammar:
-    text = RULES
-    if typed:
-        text += TYPES
-        text = re.sub(r"[@%](\w+)", lambda m: TYPED[m[1]], text)
-    else:
-        text = re.sub(r" \| %\w+|@\w+", "", text)
+#: The alternatives that only modules, and only scripts that are none, have; strict code knows no ``with``.
+MODULE, SLOPPY = {"module": "module_", "exports": "exports"}, {"with": "with"}
+
+
+def _grammar(typed: bool, module: bool) -> Grammar:
+    text = RULES + (TYPES if typed else "")
+    given = (TYPED if typed else {}) | (MODULE if module else SLOPPY)
+    text = re.sub(r"[@%](\w+)", lambda m: given.get(m[1], m[0]), text)
+    text = re.sub(r"[@%](\w+)", lambda m: given.get(m[1], m[0]), text)  # some forms hold others
+    if not module:
+        text = text.replace(" | exportopen", "").replace("exportopen = %exports\n", "")
+    text = re.sub(r"^(\w+ =) %\w+ \| ", r"\1 ", text, flags=re.M)
+    text = re.sub(r" \| %\w+|[@%]\w+", "", text)
     also = {t: ("ID",) for t in CONTEXTUAL} | {t: ("KW",) for t in RESERVED}
     if not typed:
         also = {t: (*w,) for t, w in also.items()}
     drop = lambda t: t.replace("\n", "")
     content = {"P": drop, "K": drop} | {n: drop for n in ("object", "objpattern", "names", "enumbody")} | {n: lambda t: t + "\n" for n in ("block", "cases", "members")}
-    return Grammar(text, {"ID": "i", "NUM": "n", "STR": "s", "TPL": "t", "RE": "r", "PRIV": "p", "NL": "\n"}, also=also, content=content, lists={"block": ("stmt", (";", "NL", "B")), "module": ("stmt", (";", "NL", "B")), "cases": ("caseitem", (";", "NL", "B")), "members": ("member", (";", "NL", "B"))})
+    return Grammar(text, {"ID": "i", "NUM": "n", "STR": "s", "TPL": "t", "RE": "r", "PRIV": "p", "NL": "\n"}, also=also, content=content, lists={"block": ("stmt", (";", "NL", "B")), "module": ("stmt", (";", "NL", "B")), "cases": ("caseitem", (";", "NL", "B")), "members": ("member", (";", "NL", "B"))}, commas=({"tuple": ("titem", True, True)} if typed else {}) | {"array": ("slot", True, True), "row": ("assign", False, False), "arrpattern": ("hole", True, True), "objpattern": ("oprop", True, True), "object": ("prop", True, True), "args": ("arg", True, True)})
 
 
 _S, _D = r"'(?:[^'\\\n]|\\.)*'", r'"(?:[^"\\\n]|\\.)*"'
@@ -187,8 +207,8 @@ def tokens(source: str) -> list[str]:
 class Dialect:
     """A grammar with its tokens."""
 
-    def __init__(self, typed: bool):
-        self.grammar = g = _grammar(typed)
+    def __init__(self, typed: bool, module: bool = True):
+        self.grammar = g = _grammar(typed, module)
         for t in RESERVED:
             g.char(t)
         # A shift is several signs, for they may also end as many lists of type arguments.
@@ -236,9 +256,6 @@ class Dialect:
         return text is not None and self.grammar.sequence(text + "\n", "module")
 
 
-SCRIPT, TYPESCRIPT = Dialect(False), Dialect(True)
+#: Code of modules, code of scripts, which is not strict, and typed code.
+SCRIPT, SLOPPY_SCRIPT, TYPESCRIPT = Dialect(False), Dialect(False, False), Dialect(True)
 GRAMMAR = TYPESCRIPT.grammar
-
-
-def valid(source: str, extension: str = "js") -> bool:
-    return (TYPESCRIPT if extension in ("ts", "mts", "cts") else SCRIPT).valid(source)

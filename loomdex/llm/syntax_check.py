@@ -1,7 +1,7 @@
 """Source files that do not parse.
 
 Each file is recognised by generalised LL parsing with a graph-structured stack, all that a
-bracket may hold in its language and its dialects running together (see syntax/gll.py); a file is
+bracket may hold in its language running together, dialect by dialect (code of modules and of scripts) (see syntax/gll.py); a file is
 flagged if every dialect that its extension stands for rejects it. Only syntax counts.
 """
 
@@ -20,7 +20,7 @@ from loomdex.sources.tables import table
 LANGUAGES: dict[str, tuple[str, tuple[Callable[[str], bool], ...]]] = {
     "go": ("go", (golang.valid,)),
     "py": ("python", (python3.valid,)),
-    "js": ("javascript", (script.SCRIPT.valid,)),
+    "js": ("javascript", (script.SCRIPT.valid, script.SLOPPY_SCRIPT.valid)),
     "ts": ("typescript", (script.TYPESCRIPT.valid,)),
     "json": ("json", (jsontext.valid,)),
     "css": ("css", (css.valid,)),
@@ -28,19 +28,23 @@ LANGUAGES: dict[str, tuple[str, tuple[Callable[[str], bool], ...]]] = {
 }
 
 
-def parses(source: str, extension: str) -> bool:
-    """Whether some dialect of the extension's language accepts the whole text. An empty text is valid but in JSON and Go."""
-    try:
-        return any(accept(source) for accept in LANGUAGES[extension][1])
-    except RecursionError:
-        return False
+def parses(source: str, extension: str) -> bool | None:
+    """Whether some dialect of the extension's language accepts the whole text; None if a text is nested too deep to be told. An empty text is valid but in JSON and Go."""
+    said: bool | None = False
+    for accept in LANGUAGES[extension][1]:
+        try:
+            if accept(source):
+                return True
+        except RecursionError:  # templates in templates, formats in formats
+            said = None
+    return said
 
 
 def check(files: DataFrame) -> DataFrame:
     """(file_id, project_id, language, valid): every file whose source isn't null and whose extension stands for a language.
 
     ``files`` has file_id, project_id, path, source. The extension counts in any letter case; other extensions, .md among
-    them, and null paths leave a file out. Repeated rows of a file give one row: invalid if one of them is.
+    them, and null paths leave a file out. Repeated rows of a file give one row: invalid if one of them is. valid is null where no verdict could be reached.
     """
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     rows = files.where(F.col("file_id").isNotNull() & F.col("source").isNotNull()).withColumn("extension", extension).where(F.col("extension").isin(*LANGUAGES))
@@ -68,7 +72,7 @@ def p4_found(spark, d: str) -> DataFrame:
 
 def rates(checked: DataFrame) -> DataFrame:
     """(project_id, language, n_files, n_invalid, share): invalid files by project and language."""
-    by = checked.groupBy("project_id", "language").agg(F.count("*").alias("n_files"), F.sum((~F.col("valid")).cast("long")).alias("n_invalid"))
+    by = checked.groupBy("project_id", "language").agg(F.count("*").alias("n_files"), F.coalesce(F.sum((~F.col("valid")).cast("long")), F.lit(0)).alias("n_invalid"))
     return by.withColumn("share", F.round(F.col("n_invalid") / F.col("n_files"), 6))
 
 

@@ -243,7 +243,7 @@ GOOD = {
     "css": "@charset \"a\";\n:root { --a: {b}; --c: 1px }\na:not(.b) > c::before, [d=\"e\"] ~ #f { color: red !important; background: url(x.png) no-repeat; &:hover { top: calc(1px + 2%) } }\n@media (min-width: 3px) { .a { b: c } }\n@keyframes k { 0% { a: b } to { c: d } }\n",
     "sql": "-- c\nWITH a AS (SELECT 1) SELECT DISTINCT b.c AS d, count(*) FILTER (WHERE x) OVER (PARTITION BY e ORDER BY f DESC) FROM a LEFT JOIN b USING (c) WHERE NOT EXISTS (SELECT 1) AND x BETWEEN 1 AND 2 OR y IN ('a''b') GROUP BY 1 HAVING sum(z) > 0 ORDER BY 2 LIMIT 3;\nCREATE TABLE IF NOT EXISTS t (id INTEGER PRIMARY KEY, v VARCHAR(10) NOT NULL DEFAULT 'x', CHECK (id > 0), FOREIGN KEY (v) REFERENCES u (w) ON DELETE CASCADE);\nINSERT INTO t (id) VALUES (1), (2) ON CONFLICT (id) DO NOTHING;\nUPDATE t SET v = CASE WHEN id = 1 THEN 'a' ELSE v END;\nDELETE FROM t\n",
 }
-ACCEPT = {"go": golang.valid, "ts": script.TYPESCRIPT.valid, "js": script.SCRIPT.valid, "css": css.valid, "sql": sql.valid, "py": python3.valid, "json": jsontext.valid}
+ACCEPT = {"go": golang.valid, "ts": script.TYPESCRIPT.valid, "js": lambda t: script.SCRIPT.valid(t) or script.SLOPPY_SCRIPT.valid(t), "css": css.valid, "sql": sql.valid, "py": python3.valid, "json": jsontext.valid}
 
 
 @pytest.mark.parametrize("language", GOOD)
@@ -298,3 +298,64 @@ def test_course_is_the_likeliest(odds):
     value = lambda c: sum(x for x, yes in zip(odds, c, strict=True) if yes) - 2.5 * sum(a != b for a, b in itertools.pairwise(c))
     best = max(map(value, itertools.product([False, True], repeat=len(odds))))
     assert abs(value(cipher.course(odds, -2.5)) - best) < 1e-9
+
+
+PYTHON = [
+    "f(a=1, b)", "def f(a=1, b): pass", "f(**k, *a)", "f(x for x in y, 1)", "def f(*, **k): pass", "def f(*a, *b): pass", "x = f'{'", "x = f'{a b}'", "x = b'é'", "x = u'a' b'c'", "f(**k, a)", "x = f'{}'", "x = f'}'", "x = f'{a!x}'", "def f(a, /, b, /): pass", "lambda a=1, b: 0",
+    "x = [1,,2]", "x = {1:2,,}", "x = {**a: 1}", "f(a, *b, c, d=1, *e, **g)", "def f(a, b=1, /, c=2, *d, e, f=3, **g): pass", "def f(*, a): pass", "x = f'{a!r:>{w}} {{}} {b=}'", "x = f'{a:%Y-%m-%d}'", "x = b'a' rb'c'", "x = 'a' f'{b}' 'c'", "x = [1, *a, 2,]", "x = {1: 2, **b, 3: 4}",
+    "x = {*a, 1}", "f((x for x in y), 1)", "x = (1,)", "lambda a, b=1, *c, d, **e: 0", "x = f'{a == b}'", "x = f'{(lambda: 1)()}'", "f(**k, a=1)", "def f(*args: *Ts): pass", "x = f'{a:{b}{c}}'", "x = [a, b := 1]", "x[1:2, ::3, ...] = 4", "del (a, [b, c]), d", "[a, (b, *c)] = d",
+    "match x:\n    case {'a': 1, **r}: pass\n    case [1, *_] | A(b, c=2): pass", "x = ub'a'", "x = f'{x!r:}'",
+]
+
+
+@pytest.mark.parametrize("text", PYTHON)
+def test_python_statements(text):
+    try:
+        ast.parse(text)
+        good = True
+    except SyntaxError:
+        good = False
+    assert python3.valid(text + "\n") is good
+
+
+@pytest.mark.parametrize("text", ["const x;", "1 = 2", "({a=1});", "a ?? b || c", "-1 ** 2", "for (const x; ;) {}", "a() = 1", "let {a};", "import x from 'y'; with (a) {}", "x = [1 2]", "f(a,,b)"])
+def test_scripts_that_are_invalid(text):
+    assert not ACCEPT["js"](text + "\n") and not ACCEPT["ts"](text + "\n")
+
+
+@pytest.mark.parametrize("text", ["do x++; while(x<5) y", "(a ?? b) || c", "(-1) ** 2", "2 ** -1", "({a=1} = x)", "for (const [a, b] of c) d()", "for (a.b in c) {}", "[a, b] = [b, a]", "[{a=1}] = x", "a.b = 1; a[b] += 2; (a) = 3; a++; --a.b", "x = [1,,2,]", "x = y => ({z})", "a?.b?.[c]?.(d)", "x = a ?? b ?? c", "o = {a, b: 1, c() {}, get d() { return 1 }, ...e, [f]: 2,}"])
+def test_scripts_that_are_valid(text):
+    assert ACCEPT["js"](text + "\n") and ACCEPT["ts"](text + "\n")
+
+
+def test_code_that_only_some_dialect_has():
+    assert ACCEPT["js"]("with (a) {}\n") and not ACCEPT["ts"]("with (a) {}\n") and not script.SCRIPT.valid("with (a) {}\n") and not script.SLOPPY_SCRIPT.valid("export default a\n")
+    for text in ("let y = <any>x", "import x = require('y')", "type A = typeof import('a')", "export as namespace F", "declare const x: number", "a! = 1", "(a as any) = 1", "let a = b as C ?? d", "x = <const>['a']"):
+        assert ACCEPT["ts"](text + "\n") and not ACCEPT["js"](text + "\n")
+
+
+def test_go_parameters_and_calls():
+    for text in ("func f(a int, string) {}", "func f() { go g }", "func f() { defer g.h }", "var x = []int{1,,2}"):
+        assert not golang.valid(f"package a\n{text}\n")
+    for text in ("func f(a, b int, c ...string) (int, error) { go g(); defer func() {}(); go a.b(c...); return 1, nil }", "func f(int, string) {}", "func (T) g(func(int) error, *X) {}", 'var x = map[string][]int{"a": {1, 2}, }'):
+        assert golang.valid(f"package a\n{text}\n")
+
+
+def test_deep_and_long_texts():
+    import time
+
+    assert jsontext.valid("[" * 20_000 + "]" * 20_000) and not jsontext.valid("[" * 20_000 + "]" * 19_999 + "}")
+    began = time.time()
+    assert jsontext.valid("[" + ",".join(map(str, range(60_000))) + "]") and not jsontext.valid("[" + ",".join(map(str, range(60_000))) + ",]")
+    assert python3.valid("X = [" + ", ".join(map(str, range(20_000))) + "]\n") and not python3.valid("X = [" + ", ".join(map(str, range(20_000))) + ",,]\n")
+    assert time.time() - began < 60
+
+
+def test_no_verdict_where_the_tool_gives_up(monkeypatch):
+    from loomdex.llm import syntax_check
+
+    def deep(_):
+        raise RecursionError
+
+    monkeypatch.setitem(syntax_check.LANGUAGES, "js", ("javascript", (deep, script.SCRIPT.valid)))
+    assert syntax_check.parses("a()", "js") is True and syntax_check.parses("a(", "js") is None
