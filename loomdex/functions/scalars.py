@@ -61,6 +61,16 @@ def format_bytes(n: Column) -> Column:
     return out.when(n.isNotNull(), F.concat(_tenths(n, 1024**6, True), F.lit(" EB")))
 
 
+def ui_megabytes(n: Column) -> Column:
+    """Whole bytes as megabytes with one decimal; '' for null and nothing."""
+    return F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(_tenths(n.cast("long"), 1024**2, False), F.lit(" MB"))).otherwise("")
+
+
+def similarity_percent(x: Column) -> Column:
+    """'87.5%'; 'N/A' for null and 0."""
+    return F.when(F.coalesce(x, F.lit(0.0)) == 0, "N/A").otherwise(F.concat(F.round(x * 100, 1).cast("decimal(10,1)").cast("string"), F.lit("%")))
+
+
 def ui_bytes(n: Column) -> Column:
     """'0 Bytes' for nothing, null or less, else up to two decimals, in Bytes to GB."""
     n = F.coalesce(n.cast("long"), F.lit(0))
@@ -212,13 +222,16 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def excluded(path: Column, patterns: list[str]) -> Column:
-    """Whether a pattern matches the path or a folder above it."""
+def excluded(path: Column, patterns: list[str], names: bool = False) -> Column:
+    """Whether a pattern matches the path or a folder above it; with ``names`` also the last name of one of these, as a watcher has it. Blank patterns match nothing."""
     parts = F.split(path, "/")
+    if not (patterns := [x for x in patterns if x]):
+        return F.lit(False)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
     def hit(rule: str) -> Column:
-        return F.exists(prefixes, lambda p: F.rlike(p, F.lit(rule)))
+        whole = F.exists(prefixes, lambda p: F.rlike(p, F.lit(rule)))
+        return whole | F.exists(parts, lambda p: F.rlike(p, F.lit(rule))) if names else whole
 
     return reduce(lambda a, b: a | b, map(hit, map(glob_regex, patterns)), F.lit(False))
 

@@ -6,6 +6,7 @@ its vectors are not those of a trained model.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -67,6 +68,78 @@ def onnx_embedder(model: str, tokenizer: str, length: int = 512) -> Embedder:
     return embed
 
 
+def encode_vector(vector: list[float]) -> bytes:
+    """A vector as little-endian single precision, the form in which stores of other make keep it."""
+    return np.asarray(vector, dtype="<f4").tobytes()
+
+
+def decode_vector(raw: bytes) -> list[float]:
+    """The vector of encode_vector(); ValueError for a length that isn't whole."""
+    if len(raw) % 4:
+        raise ValueError(f"{len(raw)} bytes are no vector")
+    return np.frombuffer(raw, dtype="<f4").tolist()
+
+
+def decode_vectors(df: DataFrame, column: str) -> DataFrame:
+    """df with a binary column of such vectors as an array; null for null and for lengths that aren't whole."""
+    fields = [f"`{f.name}` {'array<float>' if f.name == column else f.dataType.simpleString()}" for f in df.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            vectors = [None if x is None or len(x) % 4 else np.frombuffer(x, dtype="<f4") for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.list_(pa.float32())) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, ", ".join(fields))
+
+
+# Other names of the built-in models.
+ALIASES = {
+    "fast-bge-small-en-v1.5": "bge-small-en-v1.5", "fast-bge-small-en": "bge-small-en", "fast-bge-base-en-v1.5": "bge-base-en-v1.5", "fast-bge-base-en": "bge-base-en",
+    "gte-small": "all-minilm-l6-v2", "fast-bge-small-zh-v1.5": "bge-small-zh-v1.5",
+}
+BUILT_IN = ("bge-small-en-v1.5", "bge-small-en", "bge-base-en-v1.5", "bge-base-en", "all-minilm-l6-v2", "bge-small-zh-v1.5")
+
+
+def built_in_model(model_id: str | None) -> str:
+    """The built-in model that an id, in any letter case and with or without its maker's prefix, stands for; the first for null; ValueError for others."""
+    if model_id is None:
+        return BUILT_IN[0]
+    key = model_id.strip().lower().removeprefix("fastembed/")
+    key = ALIASES.get(key, key)
+    if key not in BUILT_IN:
+        raise ValueError(f"{model_id} is not built in")
+    return key
+
+
+_clients: dict[tuple, Embedder] = {}
+
+
+def client(model: dict) -> Embedder:
+    """The embedder of a catalog entry (id, backend, local_path, tokenizer_local_path, max_sequence_length, dimension), made once a process.
+
+    Backend 'hashing' needs no file; others run the model file with onnxruntime, and FileNotFoundError says that there is none yet.
+    """
+    backend = (model.get("backend") or "onnx").lower()
+    key = (model["id"].lower(), backend, model.get("local_path"))
+    if key not in _clients:
+        if backend == "hashing":
+            _clients[key] = hashing_embedder(model.get("dimension") or 64)
+        elif backend in ("onnx", "fastembed"):
+            if artifact_state(model) != "ready":
+                raise FileNotFoundError(f"{model['id']} has no model file")
+            _clients[key] = onnx_embedder(model["local_path"], model["tokenizer_local_path"], model.get("max_sequence_length") or 512)
+        else:
+            raise ValueError(f"backend {backend} is not supported")
+    return _clients[key]
+
+
+def artifact_state(model: dict) -> str:
+    """'ready' if the model's file and its tokenizer's are there, 'partial' if one is, else 'pending'. Nothing is fetched: there is no network."""
+    there = [bool(model.get(x)) and os.path.exists(model[x]) for x in ("local_path", "tokenizer_local_path")]
+    return "ready" if all(there) else "partial" if any(there) else "pending"
+
+
 def embed(df: DataFrame, text: str, make: Callable[[], Embedder], model_id: str, column: str = "embedding") -> DataFrame:
     """df with a vector of each text and the model's id; a null or blank text has an empty vector, a blank id is 'unknown'."""
     fields = [f for f in df.schema.fields if f.name not in (column, "embedding_model_id")]

@@ -273,10 +273,12 @@ def fill_gaps(pieces: list[Piece], source: str, path: str, language: str, config
     return out
 
 
-def chunk_file(path: str, source: str, config: Config = Config()) -> tuple[list[Piece], Parsed]:  # noqa: B008
-    """All stages for one file; ValueError for an extension without a parser."""
+def chunk_file(path: str, source: str, config: Config = Config(), gaps: bool = True) -> tuple[list[Piece], Parsed]:  # noqa: B008
+    """All stages for one file, or those but for the filling of gaps; ValueError for an extension without a parser."""
     parsed = parse(path, source)
     pieces = split_large(merge_small(enrich(path, parsed, config), config), config)
+    if not gaps:
+        return pieces, parsed
     pieces = fill_gaps(pieces, source, path, parsed.language, config)
     return split_large(merge_small(pieces, config), config), parsed
 

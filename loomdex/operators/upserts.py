@@ -72,3 +72,22 @@ def overlay(base: DataFrame, over: DataFrame, key: str, fields: list[str], alway
 
     rest = [c for c in base.columns if c not in fields]
     return base.join(o, base[key] == F.col("__key"), "left").select(*rest, *[value(f).alias(f) for f in fields])
+
+
+def resolve_keys(paths: DataFrame, known: DataFrame, rounds: int = 8) -> DataFrame:
+    """(path, file_id, placeholder): the key of each path, a known one's own, and for others one that no path has; these are placeholders until their file is written.
+
+    New keys are hashes of the path; where two paths fall on one key, or on a known one, the greater path is hashed again with the round's number.
+    """
+    wanted = paths.select("path").where("path is not null").distinct().join(known.select("path", "file_id"), "path", "left")
+    done = wanted.where("file_id is not null").withColumn("placeholder", F.lit(False))
+    taken, new = known.select("file_id"), wanted.where("file_id is null").select("path")
+    for n in range(rounds):
+        tried = new.withColumn("file_id", F.xxhash64("path", F.lit(n)) if n else F.xxhash64("path"))
+        first = tried.groupBy("file_id").agg(F.min("path").alias("path")).join(taken, "file_id", "left_anti").withColumn("placeholder", F.lit(True)).select("path", "file_id", "placeholder")
+        done = done.unionByName(first)
+        new = new.join(first, "path", "left_anti")
+        if not new.limit(1).count():
+            return done
+        taken = taken.unionByName(first.select("file_id"))
+    raise RuntimeError("no free keys were found")

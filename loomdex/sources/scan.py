@@ -1,8 +1,9 @@
 """Scanning file trees on a file system that all executors share.
 
 Spark's file readers pass over names that begin with a dot or an underscore, which sources may, so the
-folders are walked by the executors: the driver lists only as many as it takes to keep them busy.
-Folders that are hidden or excluded are not entered. Contents are read where they are asked for.
+folders are walked by the executors, in rounds: a task lists so many folders, passes files on as it meets them, and hands the folders
+that it didn't get to back for the next round, where all tasks share them. So neither a deep tree nor a wide one is one task's, and the driver lists
+nothing. Folders that are hidden or excluded are not entered. Contents are read where they are asked for, after the files have been spread anew.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import hashlib
 import os
 import posixpath
 import re
+import stat
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import scalars as S
+from loomdex.sources.tables import written
+
+#: Folders that a task lists before it hands the rest back.
+FOLDERS = 2_000
 
 
 def include_roots(root: str, includes: list[str] | None) -> list[str]:
@@ -50,28 +57,61 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excl
         below = posixpath.relpath(path, root)
         return any(r.match(below) or r.match(path) for r in rules)
 
-    def entries(folder: str) -> tuple[list[str], list[str]]:
-        """The folders and files in a folder that aren't pruned; none of one that can't be read."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queue = deque((b, p) for batch in batches for b, p in zip(batch.column("base").to_pylist(), batch.column("path").to_pylist(), strict=True))
+        rows: list[tuple[str, str, bool]] = []
+        for _ in range(FOLDERS):
+            if not queue:
+                break
+            base, folder = queue.popleft()
+            for path, is_folder in entries(folder):
+                if is_folder:
+                    queue.append((base, path))
+                else:
+                    rows.append((base, path, False))
+                if len(rows) >= 10_000:
+                    yield listed(rows)
+                    rows = []
+        yield listed(rows + [(b, p, True) for b, p in queue])
+
+    def listed(rows: list[tuple[str, str, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["base", "path", "folder"])
+
+    def entries(folder: str) -> Iterator[tuple[str, bool]]:
+        """The folders and files in a folder that aren't pruned, as they are met; none of one that can't be read."""
         try:
             with os.scandir(folder) as found:
-                kept = [x for x in found if (hidden or not x.name.startswith(".")) and not skipped(x.path)]
-                return [x.path for x in kept if x.is_dir(follow_symlinks=False)], [x.path for x in kept if x.is_file()]
+                for x in found:
+                    if (hidden or not x.name.startswith(".")) and not skipped(x.path):
+                        if x.is_dir(follow_symlinks=False):
+                            yield x.path, True
+                        elif x.is_file():
+                            yield x.path, False
         except OSError:
-            return [], []
-
-    # Folders to walk, from the top, until there are enough for all cores; files met on the way are kept.
-    todo, files, enough = [(base, base) for base in include_roots(root, includes)], [], 4 * spark.sparkContext.defaultParallelism
-    while todo and len(todo) < enough:
-        deeper = []
-        for base, folder in todo:
-            folders, here = entries(folder)
-            deeper += [(base, x) for x in folders]
-            files += [(base, x) for x in here]
-        todo = deeper
-        if len(files) > 10_000:
+            return
+
+    n_tasks = spark.sparkContext.defaultParallelism
+    todo, files = spark.createDataFrame([(x, x) for x in include_roots(root, includes)], "base string, path string"), None
+    while True:
+        found = written(todo.mapInArrow(walk, "base string, path string, folder boolean"))
+        here = found.where("not folder").select("base", "path")
+        files = here if files is None else files.unionByName(here)
+        todo = found.where("folder").select("base", "path")
+        if not todo.limit(1).count():
             break
+        todo = todo.repartition(n_tasks)
+    df = read_files(files.repartition(n_tasks), content)
+    df = df.withColumn("hidden", F.expr("substring(absolute_path, length(base) + 2)").rlike(r"(^|/)\.[^/]"))
+    df = df.drop("base") if len(include_roots(root, includes)) == 1 else df.drop("base").dropDuplicates(["absolute_path"])
+    df = df.withColumn("relative_path", F.coalesce(S.relative_path(F.lit(root), F.col("absolute_path")), F.col("absolute_path"))).withColumn("extension", F.regexp_extract("absolute_path", r"\.[^./]*$", 0)).withColumn("size", S.format_bytes(F.col("bytes")))
+    df = df if content else df.drop("source", "hash")
+    return df.where(F.col("extension").isin(*extensions)) if extensions else df
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def read_files(files: DataFrame, content: bool = True) -> DataFrame:
+    """(base, absolute_path, bytes, last_modified, source, hash) of the files (base, path) that are there; source and hash are null unless contents are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["base", "absolute_path", "bytes", "last_modified", "source", "hash"]
         types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -81,15 +121,11 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excl
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            queue = list(zip(batch.column("base").to_pylist(), batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True))
-            while queue:
-                base, path, folder = queue.pop()
-                if folder:
-                    folders, here = entries(path)
-                    queue += [(base, x, True) for x in folders] + [(base, x, False) for x in here]
-                    continue
+            for base, path in zip(batch.column("base").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 try:
-                    about = os.stat(path)
+                    about, raw = os.stat(path), b""
+                    if not stat.S_ISREG(about.st_mode):
+                        continue
                     if content:
                         with open(path, "rb") as f:
                             raw = f.read()
@@ -102,14 +138,7 @@ def scan(spark: SparkSession, root: str, includes: list[str] | None = None, excl
                     rows, size = [], 0
         yield made(rows)
 
-    start = [(b, p, True) for b, p in todo] + [(b, p, False) for b, p in files]
-    first = spark.createDataFrame(start, "base string, path string, folder boolean").repartition(max(1, min(len(start), enough)))
-    df = first.mapInArrow(walk, "base string, absolute_path string, bytes long, last_modified long, source string, hash string")
-    df = df.withColumn("hidden", F.expr("substring(absolute_path, length(base) + 2)").rlike(r"(^|/)\.[^/]"))
-    df = df.drop("base") if len(include_roots(root, includes)) == 1 else df.drop("base").dropDuplicates(["absolute_path"])
-    df = df.withColumn("relative_path", F.coalesce(S.relative_path(F.lit(root), F.col("absolute_path")), F.col("absolute_path"))).withColumn("extension", F.regexp_extract("absolute_path", r"\.[^./]*$", 0)).withColumn("size", S.format_bytes(F.col("bytes")))
-    df = df if content else df.drop("source", "hash")
-    return df.where(F.col("extension").isin(*extensions)) if extensions else df
+    return files.select("base", "path").mapInArrow(run, "base string, absolute_path string, bytes long, last_modified long, source string, hash string")
 
 
 def read_file(root: str, relative: str) -> str:
