@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalar_queries", "index_queries", "search_queries", "catalog_queries", "parse_queries")
+MODULES = ("scalar_queries", "index_queries", "search_queries", "catalog_queries", "listing_queries", "parse_queries")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:

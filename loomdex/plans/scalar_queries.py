@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomdex.functions import scalars as S
+from loomdex.functions import texts as T
 from loomdex.sources.tables import table
 
 NOW = 1735800000  # a fixed "now", so that results can be compared
@@ -61,9 +62,8 @@ def model_folders(spark, d):
 
 
 def visibility(spark, d):
-    n = F.col("symbol_name")
-    seen = F.when(F.col("language") == "go", F.when(n.rlike("^[A-Z]"), "public").otherwise("private")).when(F.col("language") == "python", F.when(n.rlike("^__"), "private").when(n.rlike("^_"), "protected").otherwise("public")).otherwise("public")
-    return table(spark, d, "chunks_new", "id", "language", "symbol_name").where("symbol_name is not null").select("id", seen.alias("visibility")).distinct()
+    seen = T.visibility(F.col("language"), F.col("symbol_name"), F.col("source_code"))
+    return table(spark, d, "chunks_new", "id", "language", "symbol_name", "source_code").where("symbol_name is not null").select("id", seen.alias("visibility")).distinct()
 
 
 def enriched_content(spark, d):
@@ -82,15 +82,13 @@ def semantic_groups(spark, d):
 
 
 def markdown_links(spark, d):
-    text = F.col("text")
-    links = F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]\(([^)]+)\)"), F.lit(2))
-    text_of = table(spark, d, "source_files", "file_id", "source").select("file_id", F.col("source").alias("text"))
-    return text_of.select("file_id", F.explode(links).alias("target")).groupBy("file_id", "target").agg(F.count("*").alias("n")).withColumn("external", F.col("target").rlike("^https?://"))
+    links = T.link_targets(F.col("source"))
+    return table(spark, d, "source_files", "file_id", "source").select("file_id", F.explode(links).alias("target")).groupBy("file_id", "target").agg(F.count("*").alias("n")).withColumn("external", T.external(F.col("target")))
 
 
 def headings(spark, d):
     lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(r"^#{1,6} +\S"))
-    return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.length(F.regexp_extract("text", "^#+", 0)).cast("long").alias("level"), F.trim(F.regexp_replace("text", "^#+ *", "")).alias("heading"))
+    return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), T.heading_level(F.col("text")).alias("level"), T.heading_text(F.col("text")).alias("heading"))
 
 
 def collapse_body(spark, d):
@@ -106,8 +104,7 @@ def line_counts(spark, d):
 
 
 def project_ids(spark, d):
-    url = F.concat(F.lit("/mcp/"), "id", F.lit("/tools"))
-    return table(spark, d, "project_meta", "id").select("id", F.regexp_extract(url, "^/mcp/([^/]+)", 1).alias("from_url"), F.regexp_extract(F.concat(F.lit("project-"), "id", F.lit(".db")), r"^project-(.+)\.db$", 1).alias("from_file"))
+    return table(spark, d, "project_meta", "id").select("id", T.id_of_url(F.concat(F.lit("/mcp/"), "id", F.lit("/tools"))).alias("from_url"), T.id_of_file(F.concat(F.lit("project-"), "id", F.lit(".db"))).alias("from_file"))
 
 
 def visible_files(spark, d):
@@ -139,14 +136,14 @@ SQL = {
     "relative_paths": """SELECT DISTINCT project_id, absolute_path, absolute_path = r OR starts_with(absolute_path, r || '/') AS inside, CASE WHEN absolute_path = r THEN '.' WHEN starts_with(absolute_path, r || '/') THEN substr(absolute_path, length(r) + 2) END AS relative
         FROM (SELECT *, '/srv/code/' || project_id AS r FROM file_previews WHERE absolute_path IS NOT NULL AND project_id IS NOT NULL)""",
     "model_folders": r"""SELECT id, replace(replace(replace(trim(' ' || backend || '/../' || display_name || '\v1 '), '..', ''), '/', '-'), '\', '-') AS folder FROM embedding_models""",
-    "visibility": """SELECT DISTINCT id, CASE WHEN language = 'go' THEN CASE WHEN regexp_matches(symbol_name, '^[A-Z]') THEN 'public' ELSE 'private' END WHEN language = 'python' THEN CASE WHEN starts_with(symbol_name, '__') THEN 'private' WHEN starts_with(symbol_name, '_') THEN 'protected' ELSE 'public' END ELSE 'public' END AS visibility
+    "visibility": r"""SELECT DISTINCT id, CASE WHEN language = 'go' THEN CASE WHEN regexp_matches(symbol_name, '^[A-Z]') THEN 'public' ELSE 'private' END WHEN language = 'python' THEN CASE WHEN starts_with(symbol_name, '__') THEN 'private' WHEN starts_with(symbol_name, '_') THEN 'protected' ELSE 'public' END WHEN language = 'typescript' THEN coalesce(nullif(regexp_extract(source_code, '^\s*(?:(?:static|async|override|readonly|abstract)\s+)*(public|private|protected)\b', 1), ''), 'public') ELSE 'public' END AS visibility
         FROM chunks_new WHERE symbol_name IS NOT NULL""",
     "enriched_content": """SELECT DISTINCT id, sha256(t) AS hash, strlen(t)::BIGINT AS bytes FROM (SELECT c.id, '# File: ' || path || ' (' || coalesce(language, '') || ')' || chr(10) || CASE WHEN coalesce(symbol_name, '') <> '' THEN '# Symbol: ' || symbol_name || chr(10) ELSE '' END || chr(10)
         || CASE WHEN coalesce(doc_string, '') <> '' THEN array_to_string(list_transform(string_split(doc_string, chr(10)), lambda x: '// ' || trim(x, ' ')), chr(10)) || chr(10) || chr(10) ELSE '' END || source_code AS t FROM chunks_new c JOIN files_new f ON f.pk = c.file_id WHERE source_code IS NOT NULL)""",
     "strip_comments": r"""SELECT file_id, md5(array_to_string(list_filter(string_split(source, chr(10)), lambda x: NOT regexp_matches(x, '^\s*($|//|#|/\*|<!--)')), chr(10))) AS code FROM source_files WHERE source IS NOT NULL""",
     "semantic_groups": "SELECT CASE WHEN symbol_kind = 'element' THEN 'template' WHEN symbol_kind IN ('style', 'rule', 'media', 'keyframes') THEN 'style' ELSE 'code' END AS semantic_group, count(*) AS n FROM chunks_new GROUP BY 1",
     "markdown_links": r"""SELECT file_id, target, count(*) AS n, regexp_matches(target, '^https?://') AS external FROM (SELECT file_id, unnest(regexp_extract_all(source, '\[([^\]]+)\]\(([^)]+)\)', 2)) AS target FROM source_files) GROUP BY 1, 2""",
-    "headings": r"""SELECT doc_id, line, length(regexp_extract(text, '^#+'))::BIGINT AS level, trim(regexp_replace(text, '^#+ *', ''), ' ') AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line FROM documents) WHERE regexp_matches(text, '^#{1,6} +\S')""",
+    "headings": r"""SELECT doc_id, line, length(regexp_extract(text, '^#+'))::BIGINT AS level, trim(regexp_replace(regexp_replace(text, '^#+\s*', ''), '\s+#+\s*$', ''), ' ') AS heading FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line FROM documents) WHERE regexp_matches(text, '^#{1,6} +\S')""",
     "collapse_body": f"""SELECT file_id, md5(CASE WHEN len(l) > 120 THEN array_to_string(list_concat(list_concat(l[1:60], ['{S.COLLAPSED}']), l[-40:]), chr(10)) ELSE source END) AS body FROM (SELECT file_id, source, string_split(source, chr(10)) AS l FROM source_files WHERE source IS NOT NULL)""",
     "line_slices": "SELECT file_id, array_to_string(string_split(source, chr(10))[3:7], chr(10)) AS lines FROM source_files WHERE source IS NOT NULL",
     "line_counts": "SELECT DISTINCT id, (line_end - line_start + 1)::BIGINT AS n_lines FROM chunks_new",
