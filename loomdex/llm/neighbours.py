@@ -29,8 +29,8 @@ from loomdex.sources.tables import table, written
 SAMPLE = 40_000
 #: Vectors a leaf is meant to hold, points of a sample that a leaf takes at least, and the most leaves, which bounds what is sent to the executors (to some 90 MB of 64 dimensions).
 LEAF, POINTS, MOST_LEAVES = 1_000, 20, 1 << 18
-#: Leaves that lie together in the tree are one cell of about CELL vectors; a task searches up to BLOCK vectors held by a cell for up to ASKS that ask there.
-CELL, BLOCK, ASKS = 16_000, 40_000, 120_000
+#: Leaves that lie together in the tree are one cell of about CELL vectors, or a part in CELLS of a small collection; a task searches up to BLOCK vectors held by a cell for up to ASKS that ask there.
+CELL, CELLS, BLOCK, ASKS = 30_000, 16, 40_000, 120_000
 #: Children of an inner node.
 BRANCHES = 4
 #: Recall against brute force that the calibration asks for, the number of queries on which it is measured, and the most leaves that a query may visit.
@@ -294,7 +294,7 @@ def searched(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size: i
     picked = nodes if total <= sample_size else nodes.orderBy(F.xxhash64("same", F.lit(7))).limit(sample_size)
     picked = picked.select("node", "embedding").toArrow()
     sample = unit(_matrix(picked.column("embedding"), dimension)) if total else np.zeros((0, dimension))
-    tree = fitted(nodes, total, sample, dimension, sample_size, leaf_size, cell_size)
+    tree = fitted(nodes, total, sample, dimension, sample_size, leaf_size, min(cell_size, max(leaf_size, -(-total // CELLS))))
     asked = np.unique(np.linspace(0, max(len(sample) - 1, 0), min(ASKED, len(sample))).astype(int))
     visits, recall = calibrate(tree, nodes, picked.column("node").to_numpy()[asked], sample[asked], k)
     tree.cut(sample[:: max(1, len(sample) // 4000)], total, visits, block, asks)
