@@ -127,4 +127,8 @@ def p9_leaked_items(spark, d: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items}
-SQL: dict[str, str] = {}
+_GRAMS = lambda source, key: f"SELECT DISTINCT {key}, array_to_string(l[i:i + 11], ' ') AS gram FROM (SELECT {key}, l, unnest(range(1, len(l) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS l FROM {source}) WHERE len(l) >= 12)"
+#: By all twelve-word spans of both sides; no fingerprint is left out.
+SQL = {
+    "p9_found": f"WITH d AS ({_GRAMS('documents WHERE doc_id IS NOT NULL', 'doc_id')}), i AS ({_GRAMS('eval_items WHERE split IN (' + chr(39) + 'test' + chr(39) + ', ' + chr(39) + 'dev' + chr(39) + ')', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)",
+}

@@ -257,4 +257,10 @@ def p6_groups(spark, d: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
-SQL: dict[str, str] = {}
+#: Every pair's shared triples, counted from an inverted index of all of them.
+SQL = {
+    "p6_found": r"""WITH t AS (SELECT id, regexp_extract_all(source_code, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]') AS w FROM (SELECT id, source_code FROM chunks_new WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1) WHERE source_code IS NOT NULL),
+        x AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 60)), n AS (SELECT id, count(*) AS n FROM x GROUP BY 1),
+        s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS common FROM x a JOIN x b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM s JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE common >= 0.7 * (na.n + nb.n - common)"""
+}
