@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.sources.tables import table
@@ -124,16 +125,34 @@ class Encoder:
         return out
 
 
-def encode(spark: SparkSession, texts: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+_sent: dict[tuple[str, int], Broadcast] = {}
+_encoders: dict[tuple[int, str], Encoder] = {}
+
+
+def sent(spark: SparkSession, path: str) -> tuple[int, Broadcast]:
+    """The digest of a vocabulary file, and its ranks with their hash, which are built and sent to the executors once an application."""
+    with open(path, "rb") as f:
+        digest = xxhash.xxh3_64_intdigest(f.read())
+    at = (spark.sparkContext.applicationId, digest)
+    if at not in _sent:
+        ranks = read_ranks(path)
+        _sent[at] = spark.sparkContext.broadcast((ranks, PerfectHash(ranks)))  # of the vocabulary's size
+    return digest, _sent[at]
+
+
+def encode(spark: SparkSession, texts: DataFrame, key: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, pattern: str = PATTERN) -> DataFrame:
     """(key, ids) of every row: ids of the text without special tokens; [] for null and empty text.
 
-    A map over the rows, without a shuffle; repeated keys stay repeated rows. Whole texts are encoded.
+    A map over the rows, without a shuffle; repeated keys stay repeated rows. Whole texts are encoded. The pattern that cuts pre-tokens is that of the rank
+    files' own library; a vocabulary with another names it.
     """
-    ranks = read_ranks(f"{folder}/{vocabulary}.tiktoken")
-    shared = spark.sparkContext.broadcast((ranks, PerfectHash(ranks)))  # of the vocabulary's size
+    digest, shared = sent(spark, f"{folder}/{vocabulary}.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        if (digest, pattern) not in _encoders:  # once a worker
+            _encoders.clear()
+            _encoders[digest, pattern] = Encoder(*shared.value, pattern)
+        encoder = _encoders[digest, pattern]
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

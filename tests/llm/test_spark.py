@@ -177,7 +177,7 @@ def test_docpairs(spark):
         ("f1", None, None, None, "function", "f", " ", "# Counts the open rows.\ndef f():\n    pass", 1, None), ("f1", None, None, None, "function", "f", " ", "# Counts the open rows.\ndef f():\n    pass", 2, None), ("f2", None, None, None, "function", None, "Says a lot of things", "x", None, None),
         ("f3", None, None, None, "function", "f", "Says a lot of things", None, 1, None), ("f4", None, None, None, None, "f", "Says a lot of things", "x", 1, None), (None, None, None, None, "function", "f", "Says a lot of things", "x", 1, None),
     ]
-    df = spark.createDataFrame(rows, schema)
+    df = spark.createDataFrame(rows, schema).withColumn("file_id", F.lit(None).cast("long")).withColumn("package_name", F.lit(None).cast("string"))
     assert sorted(map(tuple, docpairs.told(df).collect()), key=str) == [("f1", "f"), ("f2", None), ("m1", "run")]
     pairs = {r.id: (r.origin, r.documentation) for r in docpairs.pairs(df).collect()}
     assert pairs["m2"] == ("inherited", "Runs all of the jobs.") and pairs["m1"][0] == "own" and "m3" not in pairs
@@ -187,6 +187,19 @@ def test_docpairs(spark):
 FILES, TEXTS = "file_id long, project_id string, path string, bytes long", "file_id long, path string, text string"
 
 
+def test_classes_of_one_name_are_told_apart(spark):
+    schema = "id string, project_id string, file_id long, package_name string, language string, parent string, symbol_kind string, symbol_name string, doc_string string, source_code string, updated_at long"
+    rows = []
+    for file, package, doc in ((1, "a", "Runs all of the jobs."), (2, "b", "Opens the first door again.")):
+        rows += [(f"base{file}", "p", file, package, "ts", None, "class", "Base", None, "class Base {}", 1), (f"run{file}", "p", file, package, "ts", "Base", "method", "run", doc, "run() {}", 1)]
+    rows += [("s1", "p", 1, "a", "ts", None, "class", "Sub", None, "class Sub extends Base {", 1), ("m1", "p", 1, "a", "ts", "Sub", "method", "run", None, "run() {}", 1)]  # by its file
+    rows += [("s3", "p", 3, "b", "ts", None, "class", "Sub3", None, "class Sub3 extends Base {", 1), ("m3", "p", 3, "b", "ts", "Sub3", "method", "run", None, "run() {}", 1)]  # by its package
+    rows += [("s4", "p", 4, "c", "ts", None, "class", "Sub4", None, "class Sub4 extends Base {", 1), ("m4", "p", 4, "c", "ts", "Sub4", "method", "run", None, "run() {}", 1)]  # by neither: unresolved
+    rows += [("s5", "p", 5, "c", "ts", None, "class", "Sub5", None, "class Sub5 extends Sub3 {", 1), ("m5", "p", 5, "c", "ts", "Sub5", "method", "run", None, "run() {}", 1)]  # the only one in the project
+    found = {r.id: r.documentation for r in docpairs.pairs(spark.createDataFrame(rows, schema)).where("origin = 'inherited'").collect()}
+    assert found == {"m1": "Runs all of the jobs.", "m3": "Opens the first door again.", "m5": "Opens the first door again."}
+
+
 def classified(spark, rows, **sizes):
     files = spark.createDataFrame([(i, p, path, sizes.get(f"f{i}")) for i, p, path, _ in rows], FILES).withColumn("kind", F.lit("x"))
     texts = spark.createDataFrame([(i, path, t) for i, _, path, t in rows], TEXTS).withColumn("evidence", F.lit(1))
@@ -235,7 +248,7 @@ def test_syntax(spark):
     assert syntax_check.check(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p1_coverage", "p7_found", "p8_counts"])
+@pytest.mark.parametrize("name", ["p1_coverage", "p6_found", "p7_found", "p8_counts", "p9_found"])
 def test_registered_sql(spark, name):
     import os
 
