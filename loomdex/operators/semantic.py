@@ -161,54 +161,51 @@ def merge_two(a: Piece, b: Piece) -> Piece:
     )
 
 
+def may_join(a: Piece, grown: bool, b: Piece, config: Config) -> bool:
+    """Whether b may be joined to its predecessor a, which is joined already if ``grown``: they are alike and fit, a isn't large yet, and one of them is small enough to ask for it."""
+    like = (a.path, a.language, a.group) == (b.path, b.language, b.group)
+    asks = max(a.tokens, b.tokens) < config.least or b.tokens < TINY or (a.tokens < TINY and not grown)
+    return like and asks and a.tokens < config.preferred and a.tokens + b.tokens <= config.most
+
+
 def merge_small(pieces: list[Piece], config: Config) -> list[Piece]:
-    """Joins neighbours of one file, language and group while both are small or one is tiny, below the preferred size and never
-    over the most; a tiny one that doesn't fit its predecessor is joined to its successor if that fits."""
-    if not config.merge or not pieces:
+    """Joins neighbours as may_join() allows, in one fold: what can't be joined to its predecessor waits for its successor."""
+    if not config.merge:
         return pieces
-    done: list[Piece] = []
-    current, grown = pieces[0], False
-    queue = list(reversed(pieces[1:]))
-    alike = lambda a, b: (a.path, a.language, a.group) == (b.path, b.language, b.group) and a.tokens + b.tokens <= config.most
-    while queue:
-        p = queue.pop()
-        if current.tokens >= config.preferred:
-            done.append(current)
-            current, grown = p, False
-            continue
-        small = current.tokens < config.least and p.tokens < config.least
-        if alike(current, p) and (small or current.tokens < TINY and not grown or p.tokens < TINY):
-            current, grown = merge_two(current, p), True
-            continue
-        done.append(current)
-        if p.tokens < TINY and queue and alike(p, queue[-1]):
-            current, grown = merge_two(p, queue.pop()), True
-        else:
-            current, grown = p, False
-    return [*done, current]
+
+    def step(done: list[tuple[Piece, bool]], p: Piece) -> list[tuple[Piece, bool]]:
+        return [*done[:-1], (merge_two(done[-1][0], p), True)] if done and may_join(*done[-1], p, config) else [*done, (p, False)]
+
+    done: list[tuple[Piece, bool]] = []
+    for p in pieces:
+        done[-1:] = step(done[-1:], p)
+    return [p for p, _ in done]
+
+
+def line_groups(lines: list[str], room: int) -> list[tuple[int, list[str]]]:
+    """Lines in groups of at most ``room`` tokens, each with the number of its first; a longer line is a group by itself."""
+    out: list[tuple[int, list[str]]] = []
+    left = -1
+    for n, line in enumerate(lines):
+        size = len(line.encode("utf-8", "surrogatepass")) // 4
+        if size > left or not out:
+            out.append((n, []))
+            left = room
+        out[-1][1].append(line)
+        left -= size
+    return out
 
 
 def split_piece(p: Piece, target: int, config: Config) -> list[Piece]:
     """The piece cut at line ends, so that each part and its header keep to the target; a part that is still over the most is
     cut to half the target, down to 20. A line is never cut."""
-    room, parts, lines, used, begin = max((target if target > 0 else 400) - HEADER, 10), [], [], 0, p.first
-
-    def close(first: int) -> None:
-        last = first + len(lines) - 1
+    most = config.most if config.most > 0 else target * 2
+    out = []
+    for n, lines in line_groups(p.source.split("\n"), max((target if target > 0 else 400) - HEADER, 10)):
+        first, last = p.first + n, p.first + n + len(lines) - 1
         part = replace(p, source="\n".join(lines), first=first, last=last, label=f"{p.name}[{first}-{last}]", sort=p.kind, start_byte=0, end_byte=0)
-        most = config.most if config.most > 0 else target * 2
-        parts.extend(split_piece(part, max(target // 2, 20), config) if part.tokens > most and target > 20 else [part])
-
-    for n, line in enumerate(p.source.split("\n")):
-        size = len(line.encode("utf-8", "surrogatepass")) // 4
-        if lines and used + size > room:
-            close(begin)
-            lines, used, begin = [], 0, p.first + n
-        lines.append(line)
-        used += size
-    if lines:
-        close(begin)
-    return parts
+        out += split_piece(part, max(target // 2, 20), config) if part.tokens > most and target > 20 else [part]
+    return out
 
 
 def split_large(pieces: list[Piece], config: Config) -> list[Piece]:

@@ -24,7 +24,9 @@ def slugify(spark, d):
 
 
 def ui_slugify(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", S.ui_slug(F.split("text", "\n")[0]).alias("slug"))
+    """The slug of every line of every text."""
+    lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), S.ui_slug(F.col("text")).alias("slug"))
 
 
 def format_bytes(spark, d):
@@ -121,7 +123,7 @@ SQL = {
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "token_estimate": "SELECT doc_id, (coalesce(strlen(text), 0) // 4)::BIGINT AS tokens FROM documents",
     "slugify": "SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' _' || p_type || '__2.0 '), '[ _]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM part",
-    "ui_slugify": r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM documents",
+    "ui_slugify": r"SELECT doc_id, line, trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '[\s_]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-') AS slug FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT - 1 AS line FROM documents)",
     "format_bytes": "SELECT o_orderkey, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' " + " ".join(f"WHEN n < {1024 ** (k + 1)}::HUGEINT THEN {_F('n', f'{1024**k}::HUGEINT', True)} || ' {u}'" for k, u in enumerate(("KB", "MB", "GB", "TB", "PB"), 1))
     + f" ELSE {_F('n', f'{1024**6}::HUGEINT', True)} || ' EB' END AS size FROM (SELECT o_orderkey, floor(o_totalprice)::HUGEINT * [1, 1024, 1048576, 1073741824, 1099511627776][o_orderkey % 5 + 1] * (o_orderkey % 9) AS n FROM orders)",
     "number_suffix": f"""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN {_F('n', 1000000, False)} || 'M' WHEN n >= 1000 THEN {_F('n', 1000, False)} || 'K' ELSE n::VARCHAR END AS n,
