@@ -124,7 +124,8 @@ class Grammar:
                     changed |= not begins <= first[n] or may and not empty[n]
                     first[n] |= begins
                     empty[n] |= may
-        # Code: a set is a token to match, a list a nonterminal to call, a tuple the places to go on at, None the end.
+        # Code: a set is a token to match, a list a nonterminal to call, a tuple the places to go on at, None the end. Of each
+        # place a fork leads to there are the characters that may come first there, or None where nothing need come.
         self.code: list = []
         self.entries: dict[str, list[tuple[int, set[str], bool]]] = {n: [] for n in self.rules}
         self.looks: list[tuple[set[str], set[str]]] = []
@@ -168,6 +169,40 @@ class Grammar:
                 self.entries[n].append((len(code), chars, may))
                 sequence(alt)
                 code.append(None)
+        names = {id(chars): name for name, chars in self.sets.items()}
+        called = {id(entries): name for name, entries in self.entries.items()}
+
+        def ahead(slot: int, seen: set[int]) -> tuple[set[str], bool]:
+            """The terminals that may come first from a place on, and whether nothing need come before the rule's end."""
+            symbol = code[slot]
+            if symbol is None:
+                return set(), True
+            if slot in seen:
+                return set(), False
+            seen.add(slot)
+            if type(symbol) is tuple:
+                parts = [ahead(t, seen) for t in symbol]
+                return set().union(*(p for p, _ in parts)), any(e for _, e in parts)
+            if type(symbol) is set:
+                return {names[id(symbol)]}, False
+            begins, may = set(first[called[id(symbol)]]), empty[called[id(symbol)]]
+            if may:
+                rest, may = ahead(slot + 1, seen)
+                begins |= rest
+            return begins, may
+
+        forks = {}
+        for slot, symbol in enumerate(code):
+            if type(symbol) is tuple:
+                forks[slot] = []
+                for target in symbol:
+                    begins, may = ahead(target, set())
+                    chars = None if may else set().union(*(self.sets[t] for t in begins)) if begins else set()
+                    if chars is not None:
+                        self.looks.append((begins, chars))
+                    forks[slot].append((target, chars))
+        for slot, targets in forks.items():
+            code[slot] = tuple(targets)
 
     def derives(self, text: str, starts: tuple[str, ...]) -> tuple[frozenset[str], bool]:
         """Which of the nonterminals derive the whole text, and whether some could derive a longer one that begins with it."""
@@ -202,13 +237,33 @@ class Grammar:
                                 todo.append((back, parent, i))
                     break
                 if type(symbol) is tuple:
-                    key = (slot, id(node), i)
-                    if key in forked:
+                    if len(symbol) == 1:
+                        slot = symbol[0][0]
+                        continue
+                    c, going, others, free = text[i], -1, None, False
+                    for target, chars in symbol:
+                        if chars is None:
+                            free = True
+                        elif c not in chars:
+                            continue
+                        if going < 0:
+                            going = target
+                        elif others is None:
+                            others = [target]
+                        else:
+                            others.append(target)
+                    if i == end and (going < 0 or 1 + len(others or ()) < len(symbol)):
+                        longer = True
+                    if going < 0:
                         break
-                    forked.add(key)
-                    for other in symbol[1:]:
-                        todo.append((other, node, i))
-                    slot = symbol[0]
+                    if free or others:  # it may come here again
+                        key = (slot, id(node), i)
+                        if key in forked:
+                            break
+                        forked.add(key)
+                        if others:
+                            todo += [(other, node, i) for other in others]
+                    slot = going
                     continue
                 if type(symbol) is set:
                     if text[i] in symbol:
