@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ class Letters:
 
     def __init__(self, pairs: np.ndarray, singles: np.ndarray):
         """``pairs`` counts pairs of symbols (N * N), ``singles`` code points of the basic plane."""
+        self.name = uuid.uuid4().hex
         n_class = int(CLASS.max()) + 1
         pair = pairs.reshape(N, N).astype(np.float64)
         of_symbol = np.bincount(SYMBOL[:0x10000], weights=singles, minlength=N)[:N]

@@ -214,15 +214,20 @@ class Reader:
     """Reads the runs of texts under every key; what a run between its neighbours gave is remembered."""
 
     def __init__(self, letters: Letters):
-        self.letters, self.seen = letters, {}
+        self.letters, self.seen, self.found = letters, {}, {}
 
     def learn(self, texts: list[str]) -> None:
-        """Reads all runs of the texts that weren't read yet, many at a time."""
+        """Finds the runs of the texts, and reads all that weren't read yet, many at a time."""
         if len(self.seen) > REMEMBER:
             self.seen.clear()
-        for double, pattern in ((False, RUN), (True, RUN_DOUBLE)):
-            new = {(text[max(0, a - 1) : a], text[a:b], text[b : b + 1], double) for text in texts for a, b in map(re.Match.span, pattern.finditer(text))} - self.seen.keys()
-            todo = sorted(new)
+        self.found = {}
+        for text in texts:
+            if text not in self.found:
+                self.found[text] = tuple(
+                    [(a, b, (text[a - 1 : a] if a else "", text[a:b], text[b : b + 1], double)) for a, b in map(re.Match.span, pattern.finditer(text))] for double, pattern in ((False, RUN), (True, RUN_DOUBLE))
+                )
+        for double in (False, True):
+            todo = sorted({k for each in self.found.values() for *_, k in each[double]} - self.seen.keys())
             for lo in range(0, len(todo), 2000):
                 self._read(todo[lo : lo + 2000], double)
 
@@ -278,12 +283,17 @@ class Reader:
         ends = np.searchsorted(row, np.arange(len(runs) + 1))
         for r, run in enumerate(runs):
             a, b = ends[r], ends[r + 1]
-            self.seen[run] = (key[a:b].copy(), value[a:b].copy()) if b > a else None
+            self.seen[run] = (key[a:b].copy(), value[a:b].copy(), bool(value[a:b].max() > 0)) if b > a else None
+
+    def runs(self, text: str, double: bool) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, bool] | None]]:
+        """Of each run of a text that was learned its place and what it gave."""
+        seen = self.seen
+        for a, b, run in self.found[text][double]:
+            yield a, b, seen[run]
 
-    def runs(self, text: str, double: bool) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray] | None]]:
-        """Of each run its place and what it gave."""
-        for a, b in map(re.Match.span, (RUN_DOUBLE if double else RUN).finditer(text)):
-            yield a, b, self.seen[text[max(0, a - 1) : a], text[a:b], text[b : b + 1], double]
+    def odd(self, text: str) -> int:
+        """How often signs stand within words that have no place there."""
+        return sum(1 for *_, (before, run, after, _) in self.found[text][0] if before.islower() and after.islower() and before < "\x80" > after and any(map(cipher.strange, run)))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """By key the evidence for it, and the log odds of all that it reads anew, single letters too.
@@ -293,12 +303,17 @@ class Reader:
         """
         evidence, whole = np.zeros(len(KEYS)), np.zeros(len(KEYS))
         for double in (False, True):
-            found: dict[str, list] = {}
-            for a, b, gave in self.runs(text, double):
-                found.setdefault(text[a:b], []).append((gave, b - a > 1 or text[max(0, a - 1) : a].isalpha() or text[b : b + 1].isalpha()))
+            seen, hopeful = self.seen, set()
+            for *_, run in self.found[text][double]:
+                if (gave := seen[run]) is not None and gave[2]:
+                    hopeful.add(run[1])
+            if not hopeful:
+                continue
+            found: dict[str, list] = {run: [] for run in hopeful}
+            for a, b, run in self.found[text][double]:
+                if run[1] in hopeful:
+                    found[run[1]].append((seen[run], b - a > 1 or run[0].isalpha() or run[2].isalpha()))
             for each in found.values():
-                if not any(gave is not None and gave[1].max() > 0 for gave, _ in each):
-                    continue
                 n_counting = sum(counting for _, counting in each)
                 told, counts = np.full(len(KEYS), FLOOR * len(each)), FLOOR * (n_counting + (len(each) - n_counting) * MULTIBYTE)
                 for gave, counting in each:
@@ -320,6 +335,18 @@ class Reader:
         return [x for x, yes in zip(places, cipher.course(odds, TURN), strict=True) if yes]
 
 
+_readers: dict[str, Reader] = {}
+
+
+def reader(letters: Letters) -> Reader:
+    """The worker's reader of these letters, with what it remembers from earlier tasks."""
+    if letters.name not in _readers:
+        while len(_readers) > 1:
+            _readers.pop(next(iter(_readers)))
+        _readers[letters.name] = Reader(letters)
+    return _readers[letters.name]
+
+
 def learned(scored: DataFrame, totals: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> DataFrame:
     """(source, key, weight): expectation-maximization of each source's weights of the keys.
 
@@ -343,15 +370,6 @@ def signs(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, str, s
                 yield text[max(0, k - 1) : k], text[k], text[k + 1 : k + 2]
 
 
-#: Places where a letter beyond ASCII stands within a word.
-WITHIN = re.compile(r"(?<=[a-z])[^\x00-\x7f]+(?=[a-z])")
-
-
-def odd_signs(text: str) -> int:
-    """How often signs stand within words that have no place there."""
-    return sum(any(map(cipher.strange, x)) for x in WITHIN.findall(text))
-
-
 def tables(chosen: DataFrame, letters) -> DataFrame:
     """(source, key, signs, meant): for each source and key the letters that signs stand for, learned from the documents that chose it.
 
@@ -359,7 +377,7 @@ def tables(chosen: DataFrame, letters) -> DataFrame:
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(letters.value)
+        read = reader(letters.value)
         for batch in batches:
             out: dict[tuple, int] = {}
             texts = batch.column("text").to_pylist()
@@ -404,20 +422,22 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
     kind = documents.schema["doc_id"].dataType.simpleString()
     kept_type = to_arrow_type(documents.schema["doc_id"].dataType)
 
-    def scored(rows: DataFrame, shared) -> DataFrame:
-        """The documents that some key reads better, and those with signs out of place, with the evidence for each key."""
+    def scored(rows: DataFrame, shared, every_key: bool) -> DataFrame:
+        """The documents that some key reads better, and those with signs out of place, with the evidence for each key, or for the best one only."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            read = Reader(shared.value)
+            read = reader(shared.value)
             types = [kept_type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
-            for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            for batch in (b.slice(lo, 4000) for b in batches for lo in range(0, b.num_rows, 4000)):
                 out: list[list] = [[] for _ in types]
                 texts = batch.column("text").to_pylist()
                 read.learn(texts)
                 for doc, text, source in zip(batch.column("doc_id").to_pylist(), texts, batch.column("source").to_pylist(), strict=True):
-                    lost, (evidence, whole), odd = sum(map(len, LOST_LETTERS.findall(text))), read(text), odd_signs(text)
+                    lost, (evidence, whole), odd = sum(map(len, LOST_LETTERS.findall(text))), read(text), read.odd(text)
                     found = []
-                    for n in np.flatnonzero(evidence >= max(0.5 * least_gain, 0.3 * evidence.max())).tolist():
+                    if not every_key and evidence.max() >= 0.5 * least_gain:
+                        found.append((int(evidence.argmax()), float(evidence.max()), 0.0, 0))
+                    for n in np.flatnonzero(evidence >= max(0.5 * least_gain, 0.3 * evidence.max())).tolist() if every_key else ():
                         reading = "\0".join(f"{a}:{reread(text[a:b], KEYS[n])}" for a, b in read.passages(text, n))
                         found.append((n, float(evidence[n]), float(whole[n]), xxhash.xxh3_64_intdigest(reading.encode("utf-8", "surrogatepass")) >> 1))
                     if lost or odd:
@@ -431,12 +451,13 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
 
     # 1. Candidates by the bigrams of all documents; then again by those of clean text, without the documents that are surely garbled.
     pairs, singles = counts(every, without=without_utf8)
-    first = scored(rows, spark.sparkContext.broadcast(Letters(pairs, singles)))  # of fixed size
+    first = scored(rows, spark.sparkContext.broadcast(Letters(pairs, singles)), False)  # of fixed size
     texts = first.where("text is not null").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # few bytes, but much to do
     sure = first.groupBy("doc_id").agg(F.max("gain").alias("gain"), F.max("lost").alias("lost"), F.max("text").alias("text")).where((F.col("gain") >= least_gain_other) | (F.col("lost") > 0))
     garbled_pairs, garbled_singles = counts(sure, without=without_utf8)
     shared = spark.sparkContext.broadcast(Letters(np.maximum(pairs - garbled_pairs, 0), np.maximum(singles - garbled_singles, 0)))  # of fixed size
-    scored = scored(texts, shared)
+    scored = scored(texts, shared, True)
 
     # 2. The weights of the keys in each source, and the key of each document.
     totals = every.groupBy("source").agg(F.count("*").alias("n"))
@@ -461,7 +482,7 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
     with_tables = chosen.join(tables(chosen, shared), ["source", "key"], "left")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Reader(shared.value)
+        read = reader(shared.value)
         for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             texts, keys, gains = (batch.column(c).to_pylist() for c in ("text", "key", "gain"))
             read.learn(texts)
