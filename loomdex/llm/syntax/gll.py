@@ -29,13 +29,14 @@ class Grammar:
     stand for others (as keywords that may be names do), what else they are. ``content`` prepares the content of a kind of bracket.
     ``lists`` names the nonterminals that are sequences of items: (item, what ends one: tokens, classes, kinds of bracket), see sequence().
     ``commas`` names those that are items with commas between: (item, whether a comma may end them, whether they may be empty).
+    ``folds`` names, for items of sequences that hold rows with commas, (class of a fold, what its members derive, what they don't), see folded().
     """
 
     def __init__(
         self, text: str, classes: dict[str, str], also: dict[str, tuple[str, ...]] | None = None, content: dict[str, Callable[[str], str]] | None = None,
-        lists: dict[str, tuple[str, tuple[str, ...]]] | None = None, commas: dict[str, tuple[str, bool, bool]] | None = None,
+        lists: dict[str, tuple[str, tuple[str, ...]]] | None = None, commas: dict[str, tuple[str, bool, bool]] | None = None, folds: dict[str, tuple[str, str, str]] | None = None,
     ):
-        self.classes, self.content, self.lists, self.commas = classes, content or {}, lists or {}, commas or {}
+        self.classes, self.content, self.lists, self.commas, self.folds = classes, content or {}, lists or {}, commas or {}, folds or {}
         self.tokens: dict[str, str] = {}
         self.sets: dict[str, set[str]] = {}
         self.rules: dict[str, list] = {}
@@ -303,9 +304,23 @@ class Grammar:
         if known is None:
             if len(self.memo) >= REMEMBER:
                 self.memo.clear()
-            known = self.memo[start, text] = self.derives(text, (start,))
+            known = self.memo[start, text] = self.derives(self.folded(text, *self.folds[start]) if start in self.folds else text, (start,))
         return bool(known[0]), known[1]
 
+    def folded(self, text: str, name: str, is_one: str, is_none: str) -> str:
+        """The text with each run of members between the commas of a row as one character. Every member is parsed by itself; one that
+        derives ``is_one`` and not ``is_none`` can stand in such a row only as an item of its repetition, in which the character stands for one or more."""
+        items = text.split(self.comma)
+        if len(items) < 4:
+            return text
+        out = items[:1]
+        for x in items[1:-1]:
+            if self.derived(x, is_one)[0] and not self.derived(x, is_none)[0]:
+                x = self.classes[name]
+            if x != self.classes[name] or out[-1] != x:
+                out.append(x)
+        return self.comma.join([*out, items[-1]])
+
     def sequence(self, text: str, name: str) -> bool:
         """Whether text is a sequence of the items of a list, each with the separator that ends it.
 

@@ -40,7 +40,7 @@ fields = ( field ( ';' field )* ';'? )?
 field = ids type STR? | '*'? tname STR?
 methods = ( method ( ';' method )* ';'? )?
 method = ID sig | constraint
-exprs = expr ( ',' expr )*
+exprs = expr ( ',' ( expr | ROW ) )*
 expr = unary ( BINOP unary )*
 unary = UNOP* primary
 primary = operand suffix* | complit suffix*
@@ -60,7 +60,7 @@ value = expr | B:elements
 hexpr = hunary ( BINOP hunary )*
 hunary = UNOP* hprimary
 hprimary = operand suffix*
-hexprs = hexpr ( ',' hexpr )*
+hexprs = hexpr ( ',' ( hexpr | ROW ) )*
 simple = exprs | exprs ASSIGN exprs | exprs ':=' exprs | expr INCDEC | expr '<-' expr
 hsimple = hexprs | hexprs ASSIGN hexprs | hexprs ':=' hexprs | hexpr INCDEC | hexpr '<-' hexpr
 stmt = simple | other | 'go' call | 'defer' call | 'return' exprs? | 'break' ID? | 'continue' ID? | 'goto' ID | 'fallthrough' | B:block | if | for | switch | select | ID ':' stmt?
@@ -70,7 +70,7 @@ switch = 'switch' ( hsimple? ';' )? hsimple? B:cases
 select = 'select' B:comms
 item = stmt? ';'
 block = item
-caseitem = ( ( 'case' arg ( ',' arg )* | 'default' ) ':' )* stmt? ';'
+caseitem = ( ( 'case' arg ( ',' ( arg | ROW ) )* | 'default' ) ':' )* stmt? ';'
 commitem = ( ( 'case' simple | 'default' ) ':' )* stmt? ';'
 fileitem = ( package | import | decl )? ';'
 toplevel = fileitem
@@ -81,10 +81,11 @@ UNOP = '+' | '-' | '!' | '^' | '*' | '&' | '<-' | '~'
 ASSIGN = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^='
 INCDEC = '++' | '--'
 """,
-    {"ID": "i", "NUM": "n", "STR": "s"},
+    {"ID": "i", "NUM": "n", "STR": "s", "ROW": "r"},
     content={name: lambda t: t if not t or t.endswith(SEMI) else t + SEMI for name in ("block", "cases", "comms")},
     lists={"block": ("item", (";",)), "cases": ("caseitem", (";",)), "comms": ("commitem", (";",)), "toplevel": ("fileitem", (";",))},
     commas={"elements": ("element", True, True), "args": ("arg", True, True)},
+    folds=dict.fromkeys(("item", "caseitem", "commitem", "fileitem"), ("ROW", "expr", "type")),
 )
 SEMI = GRAMMAR.char(";")
 _ch = GRAMMAR.char

@@ -359,3 +359,10 @@ def test_no_verdict_where_the_tool_gives_up(monkeypatch):
 
     monkeypatch.setitem(syntax_check.LANGUAGES, "js", ("javascript", (deep, script.SCRIPT.valid)))
     assert syntax_check.parses("a()", "js") is True and syntax_check.parses("a(", "js") is None
+
+
+def test_rows_in_go_are_folded_without_loss():
+    for text in ("var a, b, c, d = 1, 2, 3, 4", "func f() { a, b, c, d = 1, f(2), 3, x.y }", "func f() { switch x { case 1, 2, 3, 4: a(); case b, c, d, e: } }", 'func f() { a[1], b.c, d(e).f, g = h, 1, "x", i }', "func f() { for a, b[1], c, d = 1, 2, 3, 4; ; { } }"):
+        assert golang.valid(f"package a\n{text}\n")
+    for text in ("var a, 1, c, d = 1, 2, 3, 4", "func f() { a, b, , c = 1, 2, 3 }", "func f() { return 1, 2, x y, 4 }", "var a, b, c, d int string", "func f() { switch x { case 1, 2, 3 4, 5: } }", "func f() { 1, 2, 3, 4 5 }"):
+        assert not golang.valid(f"package a\n{text}\n")
