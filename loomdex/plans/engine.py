@@ -91,7 +91,16 @@ class Index:
         """Starts a query that indexes files again when the stream of their events (path, at, event_type) has been quiet: writes and creations count.
         An earlier one of this index's name is stopped. Its progress is the query's own."""
         writes = events.where(F.lower("event_type").isin(*WRITES))
-        return run_updates(debounced(writes, "path", "at", quiet, watermark), lambda batch, _: self.update_paths(batch), self.name, checkpoint)
+
+        def update(batch: DataFrame, _: int) -> None:
+            scratch = self.store.files.child(f"events-{uuid.uuid4().hex}")  # a batch is of the query's own session
+            try:
+                batch.select("path").distinct().write.parquet(scratch.path)
+                self.update_paths(self.spark.read.parquet(scratch.path))
+            finally:
+                scratch.remove()
+
+        return run_updates(debounced(writes, "path", "at", quiet, watermark), update, self.name, checkpoint)
 
     def stop(self) -> bool:
         """Stops following; whether there was anything to stop."""

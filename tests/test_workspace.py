@@ -53,6 +53,23 @@ def test_single_files_are_indexed_again(spark, tmp_path):
     assert [r.name for r in index.outline("f1.py").collect()] == ["g"] and [r.name for r in index.outline("f3.py").collect()] == ["f3"] and index.outline("f2.py").count() == 0
 
 
+def test_events_are_followed(spark, tmp_path):
+    import datetime as dt
+
+    root, events = tmp_path / "code", str(tmp_path / "events")
+    root.mkdir()
+    (root / "a.py").write_text("def f():\n    return 1\n")
+    index = Index(spark, str(root), str(tmp_path / "i"), name="followed")
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [("a.py", at, "write"), ("a.py", at + dt.timedelta(seconds=1), "write"), ("b.py", at, "remove"), ("z.py", at + dt.timedelta(hours=1), "write")]  # the last moves the watermark on
+    schema = "path string, at timestamp, event_type string"
+    spark.createDataFrame(rows, schema).write.parquet(events)
+    query = index.follow(spark.readStream.schema(schema).parquet(events), str(tmp_path / "state"))
+    query.processAllAvailable()
+    assert [r.path for r in index.store.read("files").collect()] == ["a.py"]
+    assert index.stop() and not index.stop()
+
+
 def test_workspace(spark, tmp_path):
     root = tmp_path / "code"
     root.mkdir()
