@@ -63,6 +63,7 @@ class Letters:
         by_class = np.array([np.bincount(CLASS, weights=r, minlength=n_class) for r in by_class]) + 0.5
         by_class /= by_class.sum(1, keepdims=True)
         behind = (by_class[:, CLASS] * within)[CLASS]
+        self.kinds = np.log(by_class).astype(np.float32)
         with np.errstate(divide="ignore"):
             weight = WEIGHT + (pair > 0).sum(1, keepdims=True)
             self.after = np.log((pair + weight * behind) / (pair.sum(1, keepdims=True) + weight)).astype(np.float32)
@@ -78,6 +79,11 @@ class Letters:
         later = p[1:]
         return self.after[s[:-1], s[1:]] + np.where(later < 0x10000, self.within[np.minimum(later, 0xFFFF)], self.beyond)
 
+    def classes(self, text: str) -> float:
+        """The log probability of the classes of a text's letters but the first, each after the one before it; which letters they are doesn't count."""
+        c = CLASS[SYMBOL[points(text)]]
+        return float(self.kinds[c[:-1], c[1:]].sum())
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Of each text, none empty, the log probability of all its letters but the first."""
         return self.segments(points("".join(texts)), np.cumsum([0, *map(len, texts)])[:-1])

@@ -37,6 +37,11 @@ REMEMBER = 60_000
 LEAST_GAIN, LEAST_GAIN_OTHER, LEAST_OWN = 8.0, 12.0, 9.0
 #: The prior of a key before anything is learned, and how many rounds learn.
 PRIOR, ROUNDS = 1e-3, 4
+#: Keys that read a document worse than the best by so much, in log odds, have no share in it that counts: twice what weights can make up for.
+HOPELESS = 14.0
+#: Log odds, by the classes of letters alone, that a swap of single-byte pages needs in a document: letters in the place of others of their class
+#: are no sign of one, for they may be those of a language that the corpus lacks.
+LEAST_PLACED = 3.0
 #: Log odds under this are as good as this.
 FLOOR = -8.0
 #: Log odds for each byte that valid UTF-8 saves: by chance a row of letters is seldom valid.
@@ -324,6 +329,11 @@ class Reader:
                 whole += np.maximum(told, 0)
         return evidence, whole
 
+    def better_placed(self, text: str, a: int, b: int, key: int) -> float:
+        """The log odds of a run under a key by the classes of letters alone."""
+        before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+        return self.letters.classes(before + (reread(text[a:b], KEYS[key]) or text[a:b]) + after) - self.letters.classes(text[a - 1 if a else 0 : b + 1])
+
     def passages(self, text: str, key: int) -> list[tuple[int, int]]:
         """The runs to read anew under a key: the likeliest course of garbled and clean runs, where it costs to turn from one to the other."""
         places, odds = [], []
@@ -437,8 +447,11 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
                     found = []
                     if not every_key and evidence.max() >= 0.5 * least_gain:
                         found.append((int(evidence.argmax()), float(evidence.max()), 0.0, 0))
-                    for n in np.flatnonzero(evidence >= max(0.5 * least_gain, 0.3 * evidence.max())).tolist() if every_key else ():
-                        reading = "\0".join(f"{a}:{reread(text[a:b], KEYS[n])}" for a, b in read.passages(text, n))
+                    for n in np.flatnonzero((evidence >= 0.5 * least_gain) & (whole >= whole.max() - HOPELESS)).tolist() if every_key else ():
+                        spans = read.passages(text, n)
+                        if not MULTIBYTE[n] and sum(read.better_placed(text, a, b, n) for a, b in spans) < LEAST_PLACED:
+                            continue
+                        reading = "\0".join(f"{a}:{reread(text[a:b], KEYS[n])}" for a, b in spans)
                         found.append((n, float(evidence[n]), float(whole[n]), xxhash.xxh3_64_intdigest(reading.encode("utf-8", "surrogatepass")) >> 1))
                     if lost or odd:
                         found.append((OPEN, 0.0, 0.0, odd))
@@ -453,8 +466,8 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
     pairs, singles = counts(every, without=without_utf8)
     first = scored(rows, spark.sparkContext.broadcast(Letters(pairs, singles)), False)  # of fixed size
     texts = first.where("text is not null").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
-    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # few bytes, but much to do
-    sure = first.groupBy("doc_id").agg(F.max("gain").alias("gain"), F.max("lost").alias("lost"), F.max("text").alias("text")).where((F.col("gain") >= least_gain_other) | (F.col("lost") > 0))
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much to do
+    sure = first.groupBy("doc_id").agg(F.max("gain").alias("gain"), F.max("lost").alias("lost"), F.max("text").alias("text")).where((F.col("gain") >= LEAST_OWN) | (F.col("lost") > 0))
     garbled_pairs, garbled_singles = counts(sure, without=without_utf8)
     shared = spark.sparkContext.broadcast(Letters(np.maximum(pairs - garbled_pairs, 0), np.maximum(singles - garbled_singles, 0)))  # of fixed size
     scored = scored(texts, shared, True)
@@ -476,7 +489,7 @@ def garbled(documents: DataFrame, rounds: int = ROUNDS, least_gain: float = LEAS
     seen = scored.groupBy("doc_id").agg(F.min("source").alias("any_source"), F.max("lost").alias("lost"), F.max(F.when(F.col("key") == OPEN, F.col("reading"))).alias("odd"))
     chosen = seen.join(best, "doc_id", "left").withColumn("key", F.coalesce("key", F.when(F.col("odd") > 0, OPEN)))
     chosen = chosen.where("key is not null or lost > 0").select("doc_id", F.coalesce("source", "any_source").alias("source"), "key", F.coalesce("gain", F.lit(0.0)).alias("gain"), "lost")
-    chosen = written(chosen.join(texts.select("doc_id", "text"), "doc_id"))
+    chosen = written(chosen.join(texts.select("doc_id", "text"), "doc_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     # 3. What each sign stands for in each source, and the texts with the passages translated.
     with_tables = chosen.join(tables(chosen, shared), ["source", "key"], "left")

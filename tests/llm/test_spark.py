@@ -159,6 +159,13 @@ def test_garbled_in_a_language_that_the_corpus_lacks(spark, read_as):
     assert found == {1000 + i: POLISH[i] for i in range(3)}
 
 
+def test_clean_text_in_a_language_that_the_corpus_lacks(spark):
+    plain = ["Der nächste Durchlauf hält den Zähler für später zurück", "La sesión envió señales después del mediodía", "L’étape évite déjà un délai où l’on répète", "Nenhuma sessão está à exceção da verificação"]
+    other = ["Příliš žluťoučký kůň úpěl ďábelské ódy", "Každý uživatel může změnit své heslo v nastavení účtu", "Árvíztűrő tükörfúrógép és más hosszú szavak", "Žodžių skaičius šiame įraše yra didesnis už ankstesnį", *POLISH]
+    rows = [(i, plain[i % 4] + f" {i % 7}", "clean") for i in range(300)] + [(1000 + i, other[i % 7] + f" {i}.", "other") for i in range(28)]
+    assert mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 0
+
+
 def test_a_cipher_that_no_page_gives(spark):
     plain = ["Der nächste Durchlauf hält den Zähler für später zurück", "Größere Änderungen führen über viele Wörter", "Das Lager schließt zu früh, führt dann Wörter", "Zwölf große Läufer hören früh", "Später wählen Schüler ähnliche Gänge"]
     swap = str.maketrans({"ä": "☂", "ö": "⚑", "ü": "♞", "ß": "⌘"})
