@@ -4,7 +4,10 @@ The tree is fitted on bounded samples: its top on one, and where that leaves too
 meant size, each of the top's leaves is split further on a sample of its own, in a task of its own. So leaves hold about
 LEAF vectors at any size of the collection up to LEAF * MOST_LEAVES. Every vector is indexed, in the leaf that
 its own search reaches first. A search keeps a priority queue of tree nodes and
-opens the most similar one first; how many leaves it visits is widened until the
+opens first the one to which the way is shortest: the sum of the query's distances from the planes that part
+each node on the way from the query's own side. A similar vector lies across a plane only if the query is close to it, however
+far the centroids are from both, so this order meets the nearest vectors in far fewer leaves than the similarity of centroids does. How long
+a way may be is widened until the
 recall of a sample of queries against brute force over all vectors reaches the target. Searches are run
 leaf by leaf, as products of matrices of bounded size. Similarities are computed
 in double precision.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -91,16 +95,14 @@ class Tree:
     """A hierarchical k-means tree. children[node] is the range of its children, leaf[node] its leaf number or -1, cell[leaf] its cell.
 
     ``top`` is what grown() gives over a share ``of_top`` of all vectors; ``further`` has by leaf of the top the trees
-    grown over a share ``of_further``. The nodes of each of these are compared with a query only where its search gets there.
+    grown over a share ``of_further``. The nodes of these are compared with a query only where its search gets there.
     """
 
     def __init__(self, top: tuple[np.ndarray, np.ndarray, np.ndarray], of_top: float = 1.0, further: dict[int, tuple] | None = None, of_further: float = 1.0, cell_size: int = CELL):
         centroids, children, size = [top[0]], [top[1]], [top[2] / of_top]
         self.n_top = at = len(top[0])
-        self.spans = [(0, at)]  # nodes of the top, then of each tree below it
-        own = np.zeros(at, dtype=np.int32)
         ends = np.flatnonzero(top[1][:, 0] == top[1][:, 1])
-        grafts, owns = [], [own]
+        grafts = []
         for leaf, (c, kids, points) in sorted((further or {}).items()):
             if len(c) > 1:
                 node = int(ends[leaf])
@@ -109,12 +111,15 @@ class Tree:
                 centroids.append(c[1:])
                 children.append(moved[1:])
                 size.append(points[1:] / of_further)
-                owns.append(np.full(len(c) - 1, len(self.spans), dtype=np.int32))
-                self.spans.append((at, at + len(c) - 1))
                 at += len(c) - 1
-        self.centroids, self.children, self.span = np.concatenate(centroids), np.concatenate(children), np.concatenate(owns)
+        self.centroids, self.children = np.concatenate(centroids), np.concatenate(children)
         for node, kids in grafts:
             self.children[node] = kids
+        # apart[node] has the node's distances from its siblings, those without one at 1.
+        self.apart = np.ones((at, BRANCHES), dtype=np.float32)
+        for a, b in np.unique(self.children[self.children[:, 0] < self.children[:, 1]], axis=0):
+            gap = np.linalg.norm(self.centroids[a:b, None] - self.centroids[None, a:b], axis=2)
+            self.apart[a:b, : b - a] = np.where(gap > 1e-6, gap, 1)
         size = np.concatenate(size)
         is_leaf = self.children[:, 0] == self.children[:, 1]
         self.n_leaves = int(is_leaf.sum())
@@ -130,67 +135,64 @@ class Tree:
             under += [(c, cell) for c in range(*self.children[node])]
         self.cuts = np.ones((2, self.n_cells), dtype=np.int32)  # of the vectors held in each cell, and of those that ask there
 
-    def cut(self, x: np.ndarray, total: int, visits: int, block: int, asks: int) -> None:
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "lists"}
+
+    @cached_property
+    def lists(self) -> tuple[list[int], list[list[int]], list[float]]:
+        """leaf, children and size for loops of Python; made anew by each process."""
+        return self.leaf.tolist(), self.children.tolist(), self.size.tolist()
+
+    def cut(self, x: np.ndarray, total: int, visits: int, block: int, asks: int, reach: float = np.inf, least: int = 0) -> None:
         """Sets into how many parts each cell's held and asking vectors are cut, as the sample x of all vectors has it."""
-        leaves = self.visit(x, visits)
-        row, nth = np.nonzero(leaves >= 0)
-        pairs = np.unique(np.stack([row, self.cell[leaves[row, nth]]]), axis=1)
+        row, leaf, nth, _ = self.search(x, visits, reach, least)
+        pairs = np.unique(np.stack([row, self.cell[leaf]]), axis=1)
         share = total / max(len(x), 1)
-        held = np.bincount(self.cell[leaves[:, 0]], minlength=self.n_cells) * share if len(x) else np.zeros(self.n_cells)
+        held = np.bincount(self.cell[leaf[nth == 0]], minlength=self.n_cells) * share
         asking = np.bincount(pairs[1], minlength=self.n_cells) * share
         self.cuts = np.maximum(1, np.ceil(np.stack([held / block, asking / asks]))).astype(np.int32)
 
     def visit(self, x: np.ndarray, visits: int) -> np.ndarray:
         """For each row of x the first ``visits`` leaves of its search, -1 where there are no more."""
+        row, leaf, nth, _ = self.search(x, visits)
         out = np.full((len(x), visits), -1, dtype=np.int32)
-        if self.n_leaves == 1:
-            out[:, 0] = 0
-            return out
-        x = x.astype(np.float32)
-        leaf, children, span = self.leaf.tolist(), self.children.tolist(), self.span.tolist()
-
-        def search(start: list[float], below: dict[int, list[float]], q: np.ndarray, most: int, stop: int) -> tuple[list[int], list[int]]:
-            """Leaves in order; with ``stop`` the trees below the top are entered as leaves, and their numbers given."""
-            queue = [(start[c], c) for c in range(*children[0])]
-            heapq.heapify(queue)
-            ends, entered = [], []
-            while queue and len(ends) + len(entered) * stop < most:
-                _, node = heapq.heappop(queue)
-                if leaf[node] >= 0:
-                    ends.append(leaf[node])
-                    continue
-                a, b = children[node]
-                if own := span[a]:
-                    if stop and span[node] == 0:
-                        entered.append(own)
-                        continue
-                    base, end = self.spans[own]
-                    if own not in below:
-                        below[own] = (-(self.centroids[base:end] @ q)).tolist()
-                    for c in range(a, b):
-                        heapq.heappush(queue, (below[own][c - base], c))
-                else:
-                    for c in range(a, b):
-                        heapq.heappush(queue, (start[c], c))
-            return ends, entered
+        out[row, nth] = leaf
+        return out
 
+    def search(self, x: np.ndarray, visits: int, reach: float = np.inf, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, nth, way): for each row of x the leaves of its search in order, up to ``visits`` of them and to ways of length ``reach``,
+        or of what length it takes to meet leaves with ``least`` vectors in all."""
+        counts, found, ways = [], [], []
+        leaf, children, size = self.lists
+        x = x.astype(np.float32)
         for lo in range(0, len(x), 1024):
             part = x[lo : lo + 1024]
-            close = (-(part @ self.centroids[: self.n_top].T)).tolist()
-            below: list[dict[int, list[float]]] = [{} for _ in close]
-            if len(self.spans) > 1:  # the trees that many queries enter are compared with all of them at once
-                wants: dict[int, list[int]] = {}
-                for i, row in enumerate(close):
-                    for own in search(row, {}, part[i], min(visits, 8), 1)[1]:
-                        wants.setdefault(own, []).append(i)
-                for own, rows in wants.items():
-                    a, b = self.spans[own]
-                    for i, near in zip(rows, (-(part[rows] @ self.centroids[a:b].T)).tolist(), strict=True):
-                        below[i][own] = near
-            for i, row in enumerate(close):
-                ends, _ = search(row, below[i], part[i], visits, 0)
-                out[lo + i, : len(ends)] = ends
-        return out
+            for q, top in zip(part, part @ self.centroids[: self.n_top].T, strict=True):
+                queue, beyond, met, held = [(0.0, 0)], [], 0, 0.0
+                while met < visits:
+                    if not queue and beyond and held < least:
+                        heapq.heapify(beyond)
+                        queue, beyond = beyond, queue
+                    if not queue or held >= least and queue[0][0] > reach:
+                        break
+                    way, node = heapq.heappop(queue)
+                    if leaf[node] >= 0:
+                        held += size[leaf[node]]
+                        found.append(leaf[node])
+                        ways.append(way)
+                        met += 1
+                        continue
+                    a, b = children[node]
+                    near = (top[a:b] if b <= self.n_top else self.centroids[a:b] @ q).tolist()
+                    best = max(near)
+                    for c, one, apart in zip(range(a, b), near, self.apart[a + near.index(best)].tolist(), strict=False):
+                        if (to := way + (best - one) / apart) <= reach or way > reach:
+                            heapq.heappush(queue, (to, c))
+                        else:
+                            beyond.append((to, c))
+                counts.append(met)
+        row = np.repeat(np.arange(len(x)), counts).astype(np.int64)
+        return row, np.array(found, dtype=np.int32), np.arange(len(row)) - np.searchsorted(row, row), np.array(ways)
 
 
 def fitted(nodes: DataFrame, total: int, sample: np.ndarray, dimension: int, sample_size: int, leaf_size: int, cell_size: int) -> Tree:
@@ -218,14 +220,30 @@ def fitted(nodes: DataFrame, total: int, sample: np.ndarray, dimension: int, sam
     return Tree(top, of_top, further, rate, cell_size)
 
 
-def calibrate(tree: Tree, nodes: DataFrame, numbers: np.ndarray, queries: np.ndarray, k: int, target: float = TARGET_RECALL) -> tuple[int, float]:
-    """The least number of leaf visits that reaches the target recall, and that recall.
+def count(tree: Tree, nodes: DataFrame, dimension: int) -> None:
+    """Sets the sizes of the leaves to the numbers of vectors that they hold."""
+    if tree.n_leaves == 1:
+        return
+    shared = nodes.sparkSession.sparkContext.broadcast(tree)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.search(unit(_matrix(batch.column("embedding"), dimension)), 1)[1])], names=["leaf"])
+
+    tree.size = np.zeros(tree.n_leaves)
+    for leaf, n in nodes.select("embedding").mapInArrow(assign, "leaf int").groupBy("leaf").count().toLocalIterator():  # MOST_LEAVES bounds them
+        tree.size[leaf] = n
+    tree.__dict__.pop("lists", None)
+
+
+def calibrate(tree: Tree, nodes: DataFrame, numbers: np.ndarray, queries: np.ndarray, k: int, target: float = TARGET_RECALL) -> tuple[float, float]:
+    """The shortest reach of a search that gives the target recall, and that recall.
 
     It is measured against brute force: each of the (bounded) queries against all of ``nodes``, in one pass
     that returns k rows a query; fewer vectors than the index holds would lie further apart than they do in it.
     """
     if tree.n_leaves == 1:
-        return 1, 1.0
+        return np.inf, 1.0
     dimension, shared = queries.shape[1], nodes.sparkSession.sparkContext.broadcast((tree, numbers, queries))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +264,11 @@ def calibrate(tree: Tree, nodes: DataFrame, numbers: np.ndarray, queries: np.nda
     rows = nodes.select("node", "embedding").mapInArrow(nearest, "query int, leaf int, close double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("close")))
     true = rows.withColumn("n", rank).where(F.col("n") <= k).select("query", "leaf").toArrow()
-    order = tree.visit(queries, min(tree.n_leaves, MOST_VISITS))
-    met = order[true.column("query").to_numpy()] == true.column("leaf").to_numpy()[:, None]
-    nth = np.where(met.any(1), met.argmax(1), order.shape[1])
-    visits = min(int(np.sort(nth)[min(len(nth) - 1, int(np.ceil(target * len(nth))) - 1)]) + 1, order.shape[1])
-    return visits, float((nth < visits).mean())
+    row, leaf, _, way = tree.search(queries, min(tree.n_leaves, MOST_VISITS))
+    met = dict(zip(zip(row.tolist(), leaf.tolist(), strict=True), way.tolist(), strict=True))
+    ways = np.sort([met.get(x, np.inf) for x in zip(true.column("query").to_pylist(), true.column("leaf").to_pylist(), strict=True)])
+    reach = min(ways[min(len(ways) - 1, int(np.ceil(target * len(ways))) - 1)], way.max()) + 1e-6  # single precision may differ by that
+    return float(reach), float((ways <= reach).mean())
 
 
 def usable(chunks: DataFrame, dimension: int) -> DataFrame:
@@ -296,18 +314,18 @@ def searched(vectors: DataFrame, k: int = 5, dimension: int = 64, sample_size: i
     sample = unit(_matrix(picked.column("embedding"), dimension)) if total else np.zeros((0, dimension))
     tree = fitted(nodes, total, sample, dimension, sample_size, leaf_size, min(cell_size, max(leaf_size, -(-total // CELLS))))
     asked = np.unique(np.linspace(0, max(len(sample) - 1, 0), min(ASKED, len(sample))).astype(int))
-    visits, recall = calibrate(tree, nodes, picked.column("node").to_numpy()[asked], sample[asked], k)
-    tree.cut(sample[:: max(1, len(sample) // 4000)], total, visits, block, asks)
-    shared = spark.sparkContext.broadcast((tree, visits))  # bounded by MOST_LEAVES
+    reach, recall = calibrate(tree, nodes, picked.column("node").to_numpy()[asked], sample[asked], k)
+    count(tree, nodes, dimension)
+    least = 2 * (k + 1)  # a search within reach of small leaves only goes on, so that each vector gets its k
+    tree.cut(sample[:: max(1, len(sample) // 4000)], total, MOST_VISITS, block, asks, reach, least)
+    shared = spark.sparkContext.broadcast((tree, reach))  # bounded by MOST_LEAVES
 
     # 3. One row for each cell that a node's search enters, with the leaves it visits there; held is the leaf that holds it. Where a
     # cell's held or asking vectors are cut, each part of the one meets each part of the other once. Role 1: held here, 2: asks here, 3: both.
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, visits = shared.value
+        tree, reach = shared.value
         for batch in (whole.slice(lo, 2048) for whole in batches for lo in range(0, whole.num_rows, 2048)):
-            leaves = tree.visit(unit(_matrix(batch.column("embedding"), dimension)), visits)
-            row, nth = np.nonzero(leaves >= 0)
-            leaf = leaves[row, nth]
+            row, leaf, nth, _ = tree.search(unit(_matrix(batch.column("embedding"), dimension)), MOST_VISITS, reach, least)
             cell = tree.cell[leaf]
             order = np.lexsort((nth, cell, row))
             row, leaf, cell, nth = row[order], leaf[order], cell[order], nth[order]

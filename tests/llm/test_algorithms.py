@@ -121,6 +121,27 @@ def test_tree_is_grown_further_below_its_top():
     assert tree.cuts.min() >= 1 and tree.cuts.max() > 1
 
 
+def test_few_leaves_of_many_hold_the_nearest():
+    rng = np.random.default_rng(6)
+    x = neighbours.unit(rng.normal(size=(1500, 64)).repeat(10, 0) + 0.17 * rng.normal(size=(15_000, 64)))
+    tree = neighbours.Tree(neighbours.grown(x, 20, rng))
+    own, asked = tree.visit(x, 1)[:, 0], np.arange(0, 15_000, 75)
+    close = x[asked] @ x.T
+    close[np.arange(200), asked] = -1
+    true = own[np.argsort(-close, axis=1)[:, :5]]
+    assert tree.n_leaves > 700
+    assert (true[:, :, None] == tree.visit(x[asked], 24)[:, None]).any(2).mean() > 0.99
+    row, leaf, nth, way = tree.search(x[asked], tree.n_leaves, 0.05)
+    assert (leaf[nth == 0] == own[asked]).all() and way.max() <= 0.05 and (np.diff(way) >= 0)[row[1:] == row[:-1]].all()
+    assert all((leaf[row == i] == tree.visit(x[asked[i : i + 1]], int((row == i).sum()))).all() for i in range(20))
+    tree.size = np.bincount(own, minlength=tree.n_leaves).astype(float)
+    row, leaf, nth, way = tree.search(x[asked], tree.n_leaves, 0.0, 60)  # nothing lies within reach but the own leaf
+    met = np.bincount(row, tree.size[leaf])
+    last = np.flatnonzero(np.r_[row[1:] != row[:-1], True])
+    assert (met >= 60).all() and (met - tree.size[leaf[last]] < 60).all()
+    assert all((leaf[row == i] == tree.visit(x[asked[i : i + 1]], int((row == i).sum()))).all() for i in range(20))
+
+
 @pytest.mark.parametrize("total", [0, 1, 50_000, 1_000_000, 10_000_000, 100_000_000, 250_000_000])
 def test_leaves_hold_as_many_at_any_size(total):
     points, leaf, share = neighbours.plan(total)
